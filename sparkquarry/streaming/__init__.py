@@ -1,0 +1 @@
+"""sparkquarry.streaming"""
