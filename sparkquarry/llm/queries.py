@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import language_id, lm_score, packing, sharding
+from .common import crc_of_id
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,12 +21,27 @@ def op6_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = crc_of_id(docs["doc_id"], 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.predict(model, docs.select("doc_id", "text", held_out.alias("held_out")))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm_score.score_documents(docs, crc_of_id(docs["doc_id"], 7) != 2)
+
+
 def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
+    "op7_ppm_language": op7_ppm_language,
+    "op9_ppm_scores": op9_ppm_scores,
     "op10_multi_length_packing": op10_multi_length_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
