@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_score, packing, sharding
+from . import bitsliced_topk, language_id, lm_score, packing, sharding
 from .common import crc_of_id
 
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return bitsliced_topk.top_k(vectors, vectors["vec_id"] % 100 == 0, 10)
+
+
 def op6_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(_read(spark, sf_dir, "documents"), 16)
     return found.select(
@@ -39,9 +44,25 @@ def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op7_ppm_language": op7_ppm_language,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_multi_length_packing": op10_multi_length_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_bit_sliced_topk": """
+        WITH q AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 10
+    """,
+}
