@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, language_id, lm_score, packing, sharding
+from . import bitsliced_topk, language_id, line_templates, lm_score, mixing, packing, sharding
 from .common import crc_of_id
 
 
@@ -14,6 +14,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+DOMAINS = ["clean", "junk", "toxic"]
+
+
+def label_domain() -> Column:
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality").isNotNull(), "clean")
+
+
+def op3_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.fit_domains(docs, _read(spark, sf_dir, "labels"), label_domain(), DOMAINS)
+    found = mixing.mix(docs, model, {"clean": 0.9, "junk": 0.1, "toxic": 0.0})
+    posterior = [F.col("mix_posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return found.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posterior, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+
+
+def op5_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return bitsliced_topk.top_k(vectors, vectors["vec_id"] % 100 == 0, 10)
@@ -44,6 +64,8 @@ def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_soft_membership_mixing": op3_soft_membership_mixing,
+    "op5_log_template_lines": op5_log_template_lines,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op7_ppm_language": op7_ppm_language,
