@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, language_id, line_templates, lm_score, mixing, packing, sharding, suffix_dedup
+from . import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, mixing, packing, sharding, suffix_dedup
 from .common import crc_of_id
 
 
@@ -18,6 +18,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_read(spark, sf_dir, "documents"))
+
+
 DOMAINS = ["clean", "junk", "toxic"]
 
 
@@ -69,6 +73,7 @@ def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_prefix_tree_join": op2_prefix_tree_join,
     "op3_soft_membership_mixing": op3_soft_membership_mixing,
     "op5_log_template_lines": op5_log_template_lines,
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
