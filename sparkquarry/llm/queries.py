@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, mixing, packing, sharding, suffix_dedup
+from . import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
 from .common import crc_of_id
 
 
@@ -62,6 +62,10 @@ def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_columns(_read(spark, sf_dir, "documents")).drop("media")
+
+
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return lm_score.score_documents(docs, crc_of_id(docs["doc_id"], 7) != 2)
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op7_ppm_language": op7_ppm_language,
+    "op8_lossless_webp": op8_lossless_webp,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_multi_length_packing": op10_multi_length_packing,
 }
