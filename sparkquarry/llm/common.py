@@ -33,6 +33,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side of a join may be broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most that many rows; beyond that the
+    join shuffles both sides. For tables of narrow rows that are cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def crc_of_id(column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

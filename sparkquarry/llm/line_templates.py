@@ -18,10 +18,10 @@ of the same name. An empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import BROADCAST_ROWS, bounded, shared_table
 
 ADDED = ("n_lines", "n_dropped")
 
@@ -35,8 +35,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("line_doc"), F.xxhash64(text).alias("line_text"), text.alias("text")).where(text.isNotNull())
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """Hashes of each line: leaf, template, context (previous and next line)."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, *more: str) -> DataFrame:
+    """Hashes of each line: leaf, template, context (previous and next line); ``more``: "masked" too, if asked for."""
     line = F.col("line")["masked"]
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return (
@@ -52,8 +52,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
         .select(
             "line_doc", "line_text", "pos", F.when(F.trim(line) == "", 0).otherwise(tokens).alias("tokens"),
             F.xxhash64(tokens, F.substring_index(line, " ", depth)).alias("leaf"), F.col("line")["template"].alias("template"),
-            F.xxhash64(F.col("line")["before"], F.col("line")["after"]).alias("context"),
+            F.xxhash64(F.col("line")["before"], F.col("line")["after"]).alias("context"), line.alias("masked"),
         )
+        .select("line_doc", "line_text", "pos", "tokens", "leaf", "template", "context", *more)
     )
 
 
@@ -72,34 +73,31 @@ def dropped_lines(
 ) -> DataFrame:
     """(line_doc, line_text, pos) of the lines to drop; line_text is the hash of the text."""
     lines = shared_table(_lines(docs, id_col, text_col, depth).where(F.col("tokens") >= least_tokens), "lines")
-    exact = recurring(lines, "template", least_contexts, least_share).select("template")
+    exact = bounded(shared_table(recurring(lines, "template", least_contexts, least_share).select("template"), "templates"))
     first = lines.join(exact, "template", "left_semi").select("line_doc", "line_text", "pos")
 
-    # leaves of several templates that recur only together
-    rest = lines.where(F.col("tokens") >= 2 * depth).join(exact, "template", "left_anti")
-    leaves = recurring(rest, "leaf", least_contexts, least_share).where("low < high").select("leaf")
-    wanted = rest.join(leaves, "leaf", "left_semi").groupBy("line_doc", "line_text").agg(F.collect_set(F.struct("pos", "leaf", "template", "context")).alias("wanted"))
-    tokens = shared_table(
-        _keyed(docs, id_col, text_col).dropDuplicates(["line_doc", "line_text"]).alias("d")
-        .join(wanted.alias("w"), F.col("d.line_doc").eqNullSafe(F.col("w.line_doc")) & (F.col("d.line_text") == F.col("w.line_text")))
-        .select("d.line_doc", "d.line_text", F.explode("wanted").alias("w"), F.split(_masked(F.col("text")), "\n").alias("masked"))
-        .select("line_doc", "line_text", "w.pos", "w.leaf", "w.template", "w.context", F.posexplode(F.split(F.get("masked", F.col("w.pos")), " ")).alias("at", "token")),
-        "line-tokens",
-    )
-    by_place = Window.partitionBy("leaf", "at").orderBy(F.desc("n"), "token")
+    # leaves of several templates that recur only together; their lines are read again where the texts are
+    several = F.col("tokens") >= 2 * depth
+    rest = lines.where(several).join(exact, "template", "left_anti")
+    leaves = shared_table(recurring(rest, "leaf", least_contexts, least_share).where("low < high").select("leaf"), "leaves")
+    if leaves.isEmpty():
+        return first
+    wanted = _lines(docs, id_col, text_col, depth, "masked").where(several).join(bounded(leaves), "leaf", "left_semi").join(exact, "template", "left_anti")
+    wanted = shared_table(wanted.select("line_doc", "line_text", "pos", "leaf", "template", "context", F.split("masked", " ").alias("words")), "leaf-lines")
     constants = (
-        tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-        .withColumns({"place": F.row_number().over(by_place), "all": F.sum("n").over(Window.partitionBy("leaf", "at"))})
-        .where((F.col("place") == 1) & (F.col("n") >= constant_share * F.col("all")))
-        .select("leaf", "at", "token")
+        wanted.select("leaf", F.posexplode("words").alias("at", "token"))
+        .groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
+        .groupBy("leaf", "at").agg(F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("less"), "token")).alias("best"))
+        .where(-F.col("best.less") >= constant_share * F.col("all"))
+        .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "best.token"))).alias("constants"))
     )
+    places = F.sequence(F.lit(depth), F.size("words") - 1)
+    agreeing = F.size(F.filter(places, lambda i: F.try_element_at("constants", i).eqNullSafe(F.get("words", i))))
     matched = (
-        tokens.join(constants.withColumn("same", F.lit(1)), ["leaf", "at", "token"], "left")
-        .groupBy("line_doc", "line_text", "pos", "leaf", "template", "context")
-        .agg((F.coalesce(F.sum(F.when(F.col("at") >= depth, F.col("same"))), F.lit(0)) / F.sum((F.col("at") >= depth).cast("int"))).alias("share"))
-        .where(F.col("share") >= similarity)
+        wanted.join(bounded(shared_table(constants, "leaf-constants"), BROADCAST_ROWS // 10), "leaf")
+        .where(agreeing >= similarity * F.size(places)).select("line_doc", "line_text", "pos", "leaf", "template", "context")
     )
-    general = recurring(matched, "leaf", least_contexts, least_share).select("leaf")
+    general = bounded(shared_table(recurring(matched, "leaf", least_contexts, least_share).select("leaf"), "general-leaves"))
     second = matched.join(general, "leaf", "left_semi").select("line_doc", "line_text", "pos")
     return first.unionByName(second)
 
