@@ -10,7 +10,8 @@ members of other components and merges what links; a group is done when it holds
 When few candidates are left, members outside a group's largest component are tested against the
 rest of it. A test stores the candidates of a probe, ordered, in a prefix tree and walks it: the overlap
 of a shared prefix is counted once, and a subtree is left when the overlap so far plus what can
-remain is short of the need. Every pair that could link and is not known to be in one component is
+remain is short of the need. Pairs whose parity signatures (a few words a set) differ by more than a link
+allows are left out before texts move. Every other pair that could link and is not known to be in one component is
 tested, so components are exact; hot groups are split over tasks by probe.
 
 Documents with equal sets share a set id (64 bits of a hash, as shingles have). Null texts and texts
@@ -26,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_table, sums, text_blocks, words
+from .common import bounded, mix64, shared_table, sums, text_blocks, words
 
 SKETCH, CHUNK = 1 << 20, 1 << 16
 #: A sketch bucket is heavy above this share of the documents (plus what a bucket holds on average).
 HEAVY_SHARE = 1 / 500
 #: Candidates of one probe that one task holds at a time.
 TREE_SETS = 256
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+PIVOT_SLACK = 4
+#: 64-bit words of a set's parity signature.
+SIGNS = 8
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -71,26 +75,43 @@ def _ordered(hashes: np.ndarray, of: np.ndarray, heavy: np.ndarray) -> tuple[np.
     return ranks[order], of[order]
 
 
+def signatures(hashes: np.ndarray, of: np.ndarray, n_sets: int) -> np.ndarray:
+    """Bits (sets, SIGNS) that tell of each of 64 * SIGNS buckets whether a set has an odd number of shingles
+    there. Where two sets' bits differ, so do the sets, so the distance bounds the symmetric difference."""
+    at = of * (64 * SIGNS) + ((hashes >> np.uint64(23)) % np.uint64(64 * SIGNS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n_sets * 64 * SIGNS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_sets, -1), axis=1).view("<i8")
+
+
+def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for a link."""
+    side = lambda c: signs.select(F.col("sid").alias(c), F.col("size").alias(f"{c}n"), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(SIGNS)])
+    both = pairs.join(bounded(side("a")), "a").join(bounded(side("b")), "b")
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIGNS)), F.lit(0))
+    sizes = F.col("an") + F.col("bn")
+    return both.where((100 + percent) * (sizes - apart) >= 2 * percent * sizes).select("a", "b")
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """Of each document its set's id and size (kind 0), and of each task its sketch of document frequencies (kind 1)."""
+    """Of each document its set's id, size and signature (kind 0), and of each task its sketch of document frequencies (kind 1)."""
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
-        names = ["kind", "doc_id", "t1", "t2", "sid", "n", "chunk", "counts"]
+        names = ["kind", "doc_id", "t1", "t2", "sid", "n", "chunk", "counts", *[f"s{i}" for i in range(SIGNS)]]
         for part, data, offsets in text_blocks(batches, "text", BLOCK):
             hashes, of = shingles(data, offsets, k)
             sketch += np.bincount(_buckets(hashes), minlength=SKETCH)
             n = np.bincount(of, minlength=part.num_rows)
             sid = mix64(sums(mix64(hashes ^ _FACTORS[0]).view(np.int64), np.append(0, np.cumsum(n))).view(np.uint64) + n.astype(np.uint64) * _FACTORS[1])
             m = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), part.column(1), part.column(2), pa.array(sid.view(np.int64)), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), part.column(1), part.column(2), pa.array(sid.view(np.int64)), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, np.ascontiguousarray(signatures(hashes, of, m).T))], names=names)
         for c in range(SKETCH // CHUNK):
             counts = sketch[c * CHUNK : (c + 1) * CHUNK]
             if counts.any():
                 one = [pa.array([1], pa.int32())] + [pa.nulls(1, pa.int64()) for _ in range(5)]
-                yield pa.RecordBatch.from_arrays([*one, pa.array([c], pa.int32()), pa.array([counts.astype("<i4").tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*one, pa.array([c], pa.int32()), pa.array([counts.astype("<i4").tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * SIGNS], names=names)
 
-    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "kind int, doc_id long, t1 long, t2 long, sid long, n long, chunk int, counts binary")
+    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "kind int, doc_id long, t1 long, t2 long, sid long, n long, chunk int, counts binary" + "".join(f", s{i} long" for i in range(SIGNS)))
 
 
 def _heavy(sketches: DataFrame, least: float) -> np.ndarray:
@@ -108,6 +129,17 @@ def _heavy(sketches: DataFrame, least: float) -> np.ndarray:
     return out
 
 
+def _met_enough(percent: int, slack: int) -> Column:
+    """Whether ``met`` common prefix shingles, of sets of sizes hn and pn, leave room for a link.
+
+    Up to the end of the prefix that ends first all common shingles are in both prefixes; behind it that
+    set has at most ceil(percent * n / 100) - 1. A pivot round sees only part of what a pair has in common
+    and counts each ``slack`` times: what it leaves out is for a later round, the last one counts exactly.
+    """
+    rest = F.ceil(percent * F.greatest("hn", "pn") / 100) - 1
+    return (100 + percent) * (slack * F.col("met") + rest) >= percent * (F.col("hn") + F.col("pn"))
+
+
 def _could_link(a: str, b: str, percent: int) -> Column:
     """Length and position bounds of two sets that meet in a token of their prefixes."""
     an, bn, ap, bp = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
@@ -155,7 +187,8 @@ def _tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int, heavy) ->
         pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("sid"), F.lit(1).alias("role"))
         .unionByName(salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("sid"), F.lit(0).alias("role")))
     )
-    rows = sides.join(texts, "sid").select("b", "salt", "role", "sid", "text")
+    # while the sides are few, the texts stay where they are read and only those asked for move
+    rows = texts.join(bounded(shared_table(sides, "sides")), "sid").select("b", "salt", "role", "sid", "text")
 
     def run(batches):
         probe, at, held = None, None, []
@@ -231,14 +264,17 @@ def join_components(
             sid = mix64(sums(mix64(hashes ^ _FACTORS[0]).view(np.int64), np.append(0, np.cumsum(n))).view(np.uint64) + n.astype(np.uint64) * _FACTORS[1])
             ranks, of = _ordered(hashes, of, heavy.value)
             pos = np.arange(len(of)) - (np.cumsum(n) - n)[of]
-            keep = pos <= n[of] - -(-percent * n[of] // 100)
+            first = np.zeros(part.num_rows, bool)  # of equal sets in a block one is enough
+            first[np.unique(sid, return_index=True)[1]] = True
+            keep = first[of] & (pos <= n[of] - -(-percent * n[of] // 100))
             yield pa.RecordBatch.from_arrays([pa.array(ranks[keep].view(np.int64)), pa.array(sid.view(np.int64)[of[keep]]), pa.array(n[of[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "sid", "n", "pos"])
 
     prefixes = docs.select("text").mapInArrow(with_sid, "token long, sid long, n int, pos int")
     live = prefixes.select("token", "sid").groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token")
     postings = shared_table(prefixes.join(live, "token", "left_semi").distinct(), "postings")
-    rep = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("rep"))
-    wanted = postings.select("sid").distinct().join(rep, "sid").select("sid", "rep.*")
+    rep = found.where("kind = 0").groupBy("sid").agg(F.min(F.struct("doc_id", "t1", "t2", *[f"s{i}" for i in range(SIGNS)], F.col("n").alias("size"))).alias("rep"))
+    candidates = shared_table(postings.select("sid").distinct().join(rep, "sid").select("sid", "rep.*"), "candidates")
+    wanted = bounded(candidates.select("sid", "doc_id", "t1", "t2"))
     texts = shared_table(
         docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2"))).select("w.sid", "d.text"),
         "candidate-texts",
@@ -256,15 +292,18 @@ def join_components(
         last = r > 0 and left <= 20 * total
         if last:
             probes = held.where("label <> main")
+            once = (F.col("h.label") == F.col("h.main")) | (F.col("p.sid") > F.col("h.sid"))  # both ways round are one pair
         else:
             turn = Window.partitionBy("token").orderBy("n", "sid")
             probes = held.where("label = turn").withColumn("nth", F.row_number().over(turn)).where("nth = 1").drop("nth")
+            once = F.lit(True)
         one, other = probes.alias("p"), held.alias("h")
-        pairs = one.join(other, (F.col("p.token") == F.col("h.token")) & (F.col("p.label") != F.col("h.label")) & _could_link("p", "h", percent))
-        pairs = pairs.select(F.col("h.sid").alias("a"), F.col("p.sid").alias("b"))
-        if last:  # both ways round are one test
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = shared_table(_tested(shared_table(pairs.distinct(), "pairs"), texts, k, percent, heavy), "links")
+        pairs = one.join(other, (F.col("p.token") == F.col("h.token")) & (F.col("p.label") != F.col("h.label")) & once & _could_link("p", "h", percent))
+        big, small = (F.greatest, F.least) if last else (lambda h, p: F.col(h), lambda h, p: F.col(p))
+        pairs = pairs.select(big("h.sid", "p.sid").alias("a"), small("h.sid", "p.sid").alias("b"), F.col("h.n").alias("hn"), F.col("p.n").alias("pn"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("hn").alias("hn"), F.first("pn").alias("pn")).where(_met_enough(percent, 1 if last else PIVOT_SLACK)).select("a", "b")
+        near = shared_table(_near(shared_table(pairs, "pairs"), candidates, percent), "near-pairs")
+        new = shared_table(_tested(near, texts, k, percent, heavy), "links")
         links = links.unionByName(new)
         labels = components(links)
         if last or not left:
