@@ -234,7 +234,7 @@ def pack_documents(
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 7 else pa.int64()) for i, c in enumerate(columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for part, data, offsets in text_blocks(batches, "text", 4 << 20):
+        for part, data, offsets in text_blocks(batches, "text", 1 << 20):
             ids += part.column(0).to_pylist()
             for x in tokenizer.encode_block(data, offsets):
                 tokens.append(np.append(x, np.uint16(end_id)))

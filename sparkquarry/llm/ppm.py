@@ -27,7 +27,7 @@ from .common import sums, text_blocks
 SYMBOLS, END, OTHER, ORDER, BITS = 64, 0, 63, 4, 6
 MAX_NODES = 60_000
 #: Bytes of text that a worker handles at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 #: (bytes, offsets) of a block to (symbols or bytes, offsets) as the model reads them.
 Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -29,7 +29,7 @@ from .common import mix64, shared_table, text_blocks
 from .sais import permuted_common_prefixes, suffix_array, words_at
 
 GRAM, PLACE_BITS = 32, 26
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Bytes of snippets that one suffix array holds, and those of one key from which it is split.
 SHARD_BYTES, KEY_BYTES = 1 << 20, 1 << 18
 CELLS = (64, 8, 1)
