@@ -3,8 +3,8 @@
 Suffixes are classified as larger (L) or smaller (S) than their successor, leftmost smaller (LMS)
 substrings are sorted by induction and named, the string of names is sorted recursively, and the
 whole array is induced from it in linear time. On bytes a bucket is induced at once with numpy, in
-generations (a generation holds what the one before it induced into the same bucket); on names,
-whose alphabet is large, entry by entry.
+generations (a generation holds what the one before it induced into the same bucket). On names, whose
+alphabet is large, a level of the recursion names pairs of the names below it.
 """
 
 from __future__ import annotations
@@ -99,60 +99,33 @@ def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
     return name[lms], int(len(ordered) - same.sum())
 
 
-def _sorted_names(r: list[int], k: int) -> list[int]:
-    """Suffix array of a string of names below ``k`` that ends in a unique 0."""
-    n = len(r)
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = r[i] < r[i + 1] or (r[i] == r[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    sizes = [0] * k
-    for x in r:
-        sizes[x] += 1
-    heads, tails, total = [], [], 0
-    for x in sizes:
-        heads.append(total)
-        total += x
-        tails.append(total - 1)
-
-    def induced(order: list[int]) -> list[int]:
-        sa, free = [-1] * n, tails[:]
-        for i in reversed(order):
-            sa[free[r[i]]] = i
-            free[r[i]] -= 1
-        free = heads[:]
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not small[j]:
-                sa[free[r[j]]] = j
-                free[r[j]] += 1
-        free = tails[:]
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and small[j]:
-                sa[free[r[j]]] = j
-                free[r[j]] -= 1
-        return sa
-
-    end = dict(zip(lms, lms[1:] + [n - 1], strict=True))
-    is_lms = [False] * n
-    for i in lms:
-        is_lms[i] = True
-    name, names, last = 0, [0] * n, -1
-    for i in induced(lms):
-        if is_lms[i]:
-            if last >= 0 and r[last : end[last] + 1] != r[i : end[i] + 1]:
-                name += 1
-            names[i] = name
-            last = i
-    reduced = [names[i] for i in lms]
-    if name + 1 == len(lms):
-        order = [0] * len(lms)
-        for i, x in enumerate(reduced):
-            order[x] = lms[i]
-    else:
-        order = [lms[i] for i in _sorted_names(reduced, name + 1)]
-    return induced(order)
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names that ends in a unique 0.
+
+    Level by level pairs of names get a name, so that one stands for twice as many names as before; only
+    what still shares its name with another is named again. It ends when all names differ.
+    """
+    n = len(names)
+    sa = np.argsort(names, kind="stable")
+    value, reach = names[sa], 1
+    head = np.append(True, value[1:] != value[:-1])
+    first = np.flatnonzero(head)  # where each group of equal names begins in ``sa``
+    rank = np.empty(n, np.int64)
+    rank[sa] = first[np.cumsum(head) - 1]
+    open_ = np.flatnonzero(~(head & np.append(head[1:], True)))  # places of ``sa`` in groups of two and more
+    while len(open_):
+        own = sa[open_]
+        group = rank[own]
+        # a suffix that shares ``reach`` names with another can't hold the unique last one in them
+        key = group * n + rank[own + reach]
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        sa[open_] = own  # the groups keep their places, as ``key`` begins with them
+        head = np.append(True, key[1:] != key[:-1])
+        rank[own] = open_[head][np.cumsum(head) - 1]
+        open_ = open_[~(head & np.append(head[1:], True))]
+        reach *= 2
+    return sa
 
 
 def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
@@ -169,7 +142,7 @@ def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
         order = np.empty(len(lms), np.int64)
         order[names] = lms
     else:
-        order = lms[np.array(_sorted_names(names.tolist(), k))]
+        order = lms[_sorted_names(names)]
     return _induce(t, small, order, n_symbols)
 
 

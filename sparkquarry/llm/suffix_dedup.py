@@ -3,8 +3,8 @@
 All strings of ``length`` bytes are judged, over all texts and within one. They are dealt to shards by
 content: the key of a string is the smallest hash of the 32-byte strings in it, so equal strings
 have equal keys, and consecutive strings with one key form a run whose bytes are a snippet. Snippets
-whose key occurs once can't repeat and go no further. Equal snippets are merged with their number,
-shards of whole keys are sorted by induced sorting, and permuted common prefixes tell which starts
+whose key occurs once can't repeat and go no further. Equal snippets are merged with their number (one
+that has its key alone then repeats as a whole), shards of whole keys are sorted by induced sorting, and permuted common prefixes tell which starts
 share ``length`` bytes with another start.
 
 A key with too many bytes for one shard (a passage in very many documents, each with its own
@@ -175,10 +175,18 @@ def _merged(pieces: DataFrame) -> DataFrame:
 
 
 def _classify(pieces: DataFrame, widths: tuple[int, ...], length: int) -> DataFrame:
-    by_key = pieces.groupBy("key").agg(F.sum("n").alias("times"), F.sum(F.octet_length("bytes")).alias("size"))
+    by_key = pieces.groupBy("key").agg(F.sum("n").alias("times"), F.sum(F.octet_length("bytes")).alias("size"), F.count("*").alias("contents"))
     live = by_key.where("times >= 2")
-    total = live.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-    pieces = pieces.join(live, "key")
+    several = live.where("contents >= 2")
+    total = several.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    # one content that occurs again: each of its strings does
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("bytes") - length + 1).cast("int").alias("b")))
+    alike = pieces.join(live.where("contents = 1"), "key").select("c1", "c2", whole.alias("ranges"))
+    return alike.unionByName(_sort_keys(pieces.join(several, "key"), total, widths, length))
+
+
+def _sort_keys(pieces: DataFrame, total, widths: tuple[int, ...], length: int) -> DataFrame:
+    """Repeated ranges of pieces whose keys have several contents; keys of more than KEY_BYTES go on in cells."""
     if not widths or total[1] <= KEY_BYTES:
         return _sort_shards(pieces, length, total[0])
     cells = shared_table(_cut(pieces.where(F.col("size") > KEY_BYTES), widths[0], length), "suffix-cells")
