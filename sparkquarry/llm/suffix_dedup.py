@@ -180,8 +180,9 @@ def _classify(pieces: DataFrame, widths: tuple[int, ...], length: int) -> DataFr
     several = live.where("contents >= 2")
     total = several.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     # one content that occurs again: each of its strings does
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("bytes") - length + 1).cast("int").alias("b")))
-    alike = pieces.join(live.where("contents = 1"), "key").select("c1", "c2", whole.alias("ranges"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b")))
+    measured = pieces.select("key", "c1", "c2", (F.octet_length("bytes") - length + 1).cast("int").alias("starts"))  # no bytes go to the join
+    alike = measured.join(live.where("contents = 1"), "key").select("c1", "c2", whole.alias("ranges"))
     return alike.unionByName(_sort_keys(pieces.join(several, "key"), total, widths, length))
 
 
