@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, mix64, shared_table, sums, text_blocks, words
+from .common import BROADCAST_ROWS, bounded, mix64, shared_table, sums, text_blocks, words
 
 SKETCH, CHUNK = 1 << 20, 1 << 16
 #: A sketch bucket is heavy above this share of the documents (plus what a bucket holds on average).
@@ -36,6 +36,8 @@ HEAVY_SHARE = 1 / 500
 TREE_SETS = 256
 BLOCK = 1 << 20
 PIVOT_SLACK = 4
+#: Tasks for labels of few enough nodes to be broadcast.
+FEW_TASKS = 8
 #: 64-bit words of a set's parity signature.
 SIGNS = 8
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -227,16 +229,21 @@ def _tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int, heavy) ->
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of the nodes of the edges (a, b); label: the smallest node of the component.
 
-    Least labels go over edges and along labels, so distances halve from round to round.
+    Least labels go over edges and along labels, so distances halve from round to round. While the edges,
+    counted, are few enough, labels are broadcast, a round shuffles once and few tasks write.
     """
-    both = shared_table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = shared_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    few = edges.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    kept = lambda df, name: shared_table(df.coalesce(FEW_TASKS) if few else df, name)
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(most_rounds):
-        over = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
-        near = labels.join(over, labels["node"] == over["a"]).select("node", "label", F.least("label", "least").alias("next"))
-        far = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
+        known = F.broadcast(labels) if few else labels
+        over = both.join(known, both["b"] == known["node"]).groupBy("a").agg(F.min("label").alias("least"))
+        near = over.join(known, known["node"] == over["a"]).select("node", "label", F.least("label", "least").alias("next"))
+        far = known.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
+        far = F.broadcast(far) if few else far
         stepped = near.join(far, near["next"] == far["via"], "left").select("node", "label", F.least("next", F.coalesce("beyond", "next")).alias("next"))
-        new = shared_table(stepped, "labels")
+        new = kept(stepped, "labels")
         changed = new.where("next < label").limit(1).count()
         labels = new.select("node", F.col("next").alias("label"))
         if not changed:
