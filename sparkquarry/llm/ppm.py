@@ -8,7 +8,7 @@ distinct symbols; escape method C); the escape d / (n + d) goes to the shorter c
 symbols already seen are excluded. Probabilities of a node add up to 1, so code lengths are exact.
 
 Counting runs over all training texts in two passes: contexts, then (node, symbol) cells. What
-reaches the driver is bounded by ``MAX_NODES`` and the 64**4 contexts, whatever the corpus.
+reaches the driver is bounded by the nodes asked for and the 64**4 contexts, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import sums, text_blocks
 
 SYMBOLS, END, OTHER, ORDER, BITS = 64, 0, 63, 4, 6
-MAX_NODES = 60_000
 #: Bytes of text that a worker handles at a time.
 BLOCK = 1 << 20
+#: Keys whose counts a worker holds before they go to Spark.
+MOST_KEYS = 1_000_000
 
 #: (bytes, offsets) of a block to (symbols or bytes, offsets) as the model reads them.
 Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -136,6 +137,10 @@ def _counted(docs: DataFrame, text: str, key_of, schema: str = "key long, n long
             at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             return keys[at], np.add.reduceat(counts, at)
 
+        def sent(keys, counts):
+            for at in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].astype(np.int64)), pa.array(counts[at : at + 200_000].astype(np.int64))], names=["key", "n"])
+
         for part, data, offsets in text_blocks(batches, text, BLOCK):
             keys = np.sort(key_of(part, data, offsets))
             if len(keys):
@@ -143,10 +148,10 @@ def _counted(docs: DataFrame, text: str, key_of, schema: str = "key long, n long
                 held.append((keys[at], np.diff(np.append(at, len(keys)))))
             if len(held) >= 12:
                 held = [merged()]
+                if len(held[0][0]) > MOST_KEYS:
+                    yield from sent(*held.pop())
         if held:
-            keys, counts = merged()
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].astype(np.int64)), pa.array(counts[at : at + 200_000].astype(np.int64))], names=["key", "n"])
+            yield from sent(*merged())
 
     return docs.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 

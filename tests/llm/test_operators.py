@@ -1,5 +1,6 @@
 """The numbered operators on a small table of odd rows, against plain versions."""
 
+import functools
 import hashlib
 import zlib
 
@@ -122,6 +123,38 @@ def test_scores(docs, rows):
     assert all(r.train_tokens == n and r.score < 0 for r in got)
 
 
+def test_scores_keep_every_context(spark, monkeypatch):
+    import math
+    from collections import Counter, defaultdict
+
+    from sparkquarry.llm import gram_table
+
+    monkeypatch.setattr(gram_table.TopGrams.of.__func__, "__defaults__", (20,))  # nearly all grams meet the join
+    texts = ["слово и другое слово", "日本語の文 日本語", "plain words and plain words", "слово 日本 words", "слова nowhere seen 語 zq", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score_documents(docs, docs["doc_id"] < 4).collect()}
+    streams = [[*"".join(f" {w}" for w in t.lower().split()).encode(), 256] for t in texts]
+    behind = lambda s, i, k: tuple(([256] * k + s[:i])[len(s[:i]) :])
+    counts = defaultdict(Counter)
+    for s in streams[:4]:
+        for i, x in enumerate(s):
+            for k in range(5):
+                counts[behind(s, i, k)][x] += 1
+
+    @functools.cache
+    def p(context, x):
+        c = counts[context]
+        if len(context) and not c:
+            return p(context[1:], x)
+        if x in c:
+            return c[x] / (sum(c.values()) + len(c))
+        shorter = (lambda y: p(context[1:], y)) if context else (lambda y: 1 / 257)
+        return len(c) / (sum(c.values()) + len(c)) * shorter(x) / sum(shorter(y) for y in range(257) if y not in c)
+
+    want = {i: sum(math.log10(p(behind(s, j, 4), x)) for j, x in enumerate(s)) for i, s in enumerate(streams)}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_lines(spark):
     import random
 
