@@ -31,12 +31,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (2): of each component the document of the smallest id stays, and of rows of one id one."""
-    found = shared_table(jaccard_join.join_components(docs), "components")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce("doc_id", F.lit(-1)))).first()
-    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+    """N-gram Jaccard join (2): of each component the row of the smallest id and text hash stays; of rows equal in id and text one."""
+    key = ("doc_id", "t1", "t2")
+    found = shared_table(jaccard_join.keyed_components(docs).select(*key, "label"), "components")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *key))  # a null id only where no row has one
+    first = found.where("label IS NOT NULL").groupBy("label").agg(least.alias("first")).select("first.doc_id", "first.t1", "first.t2")
+    first = shared_table(first.unionByName(found.where("label IS NULL").select(*key).distinct()), "survivors").alias("first")
+    rows = docs.select("*", *jaccard_join.text_hashes(docs["text"])).alias("row")
+    same = F.col("row.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row.t1") == F.col("first.t1")) & (F.col("row.t2") == F.col("first.t2"))
+    kept = rows.join(first, same, "left_semi")
+    total, keys = found.agg(F.count("*"), F.count_distinct(F.struct(*key))).first()
+    if total != keys:
+        kept = kept.groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("whole")).select("whole.*")
+    return kept.select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

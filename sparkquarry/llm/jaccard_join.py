@@ -251,14 +251,28 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
-def join_components(
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """With the id, the key of a row."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
+
+
+def join_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row; n_links: links of its set to other sets that were tested."""
+    return keyed_components(docs, **options).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def keyed_components(
     docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80, most_rounds: int = 40, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row; n_links: links of its set to other sets that were tested."""
+    """What ``join_components`` has, with each row's text hashes t1 and t2 and the label of its component.
+
+    The label tells components apart that share an id or have none; it is null for rows without a shingle.
+    """
     spark, k = docs.sparkSession, words_per_shingle
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    docs = docs.select("doc_id", *text_hashes(docs["text"]), "text")
     found = shared_table(_sets(docs, k), "shingle-sets")
     sets = found.where("kind = 0").select("doc_id", "t1", "t2", "sid", "n")
     n_docs, n_tokens = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -320,9 +334,10 @@ def join_components(
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     placed = (
         sets.join(labels, sets["sid"] == labels["node"], "left").join(degree, sets["sid"] == degree["a"], "left")
-        .select("doc_id", "n", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select("doc_id", "t1", "t2", "n", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "n_links"
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "n_links",
+        "t1", "t2", F.when(F.col("n") > 0, F.col("label")).alias("label"),
     )
