@@ -12,9 +12,8 @@ from sparkquarry.llm.queries import DOMAINS, label_domain
 
 #: Least posterior of the language found; documents under it, and those without a language, go.
 LEAST_LANGUAGE_SCORE = 0.5
-#: What each domain keeps of its expected tokens; documents whose fitted rate is under LEAST_RATE go.
+#: What each domain keeps of its expected tokens.
 DOMAIN_FACTORS = {"clean": 1.0, "junk": 0.25, "toxic": 0.0}
-LEAST_RATE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +46,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights (3): rates meet DOMAIN_FACTORS; documents of small rates go."""
+    """Mixing to target weights (3): rates of at most 1 meet DOMAIN_FACTORS; a document stays with its rate as the chance."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.fit_domains(docs, labels, label_domain(), DOMAINS)
-    return mixing.mix(docs, model, factors=DOMAIN_FACTORS).where(F.col("mix_rate") >= LEAST_RATE).select(docs.columns)
+    return mixing.mix(docs, model, factors=DOMAIN_FACTORS, most_rate=1.0).where(F.col("mix_copies") >= 1).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

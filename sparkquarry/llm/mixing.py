@@ -103,15 +103,16 @@ def _features(docs: DataFrame, model: DomainModel, id_col: str, text_col: str) -
     return found.select("mix_id", "mix_text", "tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in range(n)])
 
 
-def _rate(steps: list[list[float]], n: int) -> Column:
-    """The rate after these projected steps."""
+def _rate(steps: list[list[float]], n: int, most: float | None = None) -> Column:
+    """The rate after these steps, each projected to 0 at least and ``most``."""
     if not steps:
         return F.lit(1.0)
     dot = lambda v: sum((F.col(f"p{i}") * F.get(v, F.lit(i)) for i in range(n)), F.lit(0.0))
-    return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - dot(v)))
+    upper = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
+    return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, v: upper(F.greatest(F.lit(0.0), r - dot(v))))
 
 
-def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 20, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 20, tolerance: float = 1e-4, most: float | None = None) -> list[list[float]]:
     """The steps; ``targets``: expected tokens of each domain."""
     n = len(targets)
     pairs = [(i, j) for i in range(n) for j in range(n)]
@@ -121,7 +122,7 @@ def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 20
     step = 1 / max(sum(abs(first[f"h{i}_{j}"]) / scale[i] for j in range(n)) for i in range(n))
     steps: list[list[float]] = []
     for _ in range(iterations):
-        got = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * _rate(steps, n)), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
+        got = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * _rate(steps, n, most)), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
         off = [got[f"s{i}"] - targets[i] for i in range(n)]
         if max(abs(x) for x in off) <= tolerance * max(1.0, sum(targets)):
             break
@@ -131,11 +132,12 @@ def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 20
 
 def mix(
     docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, *, budget: float | None = None, factors: dict[str, float] | None = None,
-    iterations: int = 20, id_col: str = "doc_id", text_col: str = "text",
+    most_rate: float | None = None, iterations: int = 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with tokens, posteriors (by domain), rate and copies (the rate, rounded by a hash of the id).
 
     Targets: ``weights``, shares of ``budget`` tokens (as many as there are, if not given), or ``factors`` of what each domain has now.
+    With ``most_rate`` the fit keeps every rate at or under it.
     """
     n = len(model.domains)
     features = shared_table(_features(docs, model, id_col, text_col), "mix-features")
@@ -145,9 +147,9 @@ def mix(
     else:
         whole = sum(now[f"s{i}"] for i in range(n)) if budget is None else budget
         targets = [(weights or {}).get(d, 0.0) / max(sum((weights or {}).values()), 1e-12) * whole for d in model.domains]
-    steps = fit_rates(features, targets, iterations=iterations)
+    steps = fit_rates(features, targets, iterations=iterations, most=most_rate)
     rated = features.dropDuplicates(["mix_id", "mix_text"]).select(
-        "mix_id", "mix_text", F.col("tokens").alias("mix_tokens"), F.array(*[F.col(f"p{i}") for i in range(n)]).alias("mix_posterior"), _rate(steps, n).alias("mix_rate")
+        "mix_id", "mix_text", F.col("tokens").alias("mix_tokens"), F.array(*[F.col(f"p{i}") for i in range(n)]).alias("mix_posterior"), _rate(steps, n, most_rate).alias("mix_rate")
     )
     chance = F.pmod(F.xxhash64("mix_id", "mix_text", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
     same = docs[id_col].eqNullSafe(rated["mix_id"]) & (F.xxhash64(docs[text_col].cast("string")) == rated["mix_text"])

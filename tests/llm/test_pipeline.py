@@ -1,6 +1,9 @@
 """Stages of the pipeline on rows that they must keep."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from sparkquarry.llm.queries import DOMAINS
 
 
 def test_near_copies_of_null_and_repeated_ids(spark):
@@ -9,3 +12,13 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     want = [(None, text(2)), (None, "short"), (5, text(3)), (2, text(4) + " tail"), (7, text(5)), (8, text(1))]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_mixing_meets_its_targets(spark, tmp_path):
+    own = {"clean": "river stone garden", "junk": "buy cheap pills", "toxic": "foul nasty slur"}
+    rows = [(i, f"{own[DOMAINS[i % 3]]} w{i % 7} common words", DOMAINS[i % 3]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    frame.selectExpr("doc_id", "cast(domain <> 'junk' as int) AS quality", "cast(domain = 'toxic' as int) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.mixed(spark, frame.select("doc_id", "text"), str(tmp_path))
+    found = {r["domain"]: r["n"] / 300 for r in kept.join(frame.select("doc_id", "domain"), "doc_id").groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(found.get(d, 0) - corpus_pipeline.DOMAIN_FACTORS[d]) < 0.1 for d in DOMAINS), found
