@@ -1,41 +1,49 @@
-"""N-gram Jaccard join on a prefix tree: components of documents whose word-shingle sets are alike.
-
-Two sets link when 100 * |intersection| >= 100 * similarity * |union|. Sets are ordered globally: first the
-shingles outside a fixed-size sketch's heavy buckets, then by hash. Linked sets share a shingle
-among their first n - ceil(similarity * n) + 1 (the prefix), so only sets that meet in a prefix
-shingle of two or more sets are candidates; length and position bounds thin them.
-
-Groups of a shingle are never paired out. Each round takes one pivot a group, tests it against
-members of other components and merges what links; a group is done when it holds one component.
-When few candidates are left, members outside a group's largest component are tested against the
-rest of it. A test stores the candidates of a probe, ordered, in a prefix tree and walks it: the overlap
-of a shared prefix is counted once, and a subtree is left when the overlap so far plus what can
-remain is short of the need. Pairs whose parity signatures (a few words a set) differ by more than a link
-allows are left out before texts move. Every other pair that could link and is not known to be in one component is
-tested, so components are exact; hot groups are split over tasks by probe.
+"""N-gram Jaccard join on prefix trees: components of documents whose word-shingle sets are alike.
+
+Two sets link when 100 * |intersection| >= 100 * similarity * |union|. Sets are ordered globally: shingles by the level of
+their document frequency (rare ones first, told by a fixed-size sketch), then by hash. Linked sets share a shingle
+among their first n - ceil(similarity * n) + 1 (the prefix), so only sets that meet in a prefix shingle of two or more
+sets take part.
+
+1. Tries find links. Each set goes, with all its shingles, to the groups of a few of its shared prefix shingles. A task
+   puts the sets of a group one by one into a trie and walks the trie with each: the overlap with a path that sets share
+   is counted once, a subtree is left when the overlap so far plus what can remain is short of the need of its smallest set,
+   or when all its sets are in the component of the walking set. Groups of many sets are dealt over tasks; a few anchors
+   go to each part. What this step does not meet is left to the next.
+2. The rest is exact. Only prefix shingles that still hold several components matter. Their members outside the largest
+   component are compared with the members of other components by length, position and parity signatures (a few
+   words a set), and each pair that these leave is tested on a trie of the candidates of one set.
+
+So a group of near copies is never paired out, and no pair that could link and lies in two components goes untested:
+components are exact. Links are not counted: that needs every linked pair, the square of a group of near copies.
 
 Documents with equal sets share a set id (64 bits of a hash, as shingles have). Null texts and texts
 without words have empty sets and link with nothing. With fewer words than a shingle has, the whole
 sequence is the one shingle. Equal rows are linked unless empty. A null id is never the smallest of its component
-unless all its ids are null.
+unless all its ids are null. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded, mix64, shared_table, sums, text_blocks, words
 
 SKETCH, CHUNK = 1 << 20, 1 << 16
-#: A sketch bucket is heavy above this share of the documents (plus what a bucket holds on average).
-HEAVY_SHARE = 1 / 500
-#: Candidates of one probe that one task holds at a time.
-TREE_SETS = 256
+#: What a sketch bucket holds beyond the mean, in standard deviations plus a constant, before its shingles go behind all others; level by level eight times that.
+HEAVY_SIGMAS, HEAVY_LEAST, LEVELS = 6, 32, 3
+#: Sets, and shingles of sets, that one trie holds.
+TREE_SETS, TREE_SHINGLES = 256, 1 << 20
+#: Groups that a set goes to in the first step, and anchors of a group that is dealt over tasks.
+KEYS, ANCHORS = 3, 3
+#: Members of a prefix shingle that one task compares with at a time.
+MEMBERS = 2048
 BLOCK = 1 << 20
-PIVOT_SLACK = 4
 #: Tasks for labels of few enough nodes to be broadcast.
 FEW_TASKS = 8
 #: 64-bit words of a set's parity signature.
@@ -66,13 +74,19 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return hashes[keep], of[keep]
 
 
+def set_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each set of ``n`` shingles."""
+    total = sums(mix64(hashes ^ _FACTORS[0]).view(np.int64), np.append(0, np.cumsum(n)))
+    return mix64(total.view(np.uint64) + n.astype(np.uint64) * _FACTORS[1]).view(np.int64)
+
+
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def _ordered(hashes: np.ndarray, of: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In the global order; heavy shingles get the upper half of the numbers, light ones the lower."""
-    ranks = (hashes >> np.uint64(1)) | (heavy[_buckets(hashes)].astype(np.uint64) << np.uint64(63))
+def _ordered(hashes: np.ndarray, of: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In the global order: by level, then by hash; the level takes the two highest bits."""
+    ranks = (hashes >> np.uint64(2)) | (levels[_buckets(hashes)].astype(np.uint64) << np.uint64(62))
     order = np.lexsort((ranks, of))
     return ranks[order], of[order]
 
@@ -85,15 +99,6 @@ def signatures(hashes: np.ndarray, of: np.ndarray, n_sets: int) -> np.ndarray:
     return np.packbits(odd.reshape(n_sets, -1), axis=1).view("<i8")
 
 
-def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures leave room for a link."""
-    side = lambda c: signs.select(F.col("sid").alias(c), F.col("size").alias(f"{c}n"), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(SIGNS)])
-    both = pairs.join(bounded(side("a")), "a").join(bounded(side("b")), "b")
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIGNS)), F.lit(0))
-    sizes = F.col("an") + F.col("bn")
-    return both.where((100 + percent) * (sizes - apart) >= 2 * percent * sizes).select("a", "b")
-
-
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """Of each document its set's id, size and signature (kind 0), and of each task its sketch of document frequencies (kind 1)."""
 
@@ -102,11 +107,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         names = ["kind", "doc_id", "t1", "t2", "sid", "n", "chunk", "counts", *[f"s{i}" for i in range(SIGNS)]]
         for part, data, offsets in text_blocks(batches, "text", BLOCK):
             hashes, of = shingles(data, offsets, k)
-            sketch += np.bincount(_buckets(hashes), minlength=SKETCH)
+            np.add.at(sketch, _buckets(hashes), 1)
             n = np.bincount(of, minlength=part.num_rows)
-            sid = mix64(sums(mix64(hashes ^ _FACTORS[0]).view(np.int64), np.append(0, np.cumsum(n))).view(np.uint64) + n.astype(np.uint64) * _FACTORS[1])
+            sid = set_ids(hashes, n)
             m = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), part.column(1), part.column(2), pa.array(sid.view(np.int64)), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, np.ascontiguousarray(signatures(hashes, of, m).T))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), part.column(1), part.column(2), pa.array(sid), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, np.ascontiguousarray(signatures(hashes, of, m).T))], names=names)
         for c in range(SKETCH // CHUNK):
             counts = sketch[c * CHUNK : (c + 1) * CHUNK]
             if counts.any():
@@ -116,114 +121,282 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "kind int, doc_id long, t1 long, t2 long, sid long, n long, chunk int, counts binary" + "".join(f", s{i} long" for i in range(SIGNS)))
 
 
-def _heavy(sketches: DataFrame, least: float) -> np.ndarray:
-    """Which of the SKETCH buckets hold at least that many; the result has a fixed size."""
+def _levels(sketches: DataFrame, mean: float) -> np.ndarray:
+    """The level of each of the SKETCH buckets, 0 for most; the result has a fixed size."""
+    beyond = HEAVY_SIGMAS * mean**0.5 + HEAVY_LEAST
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for x in group.column("counts"):
             total += np.frombuffer(x.as_py(), "<i4")
-        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()], pa.int32()), "heavy": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+        level = sum((total >= mean + beyond * 8**i).astype(np.uint8) for i in range(LEVELS))
+        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
 
-    out = np.zeros(SKETCH, bool)
-    for r in sketches.groupBy("chunk").applyInArrow(add, "chunk int, heavy binary").collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.unpackbits(np.frombuffer(bytes(r["heavy"]), np.uint8))[:CHUNK].astype(bool)
+    out = np.zeros(SKETCH, np.uint8)
+    for r in sketches.groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["levels"]), np.uint8)
     return out
 
 
-def _met_enough(percent: int, slack: int) -> Column:
-    """Whether ``met`` common prefix shingles, of sets of sizes hn and pn, leave room for a link.
+class PrefixTree:
+    """Ordered sets as the paths of a trie; a node holds the shingles up to the next fork."""
+
+    __slots__ = ("part", "below", "ends", "least", "most", "one")
+
+    def __init__(self, part: np.ndarray, size: int, number: int):
+        self.part, self.below, self.ends = part, {}, []
+        self.least = self.most = size  # sizes of the smallest and the largest set below
+        self.one: int | None = number  # a set of the component that holds all sets below, if it is known that one does
+
+    def add(self, own: np.ndarray, number: int, root) -> None:
+        """Adds an ordered set; ``root``: the component of a set number."""
+        node, depth, n = self, 0, len(own)
+        while True:
+            m = min(len(node.part), n - depth)
+            differs = np.flatnonzero(node.part[:m] != own[depth : depth + m])
+            m = int(differs[0]) if len(differs) else m
+            if m < len(node.part):  # a fork
+                rest = PrefixTree(node.part[m:], node.least, number)
+                rest.below, rest.ends, rest.most, rest.one = node.below, node.ends, node.most, node.one
+                node.part, node.below, node.ends = node.part[:m], {int(rest.part[0]): rest}, []
+            node.least, node.most = min(node.least, n), max(node.most, n)
+            if node.one is not None and root(node.one) != root(number):
+                node.one = None
+            depth += m
+            if depth == n:
+                node.ends.append(number)
+                return
+            after = node.below.get(int(own[depth]))
+            if after is None:
+                node.below[int(own[depth])] = leaf = PrefixTree(own[depth:], n, number)
+                leaf.ends.append(number)
+                return
+            node = after
+
+    def links(self, probe: np.ndarray, percent: int, passed_over=lambda number: False, root=lambda number: number):
+        """Numbers of the sets that link with ``probe``; those for which ``passed_over`` holds are left out as soon as it does."""
+        n = len(probe)
+        stack = [(self, 0, 0, 0)]  # node, depth, overlap of the path to it, shingles of the probe that lie before it
+        while stack:
+            node, depth, overlap, before = stack.pop()
+            if 100 * node.most < percent * n or 100 * n < percent * node.least:
+                continue
+            if node.one is None:
+                kinds = {root(x) for x in node.ends} | {None if x.one is None else root(x.one) for x in node.below.values()}
+                node.one = kinds.pop() if len(kinds) == 1 else None
+            if node.one is not None and passed_over(node.one):
+                continue
+            need = -(-percent * (max(node.least, -(-percent * n // 100)) + n) // (100 + percent))
+            for at in range(0, len(node.part), 128):
+                if overlap + min(n - before, node.most - depth - at) < need:
+                    break
+                step = node.part[at : at + 128]
+                place = np.searchsorted(probe, step)
+                hit = (place < n) & (probe[np.minimum(place, n - 1)] == step)
+                overlap += int(np.count_nonzero(hit))
+                before = int(place[-1]) + int(hit[-1])
+            else:
+                depth += len(node.part)
+                if overlap + min(n - before, node.most - depth) < need:
+                    continue
+                for number in node.ends:
+                    if (100 + percent) * overlap >= percent * (depth + n) and not passed_over(number):
+                        yield number
+                stack += [(x, depth, overlap, before) for x in node.below.values()]
+
+
+def clustered(sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each ordered set the number of a set of its component, by walks of a growing trie."""
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    tree = None
+    for i, own in enumerate(sets):
+        if tree is None:
+            tree = PrefixTree(own[:0], len(own), i)
+        else:
+            for j in tree.links(own, percent, lambda x, i=i: root(x) == root(i), root):
+                parent[root(j)] = root(i)
+        tree.add(own, i, root)
+    return [root(i) for i in range(len(sets))]
 
-    Up to the end of the prefix that ends first all common shingles are in both prefixes; behind it that
-    set has at most ceil(percent * n / 100) - 1. A pivot round sees only part of what a pair has in common
-    and counts each ``slack`` times: what it leaves out is for a later round, the last one counts exactly.
-    """
-    rest = F.ceil(percent * F.greatest("hn", "pn") / 100) - 1
-    return (100 + percent) * (slack * F.col("met") + rest) >= percent * (F.col("hn") + F.col("pn"))
 
+def _dealt(rows: DataFrame, texts, k: int, levels, each, schema: str) -> DataFrame:
+    """What ``each`` gives for the sets of a group: ``rows`` (key, salt, role, sid) meet their texts; ``texts`` gives (sid, text) of a table of sids.
 
-def _could_link(a: str, b: str, percent: int) -> Column:
-    """Length and position bounds of two sets that meet in a token of their prefixes."""
-    an, bn, ap, bp = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    rest = F.least(an - ap, bn - bp)
-    before = F.least(ap, bp)  # what they may share before this token
-    return (100 * an >= percent * bn) & (100 * bn >= percent * an) & ((100 + percent) * (rest + before) >= percent * (an + bn))
+    ``each``: (roles, sids, ordered sets) to rows (a, b). A group beyond TREE_SETS sets or
+    TREE_SHINGLES shingles comes in parts, each with the sets of role 0.
+    """
+    rows = shared_table(rows, "sides")
+    # while the rows are few, the texts stay where they are read and only those asked for move
+    found = texts(rows.select("sid").distinct()).join(bounded(rows), "sid").select("key", "salt", "role", "sid", "text")
 
+    def run(batches):
+        at, held, size, pairs = None, [], 0, []
 
-def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
-    """Which of the ordered ``sets`` link with the ordered ``probe``.
+        def flush(again: bool):
+            nonlocal held, size
+            if any(role for role, _, _ in held):
+                pairs.extend(each(*map(list, zip(*held, strict=True))))
+            held = [x for x in held if again and x[0] == 0][: TREE_SETS // 4]
+            size = sum(len(x[2]) for x in held)
 
-    Sorted, the sets are the paths of a prefix tree; each walk goes on from the deepest node that it
-    shares with the one before, whose overlap is known, and ends where the need is out of reach.
-    """
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes() if sets[i].dtype.byteorder == ">" else sets[i].astype(">u8").tobytes())
-    out, n_probe = [False] * len(sets), len(probe)
-    last, counts = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # overlap at each depth that the last walk reached
-    for i in order:
-        own = sets[i]
-        n = len(own)
-        need = -(-percent * (n + n_probe) // (100 + percent))
-        m = min(len(last), n, len(counts) - 1)
-        differs = np.flatnonzero(own[:m] != last[:m])
-        depth = int(differs[0]) if len(differs) else m
-        counts = counts[: depth + 1]
-        while depth < n:
-            overlap = int(counts[-1])
-            passed = int(np.searchsorted(probe, own[depth - 1], "right")) if depth else 0
-            if overlap + min(n - depth, n_probe - passed) < need:
-                break
-            step = own[depth : depth + 64]
-            at = np.searchsorted(probe, step)
-            hit = (at < n_probe) & (probe[np.minimum(at, n_probe - 1)] == step)
-            counts = np.append(counts, overlap + np.cumsum(hit))
-            depth += len(step)
-        out[i] = depth == n and int(counts[-1]) >= need
-        last = own
-    return out
+        def sent():
+            a, b = zip(*pairs, strict=True)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        for part, data, offsets in text_blocks(batches, "text", BLOCK):
+            ranks, of = _ordered(*shingles(data, offsets, k), levels.value)
+            cut = np.searchsorted(of, np.arange(part.num_rows + 1))
+            keys = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
+            for i, (key, salt, role, sid) in enumerate(keys):
+                if (key, salt) != at:
+                    flush(False)
+                    at = (key, salt)
+                elif len(held) >= TREE_SETS or size >= TREE_SHINGLES:
+                    flush(True)
+                held.append((role, sid, ranks[cut[i] : cut[i + 1]].copy()))
+                size += int(cut[i + 1] - cut[i])
+            if pairs:
+                yield sent()
+        flush(False)
+        if pairs:
+            yield sent()
+
+    return found.repartition("key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(run, schema)
+
+
+def _signed(rows: DataFrame, signs: DataFrame) -> DataFrame:
+    """``rows`` with the signatures of their sets."""
+    columns = [f"s{i}" for i in range(SIGNS)]
+    return rows.join(bounded(signs.select("sid", *columns)), "sid").select(*rows.columns, *columns)
+
+
+def _signs(table: pa.Table, first: int) -> np.ndarray:
+    return np.stack([table.column(first + i).to_numpy() for i in range(SIGNS)], axis=1).view(np.uint64)
+
+
+def _groups_of(batches, keys: int, most: int = 50_000):
+    """Tables of whole groups of batches that are sorted by their first ``keys`` columns, each with where its groups begin, and their end."""
+    held: list[pa.RecordBatch] = []
+    size, enough = 0, most
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            size += batch.num_rows
+        if size and (batch is None or size >= enough):
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = np.append(True, np.logical_or.reduce([np.diff(table.column(i).to_numpy()) != 0 for i in range(keys)]))
+            edge = np.append(np.flatnonzero(first), len(first))
+            if batch is not None:
+                held = table.slice(int(edge[-2])).to_batches()  # the last group may go on
+                edge = edge[:-1]
+            size = len(first) - int(edge[-1])
+            enough = max(most, 2 * size)
+            if len(edge) > 1:
+                yield table, edge
+
+
+def _screened(rows: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, salt, role, sid) that sizes and signatures let link with another of their part; role 0 always stays."""
 
-def _tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int, heavy) -> DataFrame:
-    """The pairs (a, b) that link. ``texts``: (sid, text) of sets. A probe's candidates are dealt over as many tasks as they need."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / (4 * TREE_SETS)).cast("int").alias("salts"))
-    sides = (
-        pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("sid"), F.lit(1).alias("role"))
-        .unionByName(salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("sid"), F.lit(0).alias("role")))
+    def run(batches):
+        for table, edge in _groups_of(batches, 2):
+            n, sign, keep = table.column(4).to_numpy(), _signs(table, 5), table.column(2).to_numpy() == 0
+            for b, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                for at in range(b, e, 4 * TREE_SETS):  # parts are about TREE_SETS sets
+                    m = slice(at, min(e, at + 4 * TREE_SETS))
+                    for i in range(m.start, m.stop):
+                        if not keep[i]:
+                            apart = np.bitwise_count(sign[m] ^ sign[i]).sum(1, dtype=np.int64)
+                            sizes = n[m] + n[i]
+                            near = ((100 + percent) * (sizes - apart) >= 2 * percent * sizes) & (100 * n[m] >= percent * n[i]) & (100 * n[i] >= percent * n[m])
+                            near[i - at] = False
+                            keep[m] |= near
+                            keep[i] |= near.any()
+            if keep[: edge[-1]].any():
+                yield from table.slice(0, int(edge[-1])).filter(pa.array(keep[: edge[-1]])).select(range(4)).to_batches()
+
+    sized = _signed(rows.join(bounded(signs.select("sid", "size")), "sid").select("key", "salt", "role", "sid", "size"), signs)
+    return sized.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "key long, salt int, role int, sid long")
+
+
+def _first_links(postings: DataFrame, signs: DataFrame, texts, k: int, percent: int, levels) -> DataFrame:
+    """Links (a, b) between sets that meet in one of the KEYS groups of each, enough of them to join what a group joins."""
+    chosen = postings.groupBy("sid").agg(F.array_distinct(F.array(*[F.min_by("token", F.xxhash64("token", F.lit(i))) for i in range(KEYS)])).alias("keys"))
+    keyed = shared_table(chosen.select("sid", F.explode("keys").alias("key")), "set-keys")
+    turn = [F.min_by("sid", F.xxhash64("sid", F.lit(i))) for i in range(ANCHORS)]
+    groups = keyed.groupBy("key").agg(F.count("*").alias("m"), F.array_distinct(F.array(*turn)).alias("anchors")).where("m > 1")
+    groups = groups.select("key", "anchors", F.ceil(F.col("m") / (TREE_SETS - ANCHORS)).cast("int").alias("salts"))
+    joined = keyed.join(groups, "key")
+    own = joined.where((F.col("salts") == 1) | ~F.array_contains("anchors", F.col("sid")))
+    own = own.select("key", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "sid")
+    parts = groups.where("salts > 1").select("key", "anchors", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    anchors = parts.select("key", "salt", F.lit(0).alias("role"), F.explode("anchors").alias("sid"))
+
+    def each(roles, sids, sets):
+        return [(sid, sids[to]) for sid, to in zip(sids, clustered(sets, percent), strict=True) if sid != sids[to]]
+
+    return _dealt(_screened(own.unionByName(anchors), signs, percent), texts, k, levels, each, "a long, b long")
+
+
+def _tested(pairs: DataFrame, texts, k: int, percent: int, levels) -> DataFrame:
+    """The pairs (a, b) that link. The candidates of a set b are dealt over as many tasks as they need."""
+    salts = pairs.groupBy(F.col("b").alias("key")).agg(F.ceil(F.count("*") / (4 * TREE_SETS)).cast("int").alias("salts"))
+    rows = (
+        pairs.join(salts, F.col("b") == F.col("key")).select("key", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("sid"))
+        .unionByName(salts.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("key").alias("sid")))
     )
-    # while the sides are few, the texts stay where they are read and only those asked for move
-    rows = texts.join(bounded(shared_table(sides, "sides")), "sid").select("b", "salt", "role", "sid", "text")
 
-    def run(batches):
-        probe, at, held = None, None, []
-        found: list[tuple[int, int]] = []
+    def each(roles, sids, sets):
+        tree = PrefixTree(sets[1][:0], len(sets[1]), 1)
+        for i in range(1, len(sets)):
+            tree.add(sets[i], i, lambda x: x)
+        return [(sids[i], sids[0]) for i in tree.links(sets[0], percent)]
 
-        def flush():
-            if probe is not None and held:
-                found.extend((sid, at[0]) for (sid, _), ok in zip(held, tree_overlaps(probe, [s for _, s in held], percent), strict=True) if ok)
-            held.clear()
+    return _dealt(rows, texts, k, levels, each, "a long, b long")
 
-        for part, data, offsets in text_blocks(batches, "text", BLOCK):
-            ranks, of = _ordered(*shingles(data, offsets, k), heavy.value)
-            cut = np.searchsorted(of, np.arange(part.num_rows + 1))
-            keys = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
-            for i, (b, salt, role, sid) in enumerate(keys):
-                if (b, salt) != at:
-                    flush()
-                    at, probe = (b, salt), None
-                own = ranks[cut[i] : cut[i + 1]]
-                if role == 0:
-                    probe = own
-                else:
-                    held.append((sid, own))
-                    if len(held) >= TREE_SETS:
-                        flush()
+
+def _candidates(held: DataFrame, groups: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that all bounds leave. ``held``: token, sid, n, pos, label; ``groups``:
+    token, main (its largest component), all (its members).
+
+    Up to the end of the prefix that ends first all common shingles are in both prefixes, where their number, met, is
+    counted; behind it that set has at most ceil(percent * n / 100) - 1.
+    """
+    rows = held.join(bounded(groups), "token").withColumn("salts", F.ceil(F.col("all") / MEMBERS).cast("int")).withColumn("home", F.pmod(F.xxhash64("sid"), "salts").cast("int"))
+    everywhere = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("home"))
+    rows = _signed(rows.select("token", F.explode(everywhere).alias("salt"), "home", "sid", "n", "pos", "label", "main"), signs)
+
+    def run(batches):
+        for table, edge in _groups_of(batches, 2):
+            token, salt, home, sid, n, pos, label, main = (table.column(i).to_numpy() for i in range(8))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            sign, found = _signs(table, 8), []
+            for b, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                mine = b + np.flatnonzero(home[b:e] == salt[b])
+                for p in (b + np.flatnonzero(label[b:e] != main[b])).tolist():
+                    m = mine[(label[mine] != label[p]) & ((label[mine] == main[p]) | (sid[p] > sid[mine]))]
+                    m = m[(100 * n[m] >= percent * n[p]) & (100 * n[p] >= percent * n[m])]
+                    rest, before = np.minimum(n[m] - pos[m], n[p] - pos[p]), np.minimum(pos[m], pos[p])
+                    m = m[(100 + percent) * (rest + before) >= percent * (n[m] + n[p])]
+                    apart = np.bitwise_count(sign[m] ^ sign[p]).sum(1, dtype=np.int64)
+                    m = m[(100 + percent) * (n[m] + n[p] - apart) >= 2 * percent * (n[m] + n[p])]
+                    if len(m):
+                        found.append(np.stack([np.maximum(sid[m], sid[p]), np.minimum(sid[m], sid[p]), n[m] + n[p], np.maximum(n[m], n[p])], axis=1))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-                found = []
-        flush()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                pairs, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i]) for i in range(4)), pa.array(met)], names=["a", "b", "both", "larger", "met"])
 
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(run, "a long, b long").distinct()
+    met = rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, "a long, b long, both long, larger long, met long")
+    met = met.groupBy("a", "b", "both", "larger").agg(F.sum("met").alias("met"))
+    rest = F.ceil(percent * F.col("larger") / 100) - 1
+    return met.where((100 + percent) * (F.col("met") + rest) >= percent * F.col("both")).select("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -258,13 +431,11 @@ def text_hashes(text: Column) -> tuple[Column, Column]:
 
 
 def join_components(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row; n_links: links of its set to other sets that were tested."""
-    return keyed_components(docs, **options).select("doc_id", "n_shingles", "component_id", "n_links")
+    """doc_id, n_shingles and component_id of every row."""
+    return keyed_components(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
-def keyed_components(
-    docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80, most_rounds: int = 40, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
+def keyed_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``join_components`` has, with each row's text hashes t1 and t2 and the label of its component.
 
     The label tells components apart that share an id or have none; it is null for rows without a shingle.
@@ -275,69 +446,46 @@ def keyed_components(
     docs = docs.select("doc_id", *text_hashes(docs["text"]), "text")
     found = shared_table(_sets(docs, k), "shingle-sets")
     sets = found.where("kind = 0").select("doc_id", "t1", "t2", "sid", "n")
-    n_docs, n_tokens = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    heavy = spark.sparkContext.broadcast(_heavy(found.where("kind = 1").select("chunk", "counts"), max(2.0, n_docs * HEAVY_SHARE + n_tokens / SKETCH)))
+    n_tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    levels = spark.sparkContext.broadcast(_levels(found.where("kind = 1").select("chunk", "counts"), n_tokens / SKETCH))
 
     def with_sid(batches):
         for part, data, offsets in text_blocks(batches, "text", BLOCK):
             hashes, of = shingles(data, offsets, k)
             n = np.bincount(of, minlength=part.num_rows)
-            sid = mix64(sums(mix64(hashes ^ _FACTORS[0]).view(np.int64), np.append(0, np.cumsum(n))).view(np.uint64) + n.astype(np.uint64) * _FACTORS[1])
-            ranks, of = _ordered(hashes, of, heavy.value)
+            sid = set_ids(hashes, n)
+            ranks, of = _ordered(hashes, of, levels.value)
             pos = np.arange(len(of)) - (np.cumsum(n) - n)[of]
             first = np.zeros(part.num_rows, bool)  # of equal sets in a block one is enough
             first[np.unique(sid, return_index=True)[1]] = True
             keep = first[of] & (pos <= n[of] - -(-percent * n[of] // 100))
-            yield pa.RecordBatch.from_arrays([pa.array(ranks[keep].view(np.int64)), pa.array(sid.view(np.int64)[of[keep]]), pa.array(n[of[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "sid", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranks[keep].view(np.int64)), pa.array(sid[of[keep]]), pa.array(n[of[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "sid", "n", "pos"])
 
     prefixes = docs.select("text").mapInArrow(with_sid, "token long, sid long, n int, pos int")
     live = prefixes.select("token", "sid").groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token")
     postings = shared_table(prefixes.join(live, "token", "left_semi").distinct(), "postings")
     rep = found.where("kind = 0").groupBy("sid").agg(F.min(F.struct("doc_id", "t1", "t2", *[f"s{i}" for i in range(SIGNS)], F.col("n").alias("size"))).alias("rep"))
     candidates = shared_table(postings.select("sid").distinct().join(rep, "sid").select("sid", "rep.*"), "candidates")
-    wanted = bounded(candidates.select("sid", "doc_id", "t1", "t2"))
-    texts = shared_table(
-        docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2"))).select("w.sid", "d.text"),
-        "candidate-texts",
-    )
-    labels = spark.createDataFrame([], "node long, label long")
-    links = spark.createDataFrame([], "a long, b long")
-    total = postings.count()
-    for r in range(most_rounds):
-        held = postings.join(labels, postings["sid"] == labels["node"], "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
-        by_label = held.groupBy("token", "label").agg(F.count("*").alias("m"))
-        groups = by_label.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.min_by("label", F.xxhash64("label", F.lit(r))).alias("turn"))
-        groups = groups.where("all > most")
-        held = shared_table(held.join(groups, "token"), "groups")
-        left = held.groupBy("token").agg(F.first("all").alias("all"), F.first("most").alias("most")).agg(F.coalesce(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.lit(0))).first()[0]
-        last = r > 0 and left <= 20 * total
-        if last:
-            probes = held.where("label <> main")
-            once = (F.col("h.label") == F.col("h.main")) | (F.col("p.sid") > F.col("h.sid"))  # both ways round are one pair
-        else:
-            turn = Window.partitionBy("token").orderBy("n", "sid")
-            probes = held.where("label = turn").withColumn("nth", F.row_number().over(turn)).where("nth = 1").drop("nth")
-            once = F.lit(True)
-        one, other = probes.alias("p"), held.alias("h")
-        pairs = one.join(other, (F.col("p.token") == F.col("h.token")) & (F.col("p.label") != F.col("h.label")) & once & _could_link("p", "h", percent))
-        big, small = (F.greatest, F.least) if last else (lambda h, p: F.col(h), lambda h, p: F.col(p))
-        pairs = pairs.select(big("h.sid", "p.sid").alias("a"), small("h.sid", "p.sid").alias("b"), F.col("h.n").alias("hn"), F.col("p.n").alias("pn"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("hn").alias("hn"), F.first("pn").alias("pn")).where(_met_enough(percent, 1 if last else PIVOT_SLACK)).select("a", "b")
-        near = shared_table(_near(shared_table(pairs, "pairs"), candidates, percent), "near-pairs")
-        new = shared_table(_tested(near, texts, k, percent, heavy), "links")
-        links = links.unionByName(new)
-        labels = components(links)
-        if last or not left:
-            break
-    else:
-        raise RuntimeError("groups were left after the last round")
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    placed = (
-        sets.join(labels, sets["sid"] == labels["node"], "left").join(degree, sets["sid"] == degree["a"], "left")
-        .select("doc_id", "t1", "t2", "n", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    repeated = not sets.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+
+    def texts(sids: DataFrame) -> DataFrame:
+        wanted = shared_table(candidates.join(bounded(sids), "sid", "left_semi").select("sid", "doc_id", "t1", "t2"), "wanted").alias("w")
+        same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t1") == F.col("w.t1")) & (F.col("d.t2") == F.col("w.t2"))
+        got = docs.alias("d").join(bounded(wanted), same).select("w.sid", "d.text")
+        return got.dropDuplicates(["sid"]) if repeated else got  # one of the rows equal in id and text
+
+    links = shared_table(_first_links(postings, candidates, texts, k, percent, levels), "first-links")
+    labels = components(links)
+    held = postings.join(bounded(labels), postings["sid"] == labels["node"], "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
+    by_label = held.groupBy("token", "label").agg(F.count("*").alias("m"))
+    groups = by_label.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most")).where("all > most").select("token", "main", "all")
+    pairs = shared_table(_candidates(held, shared_table(groups, "groups"), candidates, percent), "pairs")
+    more = shared_table(_tested(pairs, texts, k, percent, levels), "links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    placed = sets.join(bounded(labels), sets["sid"] == labels["node"], "left").select("doc_id", "t1", "t2", "n", F.coalesce("label", "sid").alias("label"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "n_links",
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         "t1", "t2", F.when(F.col("n") > 0, F.col("label")).alias("label"),
     )
