@@ -11,13 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, at most (one longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches to BATCH_BYTES, so that memory does not grow with the length of texts."""
+    have = spark.conf.get(_BATCH_SETTING)
+    if not have.rstrip("b").isdigit() or not 0 < int(have.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a temporary folder serves a local session (tests); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="sparkquarry-")
@@ -28,6 +42,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here, and a
     lost executor costs only the tasks that read from it."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

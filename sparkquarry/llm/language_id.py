@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ppm
-from .common import LOWER, text_blocks
+from .common import bounded_batches, LOWER, text_blocks
 
 UNKNOWN = "und"
 RESULT = {"lang_pred": T.StringType(), "score": T.DoubleType(), "bits_per_byte": T.DoubleType()}
@@ -40,6 +40,7 @@ def _lowered(data: np.ndarray, offsets: np.ndarray):
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_nodes: int = 30_000) -> LanguageModel:
     """Learns from every row with text and language."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     languages = sorted(r[0] for r in docs.select("lang").distinct().collect())
     total = ppm.byte_counts(docs.select("text"), "text", _lowered)
@@ -57,6 +58,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most
 def predict(model: LanguageModel, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte (of the language found; null for und)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     names = [c for c in docs.columns if c not in RESULT and c != "__lettered"]
     lettered = F.coalesce(docs[text_col].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")
     # a text that is a column of the result as well goes to the tasks once

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gram_table, ppm
-from .common import LOWER, _SEPARATOR, shared_table, sums, text_blocks, words
+from .common import _SEPARATOR, bounded_batches, LOWER, shared_table, sums, text_blocks, words
 
 TOP_WORDS = 65_536
 _FACTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word long, gram long, n int"
@@ -64,6 +64,7 @@ def _counted_rows(keys: np.ndarray, doc: np.ndarray, rows: np.ndarray, name: str
 def score_documents(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document; ``training``: which rows the model may learn from."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.concat(F.lit(" "), F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(" "))
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), (~F.coalesce(training, F.lit(False))).alias("held_out"), text.alias("text"))
     learned = source.where("NOT held_out").select("text")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_table, text_blocks
+from .common import bounded_batches, mix64, shared_table, text_blocks
 from .sais import permuted_common_prefixes, suffix_array, words_at
 
 GRAM, PLACE_BITS = 32, 26
@@ -205,6 +205,7 @@ def _text_key(text: Column) -> list[Column]:
 
 def dedup(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs as byte ranges) and kept (bytes) of every row."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", *_text_key(F.col("text")))
     long_ = docs.where(F.octet_length("text") >= length).select("t1", "t2", "text")
