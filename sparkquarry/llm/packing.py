@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import _FACTOR, _INVERSE, _power, mix64, text_blocks
+from .common import _FACTOR, _INVERSE, _power, bounded_batches, mix64, text_blocks
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -55,15 +55,19 @@ class WordTokenizer:
     Each block of texts is cut into words at spaces and single full stops or commas, its distinct
     words (by 64-bit hash) are encoded once and kept for later blocks, and the ids are gathered.
     Plain words go to the tokenizer's model at once, other words through all of it, and texts with
-    characters that normalisation or white-space rules could touch are encoded whole.
+    characters that normalisation or white-space rules could touch, or with the spelling of an added (special)
+    token, are encoded whole, so that ids are the tokenizer's own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+            raise ValueError("ids are kept in 16 bits: vocabularies of at most 65,536 entries")
+        #: Spellings that the tokenizer takes out of a text before it splits words.
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.ids: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
@@ -133,8 +137,8 @@ class WordTokenizer:
         ids = pool[np.repeat(begins[of] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         cut = np.append(0, ends)[np.searchsorted(doc, np.arange(n_docs + 1))]
         out = [ids[cut[i] : cut[i + 1]] for i in range(n_docs)]
-        odd = np.flatnonzero(_ODD[data])
-        for i in np.unique(np.searchsorted(offsets, odd, "right") - 1):
+        odd = [np.flatnonzero(_ODD[data])] + [np.array([m.start() for m in re.finditer(re.escape(x), raw)], np.int64) for x in self.added if x in raw]
+        for i in np.unique(np.searchsorted(offsets, np.concatenate(odd), "right") - 1):
             out[i] = np.frombuffer(self.whole(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")), "<u2")
         return out
 
@@ -245,4 +249,5 @@ def pack_documents(
         if tokens:
             yield flush()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
