@@ -6,23 +6,26 @@ gradient steps fit nonnegative rates, all 1 at first, so that expected tokens me
 weighted least squares. With document weights equal to tokens a step is
 rate <- max(0, rate - posterior . step), so all that a step needs is one vector over domains: the
 driver keeps these vectors, each iteration is one aggregation over a small table, and a lost
-executor costs nothing but its tasks.
+executor costs nothing but its tasks. A fit that ends short of its targets, as some can't be met, raises no error:
+``mix_residual`` of ``RateFit`` says how far off it is.
 
-Classifier: naive Bayes on the presence of ``vocabulary`` words, chosen by how far their document
-frequencies in the domains lie apart among those at least ``least_lift`` times as frequent in one
-domain as in any other. It is fitted on at most ``labelled`` rows of each domain (a documented bound,
-chosen by hash of the id); everything else covers all documents.
+Classifier: naive Bayes on the presence of words, and on shares of capitals and of repeated words in steps. Every
+word counts whose document frequencies in the domains differ beyond chance (G statistic of at least ``least_g``), that is at
+least ``least_lift`` times as frequent in one domain as in any other and stands in ``least_documents`` documents. It is fitted on at
+most ``labelled`` rows of each domain (a documented bound, chosen by hash of the id), so the number of its words has a bound as
+well; everything else covers all documents.
 
 Null or empty text: no tokens, the posterior follows the words that it lacks, the rate is fitted as
 any other. Labels without an id or a domain are left out; of several labels of one id the
-first domain in name order counts. Equal rows are rated each for itself. With no labelled document posteriors are
-equal shares. Input columns named like an added column are replaced.
+first domain in name order counts. Equal rows are rated alike and each for itself. With no labelled document posteriors are
+equal shares. An empty table stays empty. Input columns named like an added column are replaced; other names never clash.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import shared_table
 
 ADDED = ("mix_tokens", "mix_posterior", "mix_rate", "mix_copies")
+#: Rows of a domain among which the labelled ones are chosen are first thinned in this many parts, so that no window meets a whole domain.
+PARTS = 64
+#: Upper ends of the steps of a share.
+STEPS = (0.02, 0.05, 0.1, 0.2, 0.4)
 
 
 @dataclass
@@ -39,120 +46,155 @@ class DomainModel:
     weights: list[list[float]]  # by domain: of the words, then the constant
 
 
+@dataclass
+class RateFit:
+    """The steps that lead to the rates, and how far the expected tokens are off, as a share of all that is wanted."""
+
+    steps: list[list[float]] = field(default_factory=list)
+    mix_residual: float = 0.0
+
+
 def _words(text: Column) -> Column:
     """Words without case; runs of marks other than sentence marks are words of their own."""
     return F.split(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"([%&$#*|<>=@~^+]+)", " $1 "), r"[\s.,;:!?]+")
 
 
+def _shape(text: Column, words: Column) -> Column:
+    """Words with a blank in front that say in which step the shares of capitals and of repeated words lie."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    size = F.greatest(F.length(text), F.lit(1))
+    of = {
+        "capitals": F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / size,
+        "repeated": 1 - F.size(F.array_distinct(words)) / F.size(words),
+    }
+    step = lambda share: sum((F.when(share > x, 1).otherwise(0) for x in STEPS), F.lit(0)).cast("string")
+    return F.array(*[F.concat(F.lit(f" {name} "), step(share)) for name, share in of.items()])
+
+
 def fit_domains(
-    docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], *, labelled: int = 2_000, vocabulary: int = 32,
-    least_documents: int = 5, least_lift: float = 4.0, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], *, labelled: int = 2_000, least_g: float = 10.8,
+    least_documents: int = 5, least_lift: float = 2.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> DomainModel:
     """Learns from ``labels`` (``id_col`` and what ``domain`` reads) and the texts of those documents."""
     n = len(domains)
     known = (
         labels.select(labels[id_col].alias("label_id"), domain.alias("domain")).where(F.col("label_id").isNotNull() & F.col("domain").isin(domains))
-        .groupBy("label_id").agg(F.min("domain").alias("domain"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("label_id"), "label_id")))
-        .where(F.col("nth") <= labelled).select("label_id", "domain")
+        .groupBy("label_id").agg(F.min("domain").alias("domain")).withColumn("turn", F.xxhash64("label_id"))
     )
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("turn", "label_id"))
+    thinned = known.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "label_id"), F.lit(PARTS))).withColumn("nth", nth("domain", "part")).where(F.col("nth") <= labelled)
+    known = thinned.withColumn("nth", nth("domain")).where(F.col("nth") <= labelled).select("label_id", "domain")
     # at most ``labelled`` rows a domain, so a broadcast has a bound
-    sample = shared_table(
-        docs.join(F.broadcast(known), docs[id_col] == F.col("label_id")).select("domain", F.array_distinct(_words(docs[text_col])).alias("words")), "labelled"
-    )
+    own = docs.select(docs[id_col].alias("own_id"), docs[text_col].cast("string").alias("own_text"))
+    sample = own.join(F.broadcast(known), F.col("own_id") == F.col("label_id")).withColumn("words", _words(F.col("own_text")))
+    sample = shared_table(sample.select("domain", F.array_distinct(F.concat("words", _shape(F.col("own_text"), F.col("words")))).alias("words")), "labelled")
     totals = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return DomainModel(domains, [], [[0.0] for _ in domains])
-    share = [(F.coalesce(F.sum(F.when(F.col("domain") == d, 1)), F.lit(0)) + 0.5) / (totals.get(d, 0) + 1.0) for d in domains]
-    entropy = lambda p: -(p * F.log(p) + (1 - p) * F.log(1 - p))
+    all_ = sum(totals.values())
+    found = [F.coalesce(F.sum(F.when(F.col("domain") == d, 1)), F.lit(0)) for d in domains]
     counted = sample.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word")
-    shares = counted.agg(F.count("*").alias("n"), *[s.alias(f"p{i}") for i, s in enumerate(share)]).where(F.col("n") >= least_documents)
-    mean = sum((F.col(f"p{i}") for i in range(n)), F.lit(0.0)) / n
-    apart = entropy(mean) - sum((entropy(F.col(f"p{i}")) for i in range(n)), F.lit(0.0)) / n
+    shares = counted.agg(F.count("*").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(found)]).where(F.col("n") >= least_documents)
+    shares = shares.select("word", "n", "*", *[((F.col(f"c{i}") + 0.5) / (totals.get(d, 0) + 1.0)).alias(f"p{i}") for i, d in enumerate(domains)])
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    g = F.lit(0.0)
+    for i, d in enumerate(domains):
+        size = float(totals.get(d, 0))
+        if size:
+            g = g + part(F.col(f"c{i}"), F.col("n") * size / all_) + part(size - F.col(f"c{i}"), (all_ - F.col("n")) * size / all_)
     ranked = F.sort_array(F.array(*[F.col(f"p{i}") for i in range(n)]), asc=False)
+    telling = 2 * g >= least_g
     if n > 1:  # a word must point to one domain, so that languages or topics of the sample don't decide
-        shares = shares.where(ranked[0] >= least_lift * ranked[1])
-    best = shares.orderBy(F.desc(apart), "word").limit(vocabulary).collect()
-    all_ = sum(totals.values())
+        telling = telling & (ranked[0] >= least_lift * ranked[1])
+    # the words of at most ``labelled`` documents a domain, each in several of them: a bounded number
+    best = shares.where(telling | F.col("word").startswith(" ")).select("word", *[f"p{i}" for i in range(n)]).orderBy("word").collect()
     weights = []
     for i, d in enumerate(domains):
         p = [min(max(r[f"p{i}"], 1e-6), 1 - 1e-6) for r in best]
         prior = math.log((totals.get(d, 0) + 1) / (all_ + n))
-        weights.append([math.log(x) - math.log(1 - x) for x in p] + [prior + sum(math.log(1 - x) for x in p)])
+        # the steps of a share are one feature: only the one that holds counts
+        own = [math.log(x) - (0.0 if r["word"].startswith(" ") else math.log(1 - x)) for r, x in zip(best, p, strict=True)]
+        weights.append(own + [prior + sum(math.log(1 - x) for r, x in zip(best, p, strict=True) if not r["word"].startswith(" "))])
     return DomainModel(domains, [r["word"] for r in best], weights)
 
 
-def _added(places: str, weights: list[float]) -> Column:
-    """The last weight plus those at the places."""
-    by_place = F.lit(weights[:-1] or [0.0])
-    return F.aggregate(places, F.lit(weights[-1]), lambda total, k: total + F.get(by_place, k - 1))
-
-
-def _features(docs: DataFrame, model: DomainModel, id_col: str, text_col: str) -> DataFrame:
-    """docs' key, tokens and posteriors p0, p1, ..."""
-    n = len(model.domains)
-    words = docs.select(docs[id_col].alias("mix_id"), F.xxhash64(docs[text_col].cast("string")).alias("mix_text"), _words(docs[text_col]).alias("words"))
-    tokens = F.size("words") - F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
-    places = F.transform(F.array_intersect("words", F.lit(model.words)), lambda w: F.array_position(F.lit(model.words), w).cast("int")) if model.words else F.array().cast("array<int>")
-    found = words.select("mix_id", "mix_text", tokens.cast("long").alias("tokens"), places.alias("places"))
-    logs = [_added("places", w) for w in model.weights]
-    found = found.select("mix_id", "mix_text", "tokens", *[x.alias(f"l{i}") for i, x in enumerate(logs)])
-    top = F.greatest(*[F.col(f"l{i}") for i in range(n)]) if n > 1 else F.col("l0")
-    found = found.select("mix_id", "mix_text", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(n)])
-    total = sum((F.col(f"e{i}") for i in range(n)), F.lit(0.0))
-    return found.select("mix_id", "mix_text", "tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in range(n)])
-
-
-def _rate(steps: list[list[float]], n: int, most: float | None = None) -> Column:
+def _posteriors(docs: DataFrame, name: str, text: Column, model: DomainModel) -> DataFrame:
+    """``docs`` with a struct ``name`` of a text's tokens and its array ``p`` of posteriors."""
+    n, c = len(model.domains), lambda x: F.col(name)[x]
+    # whole tables of the model as one literal each
+    vocabulary = F.from_json(F.lit(json.dumps(model.words)), "array<string>")
+    weights = F.from_json(F.lit(json.dumps([list(map(float, w)) for w in zip(*model.weights, strict=True)])), "array<array<double>>")
+    docs = docs.withColumn(name, F.struct(text.cast("string").alias("text"), _words(text).alias("words")))
+    blank = F.when(F.get(c("words"), F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(c("words")) > 1) & (F.element_at(c("words"), -1) == ""), 1).otherwise(0)
+    found = F.array_intersect(F.concat(c("words"), _shape(c("text"), c("words"))), vocabulary)
+    docs = docs.withColumn(name, F.struct((F.size(c("words")) - blank).cast("long").alias("tokens"), F.transform(found, lambda w: F.array_position(vocabulary, w).cast("int")).alias("places")))
+    logs = F.aggregate(c("places"), F.element_at(weights, -1), lambda total, k: F.zip_with(total, F.get(weights, k - 1), lambda x, y: x + y))
+    docs = docs.withColumn(name, F.struct(c("tokens").alias("tokens"), logs.alias("logs")))
+    docs = docs.withColumn(name, F.struct(c("tokens").alias("tokens"), F.transform(c("logs"), lambda x: F.exp(x - F.array_max(c("logs")))).alias("odds")))
+    total = sum((F.get(c("odds"), F.lit(i)) for i in range(n)), F.lit(0.0))
+    return docs.withColumn(name, F.struct(c("tokens").alias("tokens"), F.transform(c("odds"), lambda x: x / total).alias("p")))
+
+
+def _rate(steps: list[list[float]], n: int, most: float | None = None, p=lambda i: F.col(f"p{i}")) -> Column:
     """The rate after these steps, each projected to 0 at least and ``most``."""
     if not steps:
         return F.lit(1.0)
-    dot = lambda v: sum((F.col(f"p{i}") * F.get(v, F.lit(i)) for i in range(n)), F.lit(0.0))
+    dot = lambda v: sum((p(i) * F.get(v, F.lit(i)) for i in range(n)), F.lit(0.0))
     upper = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
     return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, v: upper(F.greatest(F.lit(0.0), r - dot(v))))
 
 
-def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 20, tolerance: float = 1e-4, most: float | None = None) -> list[list[float]]:
-    """The steps; ``targets``: expected tokens of each domain."""
+def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 30, tolerance: float = 1e-4, most: float | None = None) -> RateFit:
+    """The steps to the rates; ``targets``: expected tokens of each domain. Ends when the targets are met within ``tolerance``
+    of their sum, or when a step no longer comes nearer (rates at a bound)."""
     n = len(targets)
     pairs = [(i, j) for i in range(n) for j in range(n)]
     first = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
+    if not any(first[f"h{i}_{i}"] for i in range(n)):
+        return RateFit()  # no tokens, nothing to fit
     scale = [max(first[f"h{i}_{i}"], 1e-9) for i in range(n)]
     # rows of |H| / scale bound the largest eigenvalue, so the step is short enough
     step = 1 / max(sum(abs(first[f"h{i}_{j}"]) / scale[i] for j in range(n)) for i in range(n))
-    steps: list[list[float]] = []
+    fit, wanted, before = RateFit(), max(1.0, sum(targets)), math.inf
     for _ in range(iterations):
-        got = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * _rate(steps, n, most)), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
+        got = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * _rate(fit.steps, n, most)), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
         off = [got[f"s{i}"] - targets[i] for i in range(n)]
-        if max(abs(x) for x in off) <= tolerance * max(1.0, sum(targets)):
+        worth = sum(x * x / s for x, s in zip(off, scale, strict=True))
+        fit.mix_residual = max(abs(x) for x in off) / wanted
+        if fit.mix_residual <= tolerance or worth >= 0.998 * before:
             break
-        steps.append([step * x / s for x, s in zip(off, scale, strict=True)])
-    return steps
+        before = worth
+        fit.steps.append([step * x / s for x, s in zip(off, scale, strict=True)])
+    return fit
 
 
 def mix(
     docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, *, budget: float | None = None, factors: dict[str, float] | None = None,
-    most_rate: float | None = None, iterations: int = 20, id_col: str = "doc_id", text_col: str = "text",
+    most_rate: float | None = None, iterations: int = 30, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with tokens, posteriors (by domain), rate and copies (the rate, rounded by a hash of the id).
 
     Targets: ``weights``, shares of ``budget`` tokens (as many as there are, if not given), or ``factors`` of what each domain has now.
-    With ``most_rate`` the fit keeps every rate at or under it.
+    With ``most_rate`` the fit keeps every rate at or under it. A rate follows from a row's own text, so no text is shuffled.
     """
     n = len(model.domains)
-    features = shared_table(_features(docs, model, id_col, text_col), "mix-features")
+    name = "mix"  # that no column has
+    while name in docs.columns:
+        name += "_"
+    kept = docs.select(*[docs[c] for c in docs.columns if c not in ADDED], docs[id_col].alias(f"{name}_id"), docs[text_col].cast("string").alias(f"{name}_text"))
+    alone = _posteriors(docs.select(docs[text_col].cast("string").alias("text")), "own", F.col("text"), model)
+    features = shared_table(alone.select(F.col("own")["tokens"].alias("tokens"), *[F.get(F.col("own")["p"], F.lit(i)).alias(f"p{i}") for i in range(n)]), "mix-features")
     now = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
     if factors is not None:
         targets = [factors[d] * now[f"s{i}"] for i, d in enumerate(model.domains)]
     else:
         whole = sum(now[f"s{i}"] for i in range(n)) if budget is None else budget
         targets = [(weights or {}).get(d, 0.0) / max(sum((weights or {}).values()), 1e-12) * whole for d in model.domains]
-    steps = fit_rates(features, targets, iterations=iterations, most=most_rate)
-    rated = features.dropDuplicates(["mix_id", "mix_text"]).select(
-        "mix_id", "mix_text", F.col("tokens").alias("mix_tokens"), F.array(*[F.col(f"p{i}") for i in range(n)]).alias("mix_posterior"), _rate(steps, n, most_rate).alias("mix_rate")
-    )
-    chance = F.pmod(F.xxhash64("mix_id", "mix_text", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
-    same = docs[id_col].eqNullSafe(rated["mix_id"]) & (F.xxhash64(docs[text_col].cast("string")) == rated["mix_text"])
-    return docs.join(rated, same).select(
-        *[docs[c] for c in docs.columns if c not in ADDED], "mix_tokens", "mix_posterior", "mix_rate", F.floor(F.col("mix_rate") + chance).cast("long").alias("mix_copies")
-    )
+    fit = fit_rates(features, targets, iterations=iterations, most=most_rate)
+    rows = _posteriors(kept, name, F.col(f"{name}_text"), model)
+    own, id_, text = F.col(name), F.col(f"{name}_id"), F.col(f"{name}_text")
+    rate = _rate(fit.steps, n, most_rate, lambda i: F.get(own["p"], F.lit(i)))
+    chance = F.pmod(F.xxhash64(id_, F.xxhash64(text), F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
+    rows = rows.withColumn(name, F.struct(own["tokens"].alias("mix_tokens"), own["p"].alias("mix_posterior"), rate.alias("mix_rate"), chance.alias("chance")))
+    copies = F.floor(own["mix_rate"] + own["chance"]).cast("long")
+    return rows.select(*[c for c in docs.columns if c not in ADDED], *[own[c].alias(c) for c in ADDED[:3]], copies.alias("mix_copies"))
