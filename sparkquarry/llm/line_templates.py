@@ -6,10 +6,17 @@ a template: the masked line itself, or, where the leaf holds several, its most f
 position that has one with at least ``constant_share`` of the leaf's lines, and <*> elsewhere; lines belong to it that agree in ``similarity`` of the tokens behind the leading ones. Lines of fewer than
 twice the leading tokens are not generalised, as little would hold their template together.
 
-A template recurs across documents when it stands between at least ``least_contexts`` different
-neighbours (previous and next line) and these are at least ``least_share`` of its lines. Neighbours are
-counted, not documents: lines that recur only because whole documents are copied keep the same
-neighbours and stay. Lines of recurring templates are dropped; documents are never dropped.
+A template recurs across documents if one of two counts says so; documents are counted by kind, not one by one, so that
+lines that recur only because whole documents are copied, exactly or nearly, stay.
+
+- It stands between at least ``least_contexts`` different neighbours (previous and next line), and these are at least
+  ``least_share`` of its lines.
+- It stands in at least ``least_contexts`` kinds of documents, and these are at least ``kind_share`` of the different texts that
+  hold it. The kind of a document is the least hash of its lines: copies and most near copies share it, documents that
+  share only a passage seldom do. So the inner lines of a block that many documents share go as well.
+
+Lines of recurring templates are dropped; documents are never dropped. Lines under ``least_tokens`` tokens are no
+templates: one or two words recur by chance in running text.
 
 Null text stays null; empty lines and lines under ``least_tokens`` tokens stay. Rows that are equal
 in id and text lose the same lines. All input columns are kept; added columns replace input columns
@@ -47,43 +54,50 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, *more: str)
             "line_doc", "line_text",
             F.posexplode(F.transform("masked", lambda x, i: F.struct(
                 x.alias("masked"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i).alias("template"), F.get("hashes", i + 1).alias("after"),
-            ))).alias("pos", "line"),
+            ))).alias("pos", "line"), F.array_min("hashes").alias("kind"),
         )
         .select(
-            "line_doc", "line_text", "pos", F.when(F.trim(line) == "", 0).otherwise(tokens).alias("tokens"),
+            "line_doc", "line_text", "pos", "kind", F.when(F.trim(line) == "", 0).otherwise(tokens).alias("tokens"),
             F.xxhash64(tokens, F.substring_index(line, " ", depth)).alias("leaf"), F.col("line")["template"].alias("template"),
             F.xxhash64(F.col("line")["before"], F.col("line")["after"]).alias("context"), line.alias("masked"),
         )
-        .select("line_doc", "line_text", "pos", "tokens", "leaf", "template", "context", *more)
+        .select("line_doc", "line_text", "pos", "kind", "tokens", "leaf", "template", "context", *more)
     )
 
 
-def recurring(lines: DataFrame, key: str, least_contexts: int, least_share: float) -> DataFrame:
-    """Keys that stand between enough different neighbours; partial sums first, so no key is hot."""
-    return (
-        lines.groupBy(key, "context").agg(F.count("*").alias("n"), F.min("template").alias("low"), F.max("template").alias("high"))
-        .groupBy(key).agg(F.count("*").alias("contexts"), F.sum("n").alias("lines"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .where((F.col("contexts") >= least_contexts) & (F.col("contexts") >= least_share * F.col("lines")))
+def recurring(lines: DataFrame, key: str, least_contexts: int, least_share: float, kind_share: float) -> DataFrame:
+    """Keys that recur, with their least and greatest template; partial counts first, so no key is hot."""
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    own = [F.min("template").alias("low"), F.max("template").alias("high")]
+    by_context = (
+        lines.groupBy(key, "context").agg(F.count("*").alias("n"), *own).groupBy(key).agg(F.count("*").alias("kinds"), F.sum("n").alias("of"), *ends)
+        .where((F.col("kinds") >= least_contexts) & (F.col("kinds") >= least_share * F.col("of")))
+    )
+    by_kind = (
+        lines.groupBy(key, "kind", "line_text").agg(*own).groupBy(key, "kind").agg(F.count("*").alias("n"), *ends)
+        .groupBy(key).agg(F.count("*").alias("kinds"), F.sum("n").alias("of"), *ends)
+        .where((F.col("kinds") >= least_contexts) & (F.col("kinds") >= kind_share * F.col("of")))
     )
+    return by_context.unionByName(by_kind).groupBy(key).agg(*ends)
 
 
 def dropped_lines(
-    docs: DataFrame, *, least_contexts: int = 10, least_share: float = 0.3, least_tokens: int = 3, depth: int = 3,
+    docs: DataFrame, *, least_contexts: int = 10, least_share: float = 0.3, kind_share: float = 0.4, least_tokens: int = 3, depth: int = 3,
     constant_share: float = 0.5, similarity: float = 0.6, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(line_doc, line_text, pos) of the lines to drop; line_text is the hash of the text."""
     lines = shared_table(_lines(docs, id_col, text_col, depth).where(F.col("tokens") >= least_tokens), "lines")
-    exact = bounded(shared_table(recurring(lines, "template", least_contexts, least_share).select("template"), "templates"))
+    exact = bounded(shared_table(recurring(lines, "template", least_contexts, least_share, kind_share).select("template"), "templates"))
     first = lines.join(exact, "template", "left_semi").select("line_doc", "line_text", "pos")
 
     # leaves of several templates that recur only together; their lines are read again where the texts are
     several = F.col("tokens") >= 2 * depth
     rest = lines.where(several).join(exact, "template", "left_anti")
-    leaves = shared_table(recurring(rest, "leaf", least_contexts, least_share).where("low < high").select("leaf"), "leaves")
+    leaves = shared_table(recurring(rest, "leaf", least_contexts, least_share, kind_share).where("low < high").select("leaf"), "leaves")
     if leaves.isEmpty():
         return first
     wanted = _lines(docs, id_col, text_col, depth, "masked").where(several).join(bounded(leaves), "leaf", "left_semi").join(exact, "template", "left_anti")
-    wanted = shared_table(wanted.select("line_doc", "line_text", "pos", "leaf", "template", "context", F.split("masked", " ").alias("words")), "leaf-lines")
+    wanted = shared_table(wanted.select("line_doc", "line_text", "pos", "kind", "leaf", "template", "context", F.split("masked", " ").alias("words")), "leaf-lines")
     constants = (
         wanted.select("leaf", F.posexplode("words").alias("at", "token"))
         .groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
@@ -95,9 +109,9 @@ def dropped_lines(
     agreeing = F.size(F.filter(places, lambda i: F.try_element_at("constants", i).eqNullSafe(F.get("words", i))))
     matched = (
         wanted.join(bounded(shared_table(constants, "leaf-constants"), BROADCAST_ROWS // 10), "leaf")
-        .where(agreeing >= similarity * F.size(places)).select("line_doc", "line_text", "pos", "leaf", "template", "context")
+        .where(agreeing >= similarity * F.size(places)).select("line_doc", "line_text", "pos", "kind", "leaf", "template", "context")
     )
-    general = bounded(shared_table(recurring(matched, "leaf", least_contexts, least_share).select("leaf"), "general-leaves"))
+    general = bounded(shared_table(recurring(matched, "leaf", least_contexts, least_share, kind_share).select("leaf"), "general-leaves"))
     second = matched.join(general, "leaf", "left_semi").select("line_doc", "line_text", "pos")
     return first.unionByName(second)
 
