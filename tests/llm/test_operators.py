@@ -8,13 +8,13 @@ import public_tokenizers
 import pytest
 from brute import near_components, repeated_bytes, tokens
 
-from sparkquarry.llm import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, media_columns, packing, sharding, suffix_dedup
+from sparkquarry.llm import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
 from sparkquarry.llm.queries import QUERIES
 
 BASE = " ".join(f"word{i * 7919 % 997}" for i in range(90))
 TEXTS = [
     None, "", "   \n\t", "one two", "one two", BASE, BASE, BASE + " tail", BASE[:300] + " other words here " + BASE[300:], "A" * 3000, "ünïcödé 日本 " * 40,
-    "short TEXT of Six words here", "short text of six words here", " ".join(str(i) for i in range(2000)), BASE + " " + BASE,
+    "a <|endoftext|> b", "glued<|startoftext|>on", "short TEXT of Six words here", "short text of six words here", " ".join(str(i) for i in range(2000)), BASE + " " + BASE,
 ]
 SCHEMA = "doc_id long, text string, lang string, sid long, token long, size long"
 
@@ -165,3 +165,76 @@ def test_lines(spark):
     got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert all(got[i].text == "\n".join(x) and got[i].n_dropped == 1 for i, x in enumerate(own))
     assert got[99].text is None and got[98].text == ""
+
+
+def test_inner_lines_of_a_shared_block(spark):
+    import random
+
+    rng = random.Random(2)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(8))
+    block = [line() for _ in range(5)]
+    own = [[line() for _ in range(12)] for _ in range(60)]
+    whole = [line() for _ in range(15)]  # copied as a whole, with one line changed here and there
+    data = [(i, "\n".join([*x[:6], *block, *x[6:]])) for i, x in enumerate(own)]
+    data += [(100 + i, "\n".join([*whole[:7], *([line()] if i % 8 == 0 else []), *whole[7:]])) for i in range(60)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(frame.withColumns({"kind": frame["doc_id"], "pos": frame["doc_id"], "template": frame["text"]})).collect()}
+    assert all(got[i] == "\n".join(x) for i, x in enumerate(own))
+    assert all(got[d] == t for d, t in data[60:])
+
+
+def test_mixing_of_odd_rows(spark, docs, rows):
+    labels = spark.createDataFrame([(i, "clean" if i % 2 else "junk") for i in range(8)], "doc_id long, domain string")
+    odd = docs.selectExpr("*", "1 AS domain", "2 AS label_id", "3 AS mix_id", "4 AS mix", "5 AS mix_rate", "'x' AS own_text")
+    model = mixing.fit_domains(odd, labels, labels["domain"], ["clean", "junk"], least_documents=1, least_g=0.5)
+    got = mixing.mix(odd, model, {"clean": 1.0, "junk": 1.0}).collect()
+    assert len(got) == len(rows)
+    assert all(abs(sum(r.mix_posterior) - 1) < 1e-9 and r.mix_rate >= 0 and r.mix_copies in (int(r.mix_rate), int(r.mix_rate) + 1) for r in got)
+    assert all(r.mix_tokens == 0 for r in got if not (r.text or "").strip())
+    assert mixing.mix(_empty(odd), model, {"clean": 1.0}).count() == 0
+    none = mixing.fit_domains(odd, labels.limit(0), labels["domain"], ["clean", "junk"])
+    assert all(r.mix_posterior == [0.5, 0.5] for r in mixing.mix(odd.where("text IS NULL"), none, {"clean": 1.0}).collect())
+
+
+def test_mixing_held_out_and_residual(spark):
+    from sparkquarry.llm.queries import DOMAINS, label_domain
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = mixing.fit_domains(docs, labels.where("doc_id % 2 = 0"), label_domain(), DOMAINS)
+    held = docs.join(labels.where("doc_id % 2 = 1").select("doc_id", label_domain().alias("own")), "doc_id").where("own IS NOT NULL")
+    found = mixing.mix(held, model, factors={d: 1.0 for d in DOMAINS})
+    best = "element_at(array('clean', 'junk', 'toxic'), cast(array_position(mix_posterior, array_max(mix_posterior)) AS int))"
+    right = {r["own"]: r["hit"] for r in found.selectExpr("own", f"cast(own = {best} AS double) AS hit").groupBy("own").avg("hit").toDF("own", "hit").collect()}
+    assert right["clean"] > 0.98 and right["junk"] > 0.85 and right["toxic"] > 0.75, right
+
+
+def _noisy(n, words, edits, rng):
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(edits)):
+            own[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("tree_sets", "members"), [(256, 2048), (16, 8)])
+def test_near_components_of_hot_groups(spark, monkeypatch, tree_sets, members):
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(jaccard_join, "TREE_SETS", tree_sets)  # groups over many tasks and parts
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = _noisy(300, 80, 7, rng) + [f"{t} {shared}" for t in _noisy(40, 60, 9, rng)] + [f"{shared} own{i} end" for i in range(30)] + ["copy of a text with more words"] * 50
+    rows = list(enumerate(texts))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
+    assert got == sorted(near_components(rows))
+
+
+def test_joins_of_empty_and_repeated_rows(spark, docs):
+    assert jaccard_join.join_components(_empty(docs)).count() == 0
+    same = spark.createDataFrame([(None, BASE)] * 40 + [(7, BASE + " x")] * 3, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.join_components(same).collect()} == {(None, 7), (7, 7)}
