@@ -59,16 +59,18 @@ def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"([%&$#*|<>=@~^+]+)", " $1 "), r"[\s.,;:!?]+")
 
 
-def _shape(text: Column, words: Column) -> Column:
-    """Words with a blank in front that say in which step the shares of capitals and of repeated words lie."""
+def _shaped(docs: DataFrame, name: str, text: Column) -> DataFrame:
+    """``docs`` with a struct ``name`` of a text's words, tokens and features: the distinct words, and words with a blank in front
+    that say in which step the shares of capitals and of repeated words lie. Each stage reads what is dear from the one before."""
+    c = lambda x: F.col(name)[x]
     text = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    of = {
-        "capitals": F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / size,
-        "repeated": 1 - F.size(F.array_distinct(words)) / F.size(words),
-    }
-    step = lambda share: sum((F.when(share > x, 1).otherwise(0) for x in STEPS), F.lit(0)).cast("string")
-    return F.array(*[F.concat(F.lit(f" {name} "), step(share)) for name, share in of.items()])
+    capitals = F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / F.greatest(F.length(text), F.lit(1))
+    docs = docs.withColumn(name, F.struct(_words(text).alias("words"), capitals.alias("capitals")))
+    blank = F.when(F.get(c("words"), F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(c("words")) > 1) & (F.element_at(c("words"), -1) == ""), 1).otherwise(0)
+    docs = docs.withColumn(name, F.struct((F.size(c("words")) - blank).cast("long").alias("tokens"), F.size(c("words")).alias("n"), F.array_distinct(c("words")).alias("words"), c("capitals").alias("capitals")))
+    step = lambda share: F.size(F.filter(F.lit(list(STEPS)), lambda x: share > x)).cast("string")
+    shape = F.array(F.concat(F.lit(" capitals "), step(c("capitals"))), F.concat(F.lit(" repeated "), step(1 - F.size(c("words")) / c("n"))))
+    return docs.withColumn(name, F.struct(c("tokens").alias("tokens"), F.concat(c("words"), shape).alias("features")))
 
 
 def fit_domains(
@@ -86,8 +88,8 @@ def fit_domains(
     known = thinned.withColumn("nth", nth("domain")).where(F.col("nth") <= labelled).select("label_id", "domain")
     # at most ``labelled`` rows a domain, so a broadcast has a bound
     own = docs.select(docs[id_col].alias("own_id"), docs[text_col].cast("string").alias("own_text"))
-    sample = own.join(F.broadcast(known), F.col("own_id") == F.col("label_id")).withColumn("words", _words(F.col("own_text")))
-    sample = shared_table(sample.select("domain", F.array_distinct(F.concat("words", _shape(F.col("own_text"), F.col("words")))).alias("words")), "labelled")
+    sample = _shaped(own.join(F.broadcast(known), F.col("own_id") == F.col("label_id")).select("domain", "own_text"), "own", F.col("own_text"))
+    sample = shared_table(sample.select("domain", F.col("own")["features"].alias("words")), "labelled")
     totals = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return DomainModel(domains, [], [[0.0] for _ in domains])
@@ -124,10 +126,9 @@ def _posteriors(docs: DataFrame, name: str, text: Column, model: DomainModel) ->
     # whole tables of the model as one literal each
     vocabulary = F.from_json(F.lit(json.dumps(model.words)), "array<string>")
     weights = F.from_json(F.lit(json.dumps([list(map(float, w)) for w in zip(*model.weights, strict=True)])), "array<array<double>>")
-    docs = docs.withColumn(name, F.struct(text.cast("string").alias("text"), _words(text).alias("words")))
-    blank = F.when(F.get(c("words"), F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(c("words")) > 1) & (F.element_at(c("words"), -1) == ""), 1).otherwise(0)
-    found = F.array_intersect(F.concat(c("words"), _shape(c("text"), c("words"))), vocabulary)
-    docs = docs.withColumn(name, F.struct((F.size(c("words")) - blank).cast("long").alias("tokens"), F.transform(found, lambda w: F.array_position(vocabulary, w).cast("int")).alias("places")))
+    docs = _shaped(docs, name, text)
+    docs = docs.withColumn(name, F.struct(c("tokens").alias("tokens"), F.array_intersect(c("features"), vocabulary).alias("found")))
+    docs = docs.withColumn(name, F.struct(c("tokens").alias("tokens"), F.transform(c("found"), lambda w: F.array_position(vocabulary, w).cast("int")).alias("places")))
     logs = F.aggregate(c("places"), F.element_at(weights, -1), lambda total, k: F.zip_with(total, F.get(weights, k - 1), lambda x, y: x + y))
     docs = docs.withColumn(name, F.struct(c("tokens").alias("tokens"), logs.alias("logs")))
     docs = docs.withColumn(name, F.struct(c("tokens").alias("tokens"), F.transform(c("logs"), lambda x: F.exp(x - F.array_max(c("logs")))).alias("odds")))
@@ -141,15 +142,17 @@ def _rate(steps: list[list[float]], n: int, most: float | None = None, p=lambda
         return F.lit(1.0)
     dot = lambda v: sum((p(i) * F.get(v, F.lit(i)) for i in range(n)), F.lit(0.0))
     upper = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
-    return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, v: upper(F.greatest(F.lit(0.0), r - dot(v))))
+    whole = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    return F.aggregate(whole, F.lit(1.0), lambda r, v: upper(F.greatest(F.lit(0.0), r - dot(v))))
 
 
-def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 30, tolerance: float = 1e-4, most: float | None = None) -> RateFit:
+def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 20, tolerance: float = 1e-4, most: float | None = None) -> RateFit:
     """The steps to the rates; ``targets``: expected tokens of each domain. Ends when the targets are met within ``tolerance``
     of their sum, or when a step no longer comes nearer (rates at a bound)."""
     n = len(targets)
-    pairs = [(i, j) for i in range(n) for j in range(n)]
-    first = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"h{i}_{j}") for i, j in pairs]).first()
+    sums = lambda **of: [F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in of.items()]
+    p, tokens = [F.col(f"p{i}") for i in range(n)], F.col("tokens")
+    first = features.agg(*sums(**{f"h{i}_{j}": tokens * p[i] * p[j] for i in range(n) for j in range(n)})).first()
     if not any(first[f"h{i}_{i}"] for i in range(n)):
         return RateFit()  # no tokens, nothing to fit
     scale = [max(first[f"h{i}_{i}"], 1e-9) for i in range(n)]
@@ -157,7 +160,9 @@ def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 30
     step = 1 / max(sum(abs(first[f"h{i}_{j}"]) / scale[i] for j in range(n)) for i in range(n))
     fit, wanted, before = RateFit(), max(1.0, sum(targets)), math.inf
     for _ in range(iterations):
-        got = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * _rate(fit.steps, n, most)), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
+        # the rate is computed once a row: two selects, as an optimiser does not repeat what is dear
+        rated = features.select("tokens", *p, _rate(fit.steps, n, most).alias("rate"))
+        got = rated.agg(*sums(**{f"s{i}": tokens * p[i] * F.col("rate") for i in range(n)})).first()
         off = [got[f"s{i}"] - targets[i] for i in range(n)]
         worth = sum(x * x / s for x, s in zip(off, scale, strict=True))
         fit.mix_residual = max(abs(x) for x in off) / wanted
@@ -170,20 +175,24 @@ def fit_rates(features: DataFrame, targets: list[float], *, iterations: int = 30
 
 def mix(
     docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, *, budget: float | None = None, factors: dict[str, float] | None = None,
-    most_rate: float | None = None, iterations: int = 30, id_col: str = "doc_id", text_col: str = "text",
+    most_rate: float | None = None, iterations: int = 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with tokens, posteriors (by domain), rate and copies (the rate, rounded by a hash of the id).
 
     Targets: ``weights``, shares of ``budget`` tokens (as many as there are, if not given), or ``factors`` of what each domain has now.
-    With ``most_rate`` the fit keeps every rate at or under it. A rate follows from a row's own text, so no text is shuffled.
+    With ``most_rate`` the fit keeps every rate at or under it. Rows are written with their posteriors and read again: no text is
+    shuffled or judged twice.
     """
     n = len(model.domains)
     name = "mix"  # that no column has
     while name in docs.columns:
         name += "_"
-    kept = docs.select(*[docs[c] for c in docs.columns if c not in ADDED], docs[id_col].alias(f"{name}_id"), docs[text_col].cast("string").alias(f"{name}_text"))
-    alone = _posteriors(docs.select(docs[text_col].cast("string").alias("text")), "own", F.col("text"), model)
-    features = shared_table(alone.select(F.col("own")["tokens"].alias("tokens"), *[F.get(F.col("own")["p"], F.lit(i)).alias(f"p{i}") for i in range(n)]), "mix-features")
+    text = docs[text_col].cast("string")
+    chance = F.pmod(F.xxhash64(docs[id_col], F.xxhash64(text), F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
+    rows = docs.select(*[docs[c] for c in docs.columns if c not in ADDED], text.alias(f"{name}_text"), chance.alias(f"{name}_chance"))
+    rows = shared_table(_posteriors(rows, name, F.col(f"{name}_text"), model).drop(f"{name}_text"), "mix-rows")
+    own = F.col(name)
+    features = rows.select(own["tokens"].alias("tokens"), *[F.get(own["p"], F.lit(i)).alias(f"p{i}") for i in range(n)])
     now = features.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
     if factors is not None:
         targets = [factors[d] * now[f"s{i}"] for i, d in enumerate(model.domains)]
@@ -191,10 +200,7 @@ def mix(
         whole = sum(now[f"s{i}"] for i in range(n)) if budget is None else budget
         targets = [(weights or {}).get(d, 0.0) / max(sum((weights or {}).values()), 1e-12) * whole for d in model.domains]
     fit = fit_rates(features, targets, iterations=iterations, most=most_rate)
-    rows = _posteriors(kept, name, F.col(f"{name}_text"), model)
-    own, id_, text = F.col(name), F.col(f"{name}_id"), F.col(f"{name}_text")
     rate = _rate(fit.steps, n, most_rate, lambda i: F.get(own["p"], F.lit(i)))
-    chance = F.pmod(F.xxhash64(id_, F.xxhash64(text), F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
-    rows = rows.withColumn(name, F.struct(own["tokens"].alias("mix_tokens"), own["p"].alias("mix_posterior"), rate.alias("mix_rate"), chance.alias("chance")))
-    copies = F.floor(own["mix_rate"] + own["chance"]).cast("long")
+    rows = rows.withColumn(name, F.struct(own["tokens"].alias("mix_tokens"), own["p"].alias("mix_posterior"), rate.alias("mix_rate")))
+    copies = F.floor(own["mix_rate"] + F.col(f"{name}_chance")).cast("long")
     return rows.select(*[c for c in docs.columns if c not in ADDED], *[own[c].alias(c) for c in ADDED[:3]], copies.alias("mix_copies"))
