@@ -69,3 +69,17 @@ def match_patterns(path: Column, patterns: list[str]) -> Column:
 def match_wildcard(text: Column, pattern: str) -> Column:
     """``*`` stands for any text, everything else for itself."""
     return text.rlike("^(?s:" + ".*".join(re.escape(x) for x in pattern.split("*")) + ")$")
+
+
+def glob_regex_of(pattern: Column) -> Column:
+    """The expression of a glob that comes as a column, for joins of patterns with paths. Braces may nest; a comma is a
+    choice where the pattern has braces; other bounds than the length do not apply."""
+    out = F.regexp_replace(F.regexp_replace(pattern, "^(?:\\./)+", ""), "/+$", "")
+    out = F.regexp_replace(out, r"([.+^$()|\[\]\\])", r"\\$1")
+    out = F.when(out.contains("{"), F.replace(F.replace(F.replace(out, F.lit("{"), F.lit("(?:")), F.lit(","), F.lit("|")), F.lit("}"), F.lit(")"))).otherwise(out)
+    # stand-ins keep a star that is done from being read again; a question mark of "(?:" is none of the pattern
+    out = F.regexp_replace(out, r"(?<!\()\?", "[^/]")
+    out = F.regexp_replace(F.regexp_replace(out, r"(^|/)\*\*/", "$1\u0001"), r"(^|/)\*\*$", "$1\u0002")
+    out = F.regexp_replace(F.regexp_replace(out, r"\u0001\*\*/", "\u0001"), r"\*+", "[^/]*")
+    out = F.replace(F.replace(out, F.lit("\u0001"), F.lit("(?:[^/]*/)*")), F.lit("\u0002"), F.lit(".*"))
+    return F.when(F.length(pattern) <= MAX_PATTERN, F.concat(F.lit("^"), out, F.lit("$"))).otherwise(NEVER)

@@ -27,17 +27,20 @@ def major_of(version: Column) -> Column:
     return F.when(found != "", found.try_cast("int"))
 
 
+#: Characters of a range that is kept as it is written, at most.
+MAX_RANGE = 100
+_NUMBER = r"\d+(?:\.\d+){0,2}"
+_TAGS = r"(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?"
+
+
 def clean_version(declared: Column) -> Column:
-    """The plain version of a declared range, a readable range as it is, else null (tags, protocols)."""
-    value = F.trim(F.regexp_replace(F.trim(declared), r"^npm:(?:@[^/]+/)?[^@]+@(.+)$", "$1"))
-    plain = F.regexp_extract(value, r"^[\^~>=v\s]*(\d+(?:\.\d+){0,2}(?:-[0-9A-Za-z.-]+)?)$", 1)
-    return (
-        F.when(value.isNull() | value.isin("", "*", "x") | value.rlike(r"^[a-z][a-z0-9+.-]*:"), None)
-        .when(value.rlike(r"(?i)^[a-z]") & ~value.rlike(r"^v\d"), None)
-        .when(plain != "", plain)
-        .when((F.length(value) > 64) | ~value.rlike(r"^[\w.*<>=^~|\s+-]+$") | ~value.rlike(r"\d"), None)
-        .otherwise(value)
-    )
+    """The one version that a declaration names, a range as it is written, or null for tags, protocols and wildcards."""
+    value = F.trim(declared)
+    target = F.trim(F.regexp_extract(value, "^npm:@?[^@]+@(.+)$", 1))  # an npm alias stands for what it points to
+    value = F.when(target != "", target).otherwise(value)
+    alone = F.regexp_extract(value, rf"^[~^=]?v?({_NUMBER}{_TAGS})$", 1)
+    comparators = value.rlike(r"^[0-9A-Za-z.*+~^<>=|\s-]+$") & value.rlike(r"\d") & value.rlike(r"^(?:v?\d|[^A-Za-z])")
+    return F.when(alone != "", alone).when(comparators & (F.length(value) <= MAX_RANGE), value)
 
 
 def exact_version(text: Column) -> Column:
@@ -101,7 +104,7 @@ def fits_range(version: Column, declared: Column) -> Column:
 
     def clause_fits(clause: Column) -> Column:
         terms = F.transform(F.filter(F.split(F.trim(clause), r"\s+"), lambda t: t != ""), interval)
-        lower = F.aggregate(terms, low, lambda a, t: F.greatest(a, t["lower"]) if False else F.when(t["lower"] > a, t["lower"]).otherwise(a))
+        lower = F.aggregate(terms, low, lambda a, t: F.when(t["lower"] > a, t["lower"]).otherwise(a))
         upper = F.aggregate(terms, high, lambda a, t: F.when(t["upper"] < a, t["upper"]).otherwise(a))
         return lower < upper
 

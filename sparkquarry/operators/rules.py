@@ -62,9 +62,11 @@ def env_undocumented(s: dict[str, DataFrame]) -> DataFrame:
 
 
 def env_local_only(s: dict[str, DataFrame]) -> DataFrame:
-    local = s["definitions"].where("kind = 'local'").select("repo_id", "name").distinct()
-    v = s["variables"].where("NOT documented AND (NOT used OR test_only)").join(local, ["repo_id", "name"], "left_semi")
-    return finding(v, "ENV_LOCAL_ONLY", "environment", "warning", F.col("name"), F.col("defined_in"))
+    """Set in a local file (not direnv's) of a repository with an example file, which does not name it; not the platform's."""
+    local = s["definitions"].where((F.col("kind") == "local") & (paths.base_name(F.col("path")) != ".envrc")).groupBy("repo_id", "name").agg(F.min("path").alias("local"))
+    v = s["variables"].where("NOT documented AND (NOT used OR test_only)").join(s["platform"], "name", "left_anti").join(local, ["repo_id", "name"])
+    v = v.join(s["env_files"].where("kind = 'example'").select("repo_id").distinct(), "repo_id", "left_semi")
+    return finding(v, "ENV_LOCAL_ONLY", "environment", "warning", F.col("name"), F.array("local"))
 
 
 def env_unused(s: dict[str, DataFrame]) -> DataFrame:
@@ -73,14 +75,26 @@ def env_unused(s: dict[str, DataFrame]) -> DataFrame:
 
 
 def env_missing_local(s: dict[str, DataFrame]) -> DataFrame:
+    """Named in an example file at the top and needed by code outside tests, but set in no local or mode file though there is a
+    local file at the top; not the platform's."""
     have = s["definitions"].where("kind IN ('local', 'mode')").select("repo_id", "name").distinct()
-    v = s["variables"].where("documented AND used AND NOT fallback").join(have, ["repo_id", "name"], "left_anti")
-    return finding(v, "ENV_MISSING_LOCAL", "environment", "info", F.col("name"), F.col("documented_in"))
+    top = s["env_files"].where((F.col("kind") == "local") & ~F.col("path").contains("/") & (F.col("path") != ".envrc")).select("repo_id").distinct()
+    example = F.get(F.filter("documented_in", lambda p: ~p.contains("/")), F.lit(0))
+    v = s["variables"].where("documented AND used AND NOT test_only AND NOT fallback").withColumn("example", example).where("example IS NOT NULL")
+    v = v.join(s["platform"], "name", "left_anti").join(have, ["repo_id", "name"], "left_anti").join(top, "repo_id", "left_semi")
+    return finding(v, "ENV_MISSING_LOCAL", "environment", "info", F.col("name"), F.array("example"))
+
+
+#: Words of a name that say secret outright; tokens and keys of browser clients are public by design.
+SECRET_WORDS = ["SECRET", "SECRETS", "SECRETKEY", "CLIENTSECRET", "PASSWORD", "PASSWD", "PRIVATEKEY", "PRIVATE_KEY", "SERVICEROLE", "SERVICE_ROLE"]
 
 
 def env_public_secret(s: dict[str, DataFrame]) -> DataFrame:
-    v = s["variables"].where("public").where(text.is_sensitive_name(text.without_public_prefix(F.col("name"))))
-    return finding(v, "ENV_PUBLIC_SECRET", "security", "warning", F.col("name"), F.col("used_in"))
+    """A variable that reaches the browser and says in its name that it is a secret."""
+    name = F.concat(F.lit("_"), F.upper("name"), F.lit("_"))
+    says = F.exists(F.lit([f"_{w}_" for w in SECRET_WORDS]), lambda w: name.contains(w))
+    files = F.array_distinct(F.concat("used_in", "defined_in", "documented_in"))
+    return finding(s["variables"].where(F.col("public") & says), "ENV_PUBLIC_SECRET", "security", "warning", F.col("name"), files)
 
 
 def env_not_ignored(s: dict[str, DataFrame]) -> DataFrame:

@@ -131,7 +131,7 @@ def redact_assignments(spark, sf_dir):
     return _read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(text.redact_assignments(F.col("text")).cast("binary")).alias("digest"))
 
 
-@_query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}\x{fff9}-\x{fffb}\x{e0000}-\x{e007f}]', '', 'g'), '[\t\n\r\x{2028}\x{2029} ]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL""")
+@_query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}\x{fff9}-\x{fffb}\x{e0000}-\x{e007f}]', '', 'g'), '[\t\n\r\x{2028}\x{2029}]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL""")
 def clean_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(text.clean_untrusted(F.col("text"), one_line=True).cast("binary")).alias("digest"))
 
@@ -278,7 +278,7 @@ def port_conflicts(spark, sf_dir):
     return rules.port_conflicts(b).select("repo_id", "subject", "severity", F.array_join("files", ",").alias("files"))
 
 
-NAMES = ["DATABASE_URL", "VITE_API_TOKEN", "PORT", "REDIS_URL", "PUBLIC_SITE", "SMTP_PASSWORD", "NODE_ENV", "LOG_LEVEL"]
+NAMES = ["DATABASE_URL", "VITE_API_TOKEN", "PORT", "REDIS_URL", "NEXT_PUBLIC_APP_SECRET", "SMTP_PASSWORD", "NODE_ENV", "LOG_LEVEL"]
 
 
 def _env(spark, sf_dir) -> dict[str, DataFrame]:
@@ -286,15 +286,15 @@ def _env(spark, sf_dir) -> dict[str, DataFrame]:
     name = F.get(F.lit(NAMES), (i % 8).cast("int"))
     e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id"), name.alias("name"), i.alias("i"), "event_type")
     kind = F.when(F.col("event_type") == "click", "example").when(F.col("event_type") == "view", "local")
-    path = F.when(kind == "example", ".env.example").when(kind == "local", ".env")
-    definitions = e.select("repo_id", "name", path.alias("path"), kind.alias("kind")).where("kind IS NOT NULL").distinct()
+    path = F.when(kind == "example", F.when(i % 6 == 0, "apps/.env.example").otherwise(".env.example")).when(kind == "local", F.when(F.col("repo_id") % 4 == 0, ".envrc").otherwise(".env"))
+    definitions = e.withColumnRenamed("i", "event_id").select("repo_id", "name", path.alias("path"), kind.alias("kind")).where("kind IS NOT NULL").distinct()
     uses = e.where("event_type IN ('purchase', 'signup')").select("repo_id", "name", F.concat(F.lit("src/"), (F.col("i") % 9).cast("string"), F.lit(".ts")).alias("path"), (F.col("i") % 3 == 0).alias("required"), (F.col("event_type") == "signup").alias("test"))
     files = definitions.select("repo_id", "path", "kind").distinct()
     return {"definitions": definitions, "env_files": files, "variables": rules.merge_env(definitions, uses), "platform": spark.createDataFrame([("NODE_ENV",), ("PORT",)], "name string")}
 
 
 _ENV = f"""e AS (SELECT user_id AS repo_id, ['{"', '".join(NAMES)}'][1 + event_id % 8] AS name, event_id AS i, event_type FROM events),
-    d AS (SELECT DISTINCT repo_id, name, CASE event_type WHEN 'click' THEN '.env.example' ELSE '.env' END AS path, CASE event_type WHEN 'click' THEN 'example' ELSE 'local' END AS kind FROM e WHERE event_type IN ('click', 'view')),
+    d AS (SELECT DISTINCT repo_id, name, CASE WHEN event_type = 'click' THEN CASE WHEN i % 6 = 0 THEN 'apps/.env.example' ELSE '.env.example' END WHEN repo_id % 4 = 0 THEN '.envrc' ELSE '.env' END AS path, CASE event_type WHEN 'click' THEN 'example' ELSE 'local' END AS kind FROM e WHERE event_type IN ('click', 'view')),
     u AS (SELECT repo_id, name, string_agg(DISTINCT 'src/' || (i % 9) || '.ts', ',' ORDER BY 'src/' || (i % 9) || '.ts') AS used_in, bool_or(i % 3 = 0) AS required, bool_and(event_type = 'signup') AS test_only
         FROM e WHERE event_type IN ('purchase', 'signup') GROUP BY ALL),
     g AS (SELECT repo_id, name, bool_or(kind = 'local') AS defined, bool_or(kind = 'example') AS documented FROM d GROUP BY ALL),
@@ -313,7 +313,7 @@ def env_undocumented(spark, sf_dir):
     return rules.env_undocumented(_env(spark, sf_dir)).select("repo_id", "subject", "severity")
 
 
-@_query(f"WITH {_ENV} SELECT repo_id, name AS subject FROM v WHERE defined AND NOT documented AND (NOT used OR test_only)")
+@_query(f"WITH {_ENV} SELECT repo_id, name AS subject FROM v WHERE NOT documented AND (NOT used OR test_only) AND name NOT IN ('NODE_ENV', 'PORT') AND (repo_id, name) IN (SELECT repo_id, name FROM d WHERE path = '.env') AND repo_id IN (SELECT repo_id FROM d WHERE kind = 'example')")
 def env_local_only(spark, sf_dir):
     return rules.env_local_only(_env(spark, sf_dir)).select("repo_id", "subject")
 
@@ -323,12 +323,12 @@ def env_unused(spark, sf_dir):
     return rules.env_unused(_env(spark, sf_dir)).select("repo_id", "subject")
 
 
-@_query(f"WITH {_ENV} SELECT repo_id, name AS subject FROM v WHERE documented AND used AND required AND NOT defined")
+@_query(f"WITH {_ENV} SELECT repo_id, name AS subject FROM v WHERE used AND required AND NOT test_only AND NOT defined AND name NOT IN ('NODE_ENV', 'PORT') AND (repo_id, name) IN (SELECT repo_id, name FROM d WHERE path = '.env.example') AND repo_id IN (SELECT repo_id FROM d WHERE path = '.env')")
 def env_missing_local(spark, sf_dir):
     return rules.env_missing_local(_env(spark, sf_dir)).select("repo_id", "subject")
 
 
-@_query(f"WITH {_ENV} SELECT repo_id, name AS subject FROM v WHERE name = 'VITE_API_TOKEN'")
+@_query(f"WITH {_ENV} SELECT repo_id, name AS subject FROM v WHERE name = 'NEXT_PUBLIC_APP_SECRET'")
 def env_public_secret(spark, sf_dir):
     return rules.env_public_secret(_env(spark, sf_dir)).select("repo_id", "subject")
 
@@ -350,8 +350,8 @@ def _ran(spark, sf_dir):
 
 _RAN = f"""{_ENV}, x AS (SELECT DISTINCT repo_id FROM d WHERE kind = 'example'), l AS (SELECT DISTINCT repo_id FROM d WHERE kind = 'local'),
     f AS (SELECT repo_id, 'ENV_UNDOCUMENTED' AS code, CASE WHEN required THEN 'warning' ELSE 'info' END AS severity, name, name LIKE '%\\_URL' ESCAPE '\\' AS ignored FROM v WHERE used AND NOT test_only AND NOT documented AND name NOT IN ('NODE_ENV', 'PORT') AND repo_id IN (FROM x)
-        UNION ALL SELECT repo_id, 'ENV_LOCAL_ONLY', 'error', name, false FROM v WHERE defined AND NOT documented AND (NOT used OR test_only) AND repo_id IN (FROM l)
-        UNION ALL SELECT repo_id, 'ENV_MISSING_LOCAL', 'info', name, false FROM v WHERE documented AND used AND required AND NOT defined AND repo_id IN (FROM l)),
+        UNION ALL SELECT repo_id, 'ENV_LOCAL_ONLY', 'error', name, false FROM v WHERE NOT documented AND (NOT used OR test_only) AND name NOT IN ('NODE_ENV', 'PORT') AND (repo_id, name) IN (SELECT repo_id, name FROM d WHERE path = '.env') AND repo_id IN (SELECT repo_id FROM d WHERE kind = 'example') AND repo_id IN (FROM l)
+        UNION ALL SELECT repo_id, 'ENV_MISSING_LOCAL', 'info', name, false FROM v WHERE used AND required AND NOT test_only AND NOT defined AND name NOT IN ('NODE_ENV', 'PORT') AND (repo_id, name) IN (SELECT repo_id, name FROM d WHERE path = '.env.example') AND repo_id IN (SELECT repo_id FROM d WHERE path = '.env') AND repo_id IN (FROM l)),
     c AS (SELECT r.repo_id, code, CASE WHEN code = 'ENV_UNUSED' THEN 'disabled' WHEN r.repo_id NOT IN (SELECT repo_id FROM d WHERE kind = k) THEN 'skipped'
             WHEN EXISTS (SELECT 1 FROM f WHERE f.repo_id = r.repo_id AND f.code = t.code AND NOT ignored) THEN 'failed' ELSE 'passed' END AS status
         FROM (SELECT DISTINCT user_id AS repo_id FROM events) r, (VALUES ('ENV_UNDOCUMENTED', 'example'), ('ENV_LOCAL_ONLY', 'local'), ('ENV_UNUSED', 'example'), ('ENV_MISSING_LOCAL', 'local')) t(code, k))"""

@@ -6,8 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from sparkquarry.plans import project_queries
 from sparkquarry.plans.queries import ORACLE_SQL, QUERIES
 
+assert project_queries  # it registers its queries
 SF = "/root/testdata/sf0.01"
 
 
