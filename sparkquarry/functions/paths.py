@@ -127,14 +127,27 @@ def is_ignored_dir(path: Column) -> Column:
     return F.exists(dir_segments(path), lambda s: s.isin(ALWAYS_IGNORED_DIRS))
 
 
+#: Endings of names of tests, and directories of generated or vendored code.
+TEST_MARKS = ["test", "tests", "spec", "e2e-spec", "e2e"]
+GENERATED_DIRS = ["dist", "build", "out", "public", "static", "lib-cov", "storybook-static", "generated"]
+_SCRIPT_ENDS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".svelte"]
+
+
 def is_test_file(path: Column) -> Column:
-    name = base_name(path)
-    return name.rlike(r"[.-](?:test|spec|e2e-spec)\.[cm]?[jt]sx?$") | name.rlike(r"_test\.go$") | name.rlike(r"^test_.*\.py$|_test\.py$") | name.rlike(r"_spec\.rb$")
+    """By the last mark of a script's name, by the habits of other languages, or by a directory of tests."""
+    name, ext = base_name(path), ext_of(path)
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(ext))
+    mark = F.element_at(F.split(stem, "[.]"), -1)
+    marked = ext.isin(_SCRIPT_ENDS) & stem.contains(".") & mark.isin(TEST_MARKS)
+    python = (ext == ".py") & (stem.startswith("test_") | stem.endswith("_test"))
+    return marked | python | name.endswith("_test.go") | name.endswith("_spec.rb") | F.array_contains(dir_segments(path), "__tests__")
 
 
 def is_generated(path: Column) -> Column:
+    """Declarations, minified scripts, generated Go code, and what lies in a build directory."""
     name = base_name(path)
-    return (
-        name.rlike(r"\.d\.[cm]?ts$|[.-](?:min|bundle|chunk)\.[cm]?js$|\.pb\.go$|_gen\.go$|\.gen\.[cm]?[jt]sx?$")
-        | F.exists(dir_segments(path), lambda s: s.isin("dist", "build", "out", "generated", "__generated__"))
-    )
+    ends = [".d.ts", ".d.mts", ".d.cts", ".min.js", ".min.cjs", ".min.mjs", ".pb.go", "_gen.go"]
+    found = F.exists(dir_segments(path), lambda s: s.isin(GENERATED_DIRS))
+    for end in ends:
+        found = found | name.endswith(end)
+    return found
