@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree of bytes (A-Z lowered) with its own counts; a text gets the
-language whose tree codes all of it in the fewest bits. ``score`` is the posterior of that language
+Each language has a context tree of bytes (all 256; A-Z lowered) with its own counts; contexts are those of the
+greatest shares of the languages' own texts. A text gets the language whose tree codes all of it in the fewest bits. ``score`` is the posterior of that language
 under equal priors. Trees learn from every training row with a text and a language.
 
 Null text, or one without a letter: ``und`` with score 0, also where nothing could be learned. Ties go to
@@ -26,33 +26,31 @@ UNKNOWN = "und"
 RESULT = {"lang_pred": T.StringType(), "score": T.DoubleType(), "bits_per_byte": T.DoubleType()}
 
 
+#: Cells (contexts * 256 bytes * languages) that a model may have: with many languages each context weighs more.
+MOST_CELLS = 1 << 28
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray
-    trie: ppm.Trie | None
-    bits: np.ndarray
+    codes: ppm.Codes | None
 
 
-def _lowered(data: np.ndarray, offsets: np.ndarray):
-    return LOWER[data], offsets
+def _lowered(data: np.ndarray) -> np.ndarray:
+    return LOWER[data]
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_nodes: int = 30_000) -> LanguageModel:
-    """Learns from every row with text and language."""
+    """Learns from every row with text and language; ``most_nodes``: contexts of the trie, fewer where MOST_CELLS asks for it."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("text <> '' AND lang IS NOT NULL")
     languages = sorted(r[0] for r in docs.select("lang").distinct().collect())
-    total = ppm.byte_counts(docs.select("text"), "text", _lowered)
-    if not languages or not total.sum():
-        return LanguageModel([], np.zeros(256, np.uint8), None, np.zeros((0, 0)))
-    table = ppm.symbol_table(total)
-    trie = ppm.Trie.of_counts(*ppm.count_contexts(docs.select("text"), "text", _lowered, table), most_nodes)
+    if not languages:
+        return LanguageModel([], None)
+    most_nodes = max(2, min(most_nodes, MOST_CELLS // (ppm.SYMBOLS * len(languages))))
     numbered = docs.select("text", (F.array_position(F.lit(languages), F.col("lang")) - 1).cast("int").alias("language"))
-    cells = ppm.count_cells(numbered, "text", _lowered, table, trie, "language", len(languages))
-    other = int((table == ppm.OTHER).sum())
-    bits = np.stack([trie.bits(c, other).astype(np.float32).ravel() for c in cells], axis=1)
-    return LanguageModel(languages, table, trie, bits)
+    trie = ppm.choose_contexts(numbered, "text", _lowered, "language", most_nodes)
+    return LanguageModel(languages, ppm.Codes.of_cells(trie, *ppm.count_cells(numbered, "text", _lowered, "language", trie), len(languages)))
 
 
 def predict(model: LanguageModel, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -75,7 +73,7 @@ def predict(model: LanguageModel, docs: DataFrame, *, text_col: str = "text") ->
             if not model.languages:
                 pred, score, per_byte = pa.array([UNKNOWN] * n), np.zeros(n), pa.nulls(n, pa.float64())
             else:
-                bits = ppm.code_lengths(LOWER[data], offsets, model.table, model.trie, model.bits)
+                bits = model.codes.lengths(LOWER[data], offsets)
                 best = bits.argmin(1)
                 least = bits[np.arange(n), best]
                 score = np.where(lettered, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), 0.0)

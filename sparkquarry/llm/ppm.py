@@ -1,20 +1,19 @@
-"""Prediction by partial matching over bytes, with frozen statistics.
+"""Prediction by partial matching over bytes, with frozen statistics, for several models at once.
 
-Bytes are mapped to 64 symbols (the 62 most frequent bytes of the training texts, one for the end
-or start of a text, one for all other bytes, whose members share its probability). A trie of contexts of up to
-four symbols holds the most frequent contexts of all training texts; it is closed under dropping
-the oldest symbol. In each node a symbol seen there has probability c / (n + d) (n: count, d:
-distinct symbols; escape method C); the escape d / (n + d) goes to the shorter context, where the
-symbols already seen are excluded. Probabilities of a node add up to 1, so code lengths are exact.
+Symbols are the 256 bytes; 0xFF, which no UTF-8 text holds, stands for what lies before a text. A trie
+of contexts of up to three bytes, shared by all models, keeps those of the greatest share of any model's
+training bytes, summed over the models, so that a model of few texts gets its contexts too; it is closed
+under dropping the oldest byte. In each node a byte seen there has probability c / (n + d) (n: count, d:
+distinct bytes; escape method C); the escape d / (n + d) goes to the shorter context, where the bytes already
+seen are excluded. Probabilities of a node add up to 1.
 
-Counting runs over all training texts in two passes: contexts, then (node, symbol) cells. What
-reaches the driver is bounded by the nodes asked for and the 64**4 contexts, whatever the corpus.
+Counting runs over all training texts in two passes: contexts, then (model, node, byte) cells. The most
+telling contexts are taken in Spark; what reaches the driver is bounded by nodes * 256 cells a model.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,34 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sums, text_blocks
+from .common import shared_table, sums, text_blocks
 
-SYMBOLS, END, OTHER, ORDER, BITS = 64, 0, 63, 4, 6
+SYMBOLS, END, ORDER, BITS = 256, 255, 3, 8
 #: Bytes of text that a worker handles at a time.
 BLOCK = 1 << 20
+#: Positions whose code lengths are held at a time.
+STEP = 1 << 18
 #: Keys whose counts a worker holds before they go to Spark.
 MOST_KEYS = 1_000_000
 
-#: (bytes, offsets) of a block to (symbols or bytes, offsets) as the model reads them.
-Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-
-
-def symbol_table(byte_counts: np.ndarray) -> np.ndarray:
-    """The symbol of each byte, from the counts of all 256."""
-    table = np.full(256, OTHER, np.uint8)
-    order = np.lexsort((np.arange(256), -byte_counts))[: OTHER - 1]
-    order = order[byte_counts[order] > 0]
-    table[order] = np.arange(1, len(order) + 1)
-    return table
-
 
 def contexts(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The four symbols before each position as one number, the latest in the low bits; what lies before a text is END."""
+    """The bytes before each position as one number, the latest in the low bits; what lies before a text is END."""
     n, out = len(symbols), np.zeros(len(symbols), np.uint32)
-    wide, starts = symbols.astype(np.uint32), offsets[:-1]
+    starts = offsets[:-1]
     for k in range(ORDER):
-        past = np.zeros(n, np.uint32)
-        past[k + 1 :] = wide[: max(0, n - k - 1)]
+        past = np.full(n, END, np.uint32)
+        past[k + 1 :] = symbols[: max(0, n - k - 1)]
         for j in range(k + 1):
             at = starts + j
             past[at[at < n]] = END
@@ -67,16 +56,8 @@ class Trie:
     def __post_init__(self):
         self.first = np.cumsum([1, *map(len, self.codes)])  # first node of orders 1.. and the number of nodes
         self.size = int(self.first[-1])
-
-    @classmethod
-    def of_counts(cls, codes: np.ndarray, counts: np.ndarray, most: int) -> "Trie":
-        found = []
-        for k in range(1, ORDER + 1):
-            own, of = np.unique(codes & np.uint32((1 << BITS * k) - 1), return_inverse=True)
-            found.append((own, np.bincount(of, counts, len(own)).astype(np.int64), np.full(len(own), k)))
-        code, count, order = (np.concatenate(x) for x in zip(*found, strict=True))
-        kept = np.lexsort((code, order, -count))[: most - 1]
-        return cls([np.sort(code[kept[order[kept] == k]]) for k in range(1, ORDER + 1)])
+        if self.size > 1 << 16:
+            raise ValueError("a trie has at most 65,536 nodes")
 
     def nodes(self, order: int) -> slice:
         return slice(int(self.first[order - 1]), int(self.first[order])) if order else slice(0, 1)
@@ -87,7 +68,7 @@ class Trie:
         return self.first[order - 2] + np.searchsorted(self.codes[order - 2], self.codes[order - 1] & np.uint32((1 << BITS * (order - 1)) - 1))
 
     def table(self) -> np.ndarray:
-        """The deepest node of each of the 64**4 contexts."""
+        """The deepest node of each of the 256**3 contexts."""
         held = _tables.get(self.name)
         if held is None:
             held = np.zeros(1, np.uint16)
@@ -98,12 +79,15 @@ class Trie:
             _tables[self.name] = held
         return held
 
-    def bits(self, cells: np.ndarray, other_bytes: int) -> np.ndarray:
-        """Code length of each symbol in each node, from the counts (nodes, SYMBOLS) of the deepest nodes."""
-        counts = cells.astype(np.float64)
+    def full(self, counts: np.ndarray) -> np.ndarray:
+        """Counts (nodes, SYMBOLS) of every node, from those of the deepest nodes."""
         for k in range(ORDER, 0, -1):
             np.add.at(counts, self.parents(k), counts[self.nodes(k)])
-        p = np.empty_like(counts)
+        return counts
+
+    def bits(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code lengths of each byte in each node, and in each node what a byte unseen there takes beyond its code in the parent."""
+        p, escape = np.empty_like(counts), np.zeros(self.size)
         for k in range(ORDER + 1):
             c = counts[self.nodes(k)]
             shorter = p[self.parents(k)] if k else np.full((1, SYMBOLS), 1 / SYMBOLS)
@@ -113,16 +97,76 @@ class Trie:
             open_ = unseen > 0
             total = np.where(open_, n + d, n)
             with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.where(seen, c / total, np.where(open_, d / total * shorter / unseen, 0))
-            p[self.nodes(k)] = np.where(n > 0, own, shorter)
-        out = -np.log2(np.maximum(p, 1e-300))
-        out[:, OTHER] += np.log2(max(1, other_bytes))
-        return out
+                part = np.where(open_, d / total / unseen, 0)
+                p[self.nodes(k)] = np.where(n > 0, np.where(seen, c / total, part * shorter), shorter)
+                escape[self.nodes(k)] = np.where((n > 0) & open_, -np.log2(part), 0)[:, 0]
+        return -np.log2(np.maximum(p, 1e-300)), escape
 
 
 _tables: dict[str, np.ndarray] = {}
 
 
+@dataclass
+class Codes:
+    """Code lengths of several models over one trie: a row of ``cells`` for each byte that some model saw in a node."""
+
+    trie: Trie
+    index: np.ndarray  # (nodes * SYMBOLS): the row, or -1
+    cells: np.ndarray  # (rows, models)
+    escape: np.ndarray  # (nodes, models)
+    parent: np.ndarray  # (nodes)
+
+    @classmethod
+    def of_cells(cls, trie: Trie, keys: np.ndarray, counts: np.ndarray, models: int) -> "Codes":
+        """keys: (model * nodes + node) * SYMBOLS + byte, of the deepest nodes."""
+        size = trie.size * SYMBOLS
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        cut = np.searchsorted(keys, size * np.arange(models + 1))
+
+        def full(model: int) -> np.ndarray:
+            own = np.zeros(size)
+            own[keys[cut[model] : cut[model + 1]] - model * size] = counts[cut[model] : cut[model + 1]]
+            return trie.full(own.reshape(trie.size, SYMBOLS))
+
+        seen = np.zeros((trie.size, SYMBOLS), bool)
+        seen[0] = True
+        for m in range(models):
+            seen |= full(m) > 0
+        rows = np.flatnonzero(seen)
+        index = np.full(size, -1, np.int32)
+        index[rows] = np.arange(len(rows))
+        cells, escape = np.zeros((len(rows), models), np.float32), np.zeros((trie.size, models), np.float32)
+        for m in range(models):
+            bits, escape[:, m] = trie.bits(full(m))
+            cells[:, m] = bits.ravel()[rows]
+        parent = np.concatenate([np.zeros(1, np.int64), *(trie.parents(k) for k in range(1, ORDER + 1))])
+        return cls(trie, index, cells, escape, parent)
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Code length of each text under each model (texts, models)."""
+        nodes = self.trie.table()[contexts(data, offsets)]
+        out = np.zeros((len(offsets) - 1, self.cells.shape[1]))
+        for start in range(0, len(data), STEP):
+            symbol = data[start : start + STEP].astype(np.int64)
+            node = nodes[start : start + STEP].astype(np.int64)
+            row = self.index[node * SYMBOLS + symbol]
+            value = self.cells[np.maximum(row, 0)]
+            left = np.flatnonzero(row < 0)
+            value[left] = 0
+            while len(left):
+                value[left] += self.escape[node[left]]
+                node[left] = self.parent[node[left]]
+                row = self.index[node[left] * SYMBOLS + symbol[left]]
+                value[left[row >= 0]] += self.cells[row[row >= 0]]
+                left = left[row < 0]
+            stop = start + len(symbol)
+            inside = slice(max(0, int(np.searchsorted(offsets, start, "right")) - 1), int(np.searchsorted(offsets, stop, "left")) + 1)
+            own = np.clip(offsets[inside], start, stop) - start
+            out[inside.start : inside.start + len(own) - 1] += sums(value, own)
+        return out
+
+
 def _counted(docs: DataFrame, text: str, key_of, schema: str = "key long, n long"):
     """Counts of keys over whole texts: summed in each task, then by Spark. ``key_of``: (slice, bytes, offsets) to keys."""
 
@@ -162,54 +206,32 @@ def arrays(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found.column("key").to_numpy(), found.column("n").to_numpy()
 
 
-def count_contexts(docs: DataFrame, text: str, read: Reader, table: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of four symbols and their counts (those under ``least`` go, as no node is made of them)."""
+def _models(part, group: str, offsets: np.ndarray) -> np.ndarray:
+    """The model of each byte of a block."""
+    of = part.column(part.schema.get_field_index(group)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(of, np.diff(offsets))
 
-    def key_of(part, data, offsets):
-        data, offsets = read(data, offsets)
-        return contexts(table[data] if data.dtype == np.uint8 else data.astype(np.uint8), offsets)
 
-    codes, counts = arrays(_counted(docs, text, key_of).where(F.col("n") >= least))
-    return codes.astype(np.uint32), counts
+def choose_contexts(docs: DataFrame, text: str, read, group: str, most: int) -> Trie:
+    """The trie of the ``most`` - 1 contexts of the greatest shares; ``read``: bytes as the model reads them."""
+    counted = _counted(docs, text, lambda part, data, offsets: contexts(read(data), offsets) | _models(part, group, offsets) << BITS * ORDER)
+    counted = shared_table(counted.select((F.shiftright("key", BITS * ORDER)).alias("model"), F.col("key").bitwiseAND((1 << BITS * ORDER) - 1).alias("code"), "n"), "contexts")
+    totals = F.broadcast(counted.groupBy("model").agg(F.sum("n").alias("total")))  # a row a model
+    # whole numbers, so that a context's share is never under that of a longer one
+    share = F.floor(F.col("n") / F.col("total") * float(1 << 50)).alias("share")
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("code").bitwiseAND((1 << BITS * k) - 1).alias("code")) for k in range(1, ORDER + 1)])).alias("c")
+    shares = counted.join(totals, "model").select(share, ends).groupBy("c.order", "c.code").agg(F.sum("share").alias("share"))
+    top = shares.orderBy(F.desc("share"), "order", "code").limit(most - 1).select("order", "code").toArrow()
+    order, code = (top.column(c).to_numpy() for c in ("order", "code"))
+    return Trie([np.sort(code[order == k]).astype(np.uint32) for k in range(1, ORDER + 1)])
 
 
-def count_cells(docs: DataFrame, text: str, read: Reader, table: np.ndarray, trie: Trie, group: str | None = None, groups: int = 1) -> np.ndarray:
-    """Counts (groups, nodes, SYMBOLS) of symbols in the deepest nodes; ``group``: column with 0 to groups-1."""
-    size = trie.size * SYMBOLS
+def count_cells(docs: DataFrame, text: str, read, group: str, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """Keys ((model * nodes + node) * SYMBOLS + byte) of the deepest nodes and their counts."""
 
     def key_of(part, data, offsets):
-        data, offsets = read(data, offsets)
-        symbols = table[data] if data.dtype == np.uint8 else data.astype(np.uint8)
-        keys = trie.table()[contexts(symbols, offsets)].astype(np.int64) * SYMBOLS + symbols
-        if group is not None:
-            of = part.column(part.schema.get_field_index(group)).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys += np.repeat(of, np.diff(offsets)) * size
-        return keys
-
-    keys, counts = arrays(_counted(docs, text, key_of))
-    out = np.zeros(groups * size, np.int64)
-    out[keys] = counts
-    return out.reshape(groups, trie.size, SYMBOLS)
-
+        data = read(data)
+        nodes = trie.table()[contexts(data, offsets)].astype(np.int64)
+        return (_models(part, group, offsets) * trie.size + nodes) * SYMBOLS + data
 
-def code_lengths(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, trie: Trie, bits: np.ndarray) -> np.ndarray:
-    """Code length of each text under ``bits`` (nodes * SYMBOLS, or with a column for each model)."""
-    symbols = table[data] if data.dtype == np.uint8 else data.astype(np.uint8)
-    at = trie.table()[contexts(symbols, offsets)].astype(np.int64) * SYMBOLS + symbols
-    return sums(bits[at], offsets)
-
-
-def byte_counts(docs: DataFrame, text: str, read: Reader) -> np.ndarray:
-    """How often each byte occurs."""
-
-    def run(batches):
-        total = np.zeros(256, np.int64)
-        for _, data, offsets in text_blocks(batches, text, BLOCK):
-            data = read(data, offsets)[0]
-            total += np.bincount(data[data < 256] if data.dtype != np.uint8 else data, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["key", "n"])
-
-    keys, counts = arrays(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    out = np.zeros(256, np.int64)
-    out[keys] = counts
-    return out
+    return arrays(_counted(docs, text, key_of))

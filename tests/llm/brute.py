@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import re
 from collections import defaultdict
 
@@ -58,3 +60,30 @@ def repeated_bytes(texts: list[str | None], length: int) -> list[tuple[int, int,
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
     return out
+
+
+def ppm_bits(trained: list[str], text: str, order: int = 3) -> float:
+    """Code length of a text (A-Z lowered) by escape method C with exclusion over all contexts of up to ``order`` bytes."""
+    low = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+    counts: dict[bytes, dict[int, int]] = {}
+    for t in trained:
+        padded = b"\xff" * order + low(t)
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                own = counts.setdefault(padded[i - k : i], {})
+                own[padded[i]] = own.get(padded[i], 0) + 1
+    known: dict[bytes, list[float]] = {}
+
+    def chances(context: bytes) -> list[float]:
+        if context not in known:
+            shorter = chances(context[1:]) if context else [1 / 256] * 256
+            c = counts.get(context)
+            if not c:
+                known[context] = shorter
+            else:
+                n, unseen = sum(c.values()), sum(p for s, p in enumerate(shorter) if s not in c)
+                known[context] = [c[s] / (n + len(c)) if s in c else len(c) / (n + len(c)) * shorter[s] / unseen for s in range(256)]
+        return known[context]
+
+    padded = b"\xff" * order + low(text)
+    return -sum(math.log2(chances(padded[i - order : i])[padded[i]]) for i in range(order, len(padded)))

@@ -6,7 +6,7 @@ import zlib
 
 import public_tokenizers
 import pytest
-from brute import near_components, repeated_bytes, tokens
+from brute import near_components, ppm_bits, repeated_bytes, tokens
 
 from sparkquarry.llm import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
 from sparkquarry.llm.queries import QUERIES
@@ -238,3 +238,28 @@ def test_joins_of_empty_and_repeated_rows(spark, docs):
     assert jaccard_join.join_components(_empty(docs)).count() == 0
     same = spark.createDataFrame([(None, BASE)] * 40 + [(7, BASE + " x")] * 3, "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in jaccard_join.join_components(same).collect()} == {(None, 7), (7, 7)}
+
+
+def test_language_codes_match_brute_force(spark):
+    texts = {"el": ["Καλημέρα κόσμε", "η γλώσσα μας"], "en": ["Good morning world", "our language is here"], "ja": ["おはよう世界", "私たちの言葉"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own for _ in range(2))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    asked = ["", "κόσμε η", "morning here ÿ", "世界の言葉 x", "zq" * 300, "\U0001f600 mixed κό"]
+    got = language_id.predict(model, spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id int, text string")).orderBy("doc_id").collect()
+    trained = {lang: [t for t in own for _ in range(2)] for lang, own in texts.items()}
+    for row, text in zip(got, asked, strict=True):
+        want = {lang: ppm_bits(own, text) for lang, own in trained.items()}
+        if text == "":
+            assert row.lang_pred == "und" and row.score == 0
+            continue
+        best = min(want, key=want.get)
+        assert row.lang_pred == best
+        assert abs(row.bits_per_byte * len(text.encode()) - want[best]) < 1e-3 * len(text)
+        assert abs(row.score - 1 / sum(2.0 ** (want[best] - b) for b in want.values())) < 1e-4
+
+
+def test_language_of_a_rare_script(spark):
+    rows = [(i, "the quick brown fox jumps over it again and again", "en") for i in range(300)] + [(900, "быстрая лиса", "ru"), (901, "敏捷的狐狸", "zh")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    found = language_id.predict(language_id.fit(docs, most_nodes=120), spark.createDataFrame([(1, "лиса"), (2, "狐狸"), (3, "brown")], "doc_id int, text string"))
+    assert [r.lang_pred for r in found.orderBy("doc_id").collect()] == ["ru", "zh", "en"]
