@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, jaccard_join, language_id, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
+from . import bitsliced_topk, fill_in_middle, jaccard_join, language_id, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
 from .common import crc_of_id
 
 
@@ -75,6 +75,15 @@ def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_marker_injection_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("fim_text"), F.col("fim_form"))
+    return found.select(
+        "doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"), F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_prefix_tree_join": op2_prefix_tree_join,
@@ -86,6 +95,7 @@ QUERIES = {
     "op8_lossless_webp": op8_lossless_webp,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_multi_length_packing": op10_multi_length_packing,
+    "op13_marker_injection_fim": op13_marker_injection_fim,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_bit_sliced_topk": """
@@ -102,4 +112,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 10
     """,
+    "op13_marker_injection_fim": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
+            FROM documents
+        ), h AS (
+            SELECT doc_id, text, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b,
+                text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= 90 AS plain,
+                CAST('0x' || x[25:32] AS BIGINT) % 100 < 20 AS suffix_first
+            FROM t
+        ), c AS (
+            SELECT *, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+                substring(text, 1, least(a, b)) AS p, substring(text, least(a, b) + 1, abs(a - b)) AS m, substring(text, greatest(a, b) + 1) AS s
+            FROM h
+        )
+        SELECT doc_id, n, form, CASE WHEN NOT plain THEN least(a, b) END AS prefix_chars, CASE WHEN NOT plain THEN abs(a - b) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM c
+    """,
 }
