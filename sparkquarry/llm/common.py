@@ -154,3 +154,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashes = mix64((total[end] - total[start]) * _power(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
     doc = np.searchsorted(offsets, start, "right") - 1
     return hashes, doc, np.bincount(doc, minlength=n_docs)
+
+
+def spans(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the maximal runs of one ``kind`` other than 0 (one number a byte), never across documents."""
+    n = len(kind)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    first = np.append(True, kind[1:] != kind[:-1])
+    first[offsets[:-1][offsets[:-1] < n]] = True
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], n)
+    inside = kind[start] != 0
+    start, end = start[inside], end[inside]
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each span of A-Z-lowered bytes; works on about ``most`` bytes at a time, so that a long text needs no more."""
+    out, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + most, "right")))
+        low, part = start[at], data[start[at] : end[to - 1]]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((LOWER[part].astype(np.uint64) + np.uint64(1)) * _power(_FACTOR, len(part)), out=total[1:])
+        s, e = start[at:to] - low, end[at:to] - low
+        out[at:to] = mix64((total[e] - total[s]) * _power(_INVERSE, len(part))[s] + (e - s).astype(np.uint64))
+        at = to
+    return out

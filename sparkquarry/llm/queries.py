@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, fill_in_middle, jaccard_join, language_id, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
+from . import bitsliced_topk, fill_in_middle, jaccard_join, language_id, lexical_search, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
 from .common import crc_of_id
 
 
@@ -75,6 +75,10 @@ def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_bisection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_marker_injection_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_in_middle.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = fill_in_middle.restore(F.col("fim_text"), F.col("fim_form"))
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_lossless_webp": op8_lossless_webp,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_multi_length_packing": op10_multi_length_packing,
+    "op12_bisection_search": op12_bisection_search,
     "op13_marker_injection_fim": op13_marker_injection_fim,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -112,6 +117,33 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 10
     """,
+    "op12_bisection_search": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), sizes AS (
+            SELECT doc, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0
+        ), total AS (
+            SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+        ), wanted AS (
+            SELECT row, item_id, term, count(*) AS times
+            FROM (SELECT row_number() OVER () AS row, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL
+        ), counts AS (
+            SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs)
+            WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term, n_docs
+        ), impacts AS (
+            SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS worth
+            FROM counts JOIN sizes USING (doc) JOIN weights USING (term), total
+        ), scored AS (
+            SELECT row, item_id, doc, doc_id, CAST(sum(times * worth) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 10
+    """,
     "op13_marker_injection_fim": """
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
