@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, fill_in_middle, jaccard_join, language_id, lexical_search, line_templates, lm_score, media_columns, mixing, packing, sharding, suffix_dedup
+from . import bitsliced_topk, fill_in_middle, jaccard_join, language_id, lexical_search, line_templates, lm_score, media_columns, mixing, packing, quality, sharding, suffix_dedup
 from .common import crc_of_id
 
 
@@ -75,6 +75,14 @@ def op10_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = crc_of_id(docs["doc_id"], 4) == 2
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    found = quality.predict(model, docs.select("doc_id", "text", held_out.alias("held_out")))
+    return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_bisection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
 
@@ -99,6 +107,7 @@ QUERIES = {
     "op8_lossless_webp": op8_lossless_webp,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_multi_length_packing": op10_multi_length_packing,
+    "op11_random_indexing_quality": op11_random_indexing_quality,
     "op12_bisection_search": op12_bisection_search,
     "op13_marker_injection_fim": op13_marker_injection_fim,
 }
