@@ -12,13 +12,14 @@ lines that recur only because whole documents are copied, exactly or nearly, sta
 - It stands between at least ``least_contexts`` different neighbours (previous and next line), and these are at least
   ``least_share`` of its lines.
 - It stands in at least ``least_contexts`` kinds of documents, and these are at least ``kind_share`` of the different texts that
-  hold it. The kind of a document is the least hash of its lines: copies and most near copies share it, documents that
-  share only a passage seldom do. So the inner lines of a block that many documents share go as well.
+  hold it. A text of whose lines more than ``own_share`` are its own, standing in fewer than ``least_contexts`` texts, is a kind for
+  itself: two such texts share under 0.8 of their lines (1/9 of own lines each). The others are copies of each other to that degree, and their kind is the least
+  hash of their lines, which most copies share. So blocks go that many documents share, long or short beside their own lines, and lines that only copies share stay.
 
-Lines of recurring templates are dropped; documents are never dropped. Lines under ``least_tokens`` tokens are no
-templates: one or two words recur by chance in running text.
+Lines of recurring templates are dropped; documents are never dropped. Lines under ``least_tokens`` tokens recur by chance in running
+text: they go only if they stand in ``short_share`` of all different texts as well. A template in fewer than ``least_contexts`` documents never goes.
 
-Null text stays null; empty lines and lines under ``least_tokens`` tokens stay. Rows that are equal
+Null text stays null; empty lines stay. Rows that are equal
 in id and text lose the same lines. All input columns are kept; added columns replace input columns
 of the same name. An empty table stays empty.
 """
@@ -54,14 +55,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, *more: str)
             "line_doc", "line_text",
             F.posexplode(F.transform("masked", lambda x, i: F.struct(
                 x.alias("masked"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i).alias("template"), F.get("hashes", i + 1).alias("after"),
-            ))).alias("pos", "line"), F.array_min("hashes").alias("kind"),
+            ))).alias("pos", "line"), F.array_min("hashes").alias("kind"), F.size(F.filter("masked", lambda x: F.trim(x) != "")).alias("of"),
         )
         .select(
-            "line_doc", "line_text", "pos", "kind", F.when(F.trim(line) == "", 0).otherwise(tokens).alias("tokens"),
+            "line_doc", "line_text", "pos", "kind", "of", F.when(F.trim(line) == "", 0).otherwise(tokens).alias("tokens"),
             F.xxhash64(tokens, F.substring_index(line, " ", depth)).alias("leaf"), F.col("line")["template"].alias("template"),
             F.xxhash64(F.col("line")["before"], F.col("line")["after"]).alias("context"), line.alias("masked"),
         )
-        .select("line_doc", "line_text", "pos", "kind", "tokens", "leaf", "template", "context", *more)
+        .select("line_doc", "line_text", "pos", "kind", "of", "tokens", "leaf", "template", "context", *more)
     )
 
 
@@ -81,17 +82,33 @@ def recurring(lines: DataFrame, key: str, least_contexts: int, least_share: floa
     return by_context.unionByName(by_kind).groupBy(key).agg(*ends)
 
 
+def _own_kinds(lines: DataFrame, least_contexts: int, own_share: float) -> DataFrame:
+    """The lines of templates in at least ``least_contexts`` different texts, with the text as the kind where it has enough lines of its own."""
+    often = lines.groupBy("template", "line_text").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_contexts)
+    held = shared_table(lines.join(bounded(shared_table(often, "often")), "template", "left_semi"), "often-lines")
+    # exact copies count as one text, so a group of them is no hot key
+    common = held.groupBy("line_text", "pos").agg(F.max("of").alias("of")).groupBy("line_text").agg(F.count("*").alias("common"), F.max("of").alias("of"))
+    own = shared_table(common.where(F.col("of") - F.col("common") > own_share * F.col("of")).select("line_text", F.lit(True).alias("own")), "own-texts")
+    found = held.join(bounded(own), "line_text", "left")
+    return found.withColumn("kind", F.when(F.col("own"), F.col("line_text")).otherwise(F.col("kind")))
+
+
 def dropped_lines(
-    docs: DataFrame, *, least_contexts: int = 10, least_share: float = 0.3, kind_share: float = 0.4, least_tokens: int = 3, depth: int = 3,
-    constant_share: float = 0.5, similarity: float = 0.6, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, least_contexts: int = 10, least_share: float = 0.3, kind_share: float = 0.4, own_share: float = 1 / 9, least_tokens: int = 3,
+    short_share: float = 0.1, depth: int = 3, constant_share: float = 0.5, similarity: float = 0.6, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(line_doc, line_text, pos) of the lines to drop; line_text is the hash of the text."""
-    lines = shared_table(_lines(docs, id_col, text_col, depth).where(F.col("tokens") >= least_tokens), "lines")
-    exact = bounded(shared_table(recurring(lines, "template", least_contexts, least_share, kind_share).select("template"), "templates"))
+    lines = shared_table(_lines(docs, id_col, text_col, depth).where("tokens > 0"), "lines")
+    held = _own_kinds(lines, least_contexts, own_share)
+    found = recurring(held.where(F.col("tokens") >= least_tokens), "template", least_contexts, least_share, kind_share).select("template")
+    texts = _keyed(docs, id_col, text_col).select("line_text").distinct().count()
+    short = held.where(F.col("tokens") < least_tokens).groupBy("template", "kind").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("kinds"))
+    short = short.where((F.col("kinds") >= least_contexts) & (F.col("kinds") >= short_share * texts)).select("template")
+    exact = bounded(shared_table(found.unionByName(short), "templates"))
     first = lines.join(exact, "template", "left_semi").select("line_doc", "line_text", "pos")
 
     # leaves of several templates that recur only together; their lines are read again where the texts are
-    several = F.col("tokens") >= 2 * depth
+    several = (F.col("tokens") >= 2 * depth) & (F.col("tokens") >= least_tokens)
     rest = lines.where(several).join(exact, "template", "left_anti")
     leaves = shared_table(recurring(rest, "leaf", least_contexts, least_share, kind_share).where("low < high").select("leaf"), "leaves")
     if leaves.isEmpty():
