@@ -43,13 +43,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("line_doc"), F.xxhash64(text).alias("line_text"), text.alias("text")).where(text.isNotNull())
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, *more: str) -> DataFrame:
-    """Hashes of each line: leaf, template, context (previous and next line); ``more``: "masked" too, if asked for."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, *more: str, only: DataFrame | None = None) -> DataFrame:
+    """Hashes of each line: leaf, template, context (previous and next line); ``more``: "masked" too, if asked for; ``only``: texts to take (line_text)."""
+    keyed = _keyed(docs, id_col, text_col)
+    if only is not None:
+        keyed = keyed.join(only, "line_text", "left_semi")
     line = F.col("line")["masked"]
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return (
-        _keyed(docs, id_col, text_col)
-        .withColumn("masked", F.split(_masked(F.col("text")), "\n"))
+        keyed.withColumn("masked", F.split(_masked(F.col("text")), "\n"))
         .withColumn("hashes", F.transform("masked", lambda x: F.xxhash64(x)))
         .select(
             "line_doc", "line_text",
@@ -113,7 +115,10 @@ def dropped_lines(
     leaves = shared_table(recurring(rest, "leaf", least_contexts, least_share, kind_share).where("low < high").select("leaf"), "leaves")
     if leaves.isEmpty():
         return first
-    wanted = _lines(docs, id_col, text_col, depth, "masked").where(several).join(bounded(leaves), "leaf", "left_semi").join(exact, "template", "left_anti")
+    # few texts are read again; where they are too many to be broadcast, all are, as texts should not be shuffled for that
+    again = shared_table(rest.join(bounded(leaves), "leaf", "left_semi").select("line_text").distinct(), "leaf-texts")
+    again = F.broadcast(again) if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+    wanted = _lines(docs, id_col, text_col, depth, "masked", only=again).where(several).join(bounded(leaves), "leaf", "left_semi").join(exact, "template", "left_anti")
     wanted = shared_table(wanted.select("line_doc", "line_text", "pos", "kind", "leaf", "template", "context", F.split("masked", " ").alias("words")), "leaf-lines")
     constants = (
         wanted.select("leaf", F.posexplode("words").alias("at", "token"))
