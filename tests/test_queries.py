@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sparkquarry.plans import detection_queries, project_queries
+from sparkquarry.plans import detection_queries, project_queries, structure_queries
 from sparkquarry.plans.queries import ORACLE_SQL, QUERIES
 
-assert detection_queries and project_queries  # they register their queries
+assert detection_queries and project_queries and structure_queries  # they register their queries
 SF = "/root/testdata/sf0.01"
 
 
