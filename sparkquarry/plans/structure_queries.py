@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.plans.queries import _query, _read
-from sparkquarry.sources import compose
+from sparkquarry.sources import compose, files as sources
 
 def _iu() -> tuple[Column, Column]:
     """An event's number and its user."""
@@ -104,3 +104,49 @@ def compose_dockerfiles(spark, sf_dir):
     files = _files(_events(spark, sf_dir), "kind", ("api/Dockerfile", F.lit(""), i % 2 == 0), ("x/dev.Dockerfile", F.lit(""), i % 3 == 0), ("other/Dockerfile", F.lit(""), F.lit(True))).drop("kind")
     found, unused = compose.service_dockerfiles(services, files)
     return found.select("repo_id", "name", "path").unionByName(unused.select("repo_id", F.lit(None).cast("string").alias("name"), "path"))
+
+
+@_query("""WITH e AS (SELECT event_id AS i FROM events), n AS (SELECT i, name, line FROM e, (VALUES ('A', 1, 1), ('KEY', 2, 1), ('ABCDEF', 3, 5), ('D', 5, 1), ('LAST', 6, 1)) t(name, line, m) WHERE i % m = 0)
+    SELECT i AS repo_id, name, name = 'ABCDEF' OR name = 'D' AND i % 3 = 0 AS empty, CASE WHEN name = 'A' THEN i % 60000 END AS port FROM n""")
+def dotenv_names(spark, sf_dir):
+    i, _ = _iu()
+    foot = F.when(i % 5 == 0, "").otherwise("-----END PRIVATE KEY-----")  # a head without a foot hides nothing
+    body = _text("A=redis://h:", _n(i % 60000), '\nKEY="-----BEGIN PRIVATE KEY-----\nABCDEF=\n', foot, '"\nD=', F.when(i % 3 == 0, "").otherwise("x"), "\nLAST='two\nlines=1'\n")
+    body = F.when(i % 5 == 0, F.replace(body, F.lit('"'), F.lit(""))).otherwise(body)
+    return sources.parse_dotenv(_files(_events(spark, sf_dir), "content", (".env", body, F.lit(True)))).select("repo_id", "name", "empty", "port")
+
+
+@_query("""WITH e AS (SELECT event_id AS i, user_id AS u FROM events) SELECT i AS repo_id, n AS nth, CASE n WHEN 1 THEN 'node:' || (18 + i % 5) || '-slim' WHEN 2 THEN 'base' ELSE 'x/' || CASE WHEN u % 2 = 0 THEN 'own' ELSE 'dflt' END || ':$LATE' END AS image,
+    CASE n WHEN 1 THEN 'base' WHEN 2 THEN 'app' ELSE '' END AS name, n = 2 AS from_stage FROM e, (VALUES (1), (2), (3)) t(n)""")
+def docker_stages(spark, sf_dir):
+    from pyspark.sql import Window
+
+    i, u = _iu()
+    text = _text(
+        "# escape=`\nARG V=", _n(18 + i % 5), "\nARG TAG=${V}-slim NAME=", F.when(u % 2 == 0, '"own"').otherwise(""), "\nFROM --platform=$P `\n  # note\n  node:$TAG AS base\nARG LATE=1\nRUN <<EOT\nFROM nowhere\nEOT\n",
+        "FROM base AS App\nCOPY <<-'A' <<B /x\nFROM a\nA\nFROM b\nB\nFROM x/${NAME:-dflt}:$LATE\n",
+    )
+    stages = sources.docker_stages(sources.parse_dockerfile(_files(_events(spark, sf_dir), "content", ("Dockerfile", text, F.lit(True)))))
+    return stages.select("repo_id", F.row_number().over(Window.partitionBy("repo_id").orderBy("ord")).alias("nth"), "image", "name", "from_stage")
+
+
+@_query("""SELECT event_id AS repo_id, 'example.com/m' || (user_id % 9) AS module, CASE WHEN event_id % 4 = 0 THEN 'v1.' || (event_id % 11) || '.0' END AS required FROM events WHERE event_id % 3 <> 0""")
+def gomod_modules(spark, sf_dir):
+    i, u = _iu()
+    text = _text(F.when(i % 3 != 0, _text("module example.com/m", _n(u % 9), "\n")).otherwise("// module none\n"), "go 1.22\n", F.when(i % 4 == 0, _text("require (\n\tx/y v1.", _n(i % 11), ".0 // indirect\n)\n")).otherwise(""))
+    rows = sources.parse_gomod(_files(_events(spark, sf_dir), "content", ("go.mod", text, F.lit(True))))
+    of = lambda directive, name: F.max(F.when(F.col("directive") == directive, F.col(name)))
+    return rows.groupBy("repo_id").agg(of("module", "module").alias("module"), of("require", "version").alias("required"))
+
+
+@_query("""SELECT event_id AS repo_id, 'pkg' || (user_id % 7) AS name, event_id % 2 = 0 AS private, CASE event_id % 3 WHEN 0 THEN 'packages/*' WHEN 1 THEN 'apps/*,libs/*' END AS workspaces, 'build=vite' AS scripts,
+    CASE WHEN event_id % 4 > 0 THEN 'react=^' || (event_id % 4) ELSE '' END AS dependencies FROM events""")
+def manifest_fields(spark, sf_dir):
+    i, u = _iu()
+    spaces = F.when(i % 3 == 0, ',"workspaces":["packages/*",5]').when(i % 3 == 1, ',"workspaces":{"packages":["apps/*","libs/*"],"nohoist":[]}').otherwise("")
+    text = _text(
+        '{"name":"pkg', _n(u % 7), '","private":', F.when(i % 2 == 0, "true").otherwise("false"), spaces, ',"scripts":{"build":"vite","n":5,"o":{}},"dependencies":{', F.when(i % 4 > 0, _text('"react":"^', _n(i % 4), '"')).otherwise(""), "}}",
+    )
+    m = _files(_events(spark, sf_dir), "content", ("package.json", text, F.lit(True))).select("repo_id", sources.parse_manifest(F.col("content")).alias("m"))
+    pairs = lambda c: F.array_join(F.transform(F.map_entries(F.col(f"m.{c}")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias(c)
+    return m.select("repo_id", "m.name", "m.private", F.array_join("m.workspaces", ",").alias("workspaces"), pairs("scripts"), pairs("dependencies"))
