@@ -69,10 +69,24 @@ def parse_pnpm_lock(files: DataFrame) -> DataFrame:
     section = F.when(F.col("raw").rlike(r"^\S.*:"), F.regexp_extract("raw", r"^([^:]+):", 1))
     under = F.last(section, ignorenulls=True).over(Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     keys = lines_of(files).withColumn("section", under).where((F.col("section") == "packages") & F.col("raw").rlike(r"^  \S.*:\s*(?:\{.*)?$"))
-    key = F.regexp_replace(F.regexp_replace(F.regexp_extract("raw", r"^  ['\"]?/?(.*?)['\"]?:\s*(?:\{.*)?$", 1), "^/", ""), r"\(.*$", "")
-    old, new = r"^((?:@[^/@]+/)?[^/@]+)/(\d[^/_]*)(?:_.*)?$", r"^(.+)@([^@]*)$"
-    pattern = lambda part: F.when(key.rlike(old), F.regexp_extract(key, old, part)).otherwise(F.regexp_extract(key, new, part))
-    return _packages(keys.select("repo_id", "path", pattern(1).alias("name"), pattern(2).alias("raw")), "npm")
+    # ends at the colon that closes the key; peers follow in parentheses
+    line = F.trim(F.regexp_replace("raw", r"\{.*$", ""))
+    key = F.ltrim(F.trim(F.substr(line, F.lit(1), F.length(line) - 1), F.lit("'\"")), F.lit("/"))
+    keys = keys.withColumn("key", F.substring_index(key, "(", 1)).withColumn("parts", F.split("key", "/"))
+    n = F.when(F.col("key").startswith("@"), 2).otherwise(1)
+    # old keys put a slash before the version and an underscore before peers
+    old = F.array_join(F.slice("parts", 1, n), "/")
+    is_old = F.get("parts", n).rlike(r"^\d") & ~F.substr(old, F.lit(2)).contains("@")
+    raw = F.substring_index("key", "@", -1)
+    name = F.when(is_old, old).otherwise(F.substr("key", F.lit(1), F.length("key") - F.length(raw) - 1))
+    return _packages(keys.select("repo_id", "path", name.alias("name"), F.when(is_old, F.substring_index(F.get("parts", n), "_", 1)).otherwise(raw).alias("raw")), "npm")
+
+
+def _before_range(wanted: Column) -> Column:
+    """The name in ``name@range``; a scope begins with the same sign."""
+    wanted = F.trim(F.trim(wanted), F.lit('"'))
+    rest = F.substring_index(F.substr(wanted, F.lit(2)), "@", 1)
+    return F.when(F.substr(wanted, F.lit(2)).contains("@"), F.concat(F.substring(wanted, 1, 1), rest)).otherwise("")
 
 
 def parse_yarn_lock(files: DataFrame) -> DataFrame:
@@ -80,10 +94,11 @@ def parse_yarn_lock(files: DataFrame) -> DataFrame:
     rows = lines_of(files).where(~F.col("raw").startswith("#") & (F.col("raw") != ""))
     head = F.col("raw").rlike(r"^\S")
     parts = F.split(F.regexp_replace("raw", ":$", ""), ",")
-    names = F.array_distinct(F.transform(parts, lambda d: F.regexp_extract(F.regexp_replace(F.trim(d), '^"|"$', ""), "^(.[^@]*)@", 1)))
+    names = F.array_distinct(F.transform(parts, _before_range))
     registry = F.col("raw").endswith(":") & ~F.col("raw").startswith("__metadata") & ~F.col("raw").rlike("@(?:workspace|link|portal|file):")
     block = F.count_if(head).over(Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    version = F.regexp_extract("raw", r'^\s+version:?\s+"?([^"\s]+)"?\s*$', 1)
+    words = F.split(F.trim("raw"), r"\s+")
+    version = F.when((F.size(words) == 2) & F.get(words, F.lit(0)).isin("version", "version:"), F.trim(F.get(words, F.lit(1)), F.lit('"'))).otherwise("")
     rows = rows.select("repo_id", "path", "line", block.alias("block"), F.when(head & registry, names).alias("names"), F.when(~head & (version != ""), version).alias("raw"))
     each = rows.groupBy("repo_id", "path", "block").agg(F.first("names", ignorenulls=True).alias("names"), F.min(F.when(F.col("raw").isNotNull(), F.struct("line", "raw")))["raw"].alias("raw"))
     return _packages(each.select("repo_id", "path", F.explode("names").alias("name"), "raw"), "npm")

@@ -17,6 +17,12 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _unquoted(text: Column) -> Column:
+    """A text without the quotes around it."""
+    quote = F.substring(text, 1, 1)
+    return F.when((F.length(text) > 1) & quote.isin('"', "'") & text.endswith(quote), F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+
+
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy("repo_id", "path", *keys).orderBy("line"))).where("__n = 1").drop("__n")
 
@@ -44,21 +50,32 @@ def parse_mise_tools(files: DataFrame) -> DataFrame:
     rows = lines_of(files).withColumn("raw", plain)
     rows = rows.withColumn("table", F.coalesce(_carry(F.when(F.col("raw").rlike(r"^\[[^\]]*\]$"), _strip(F.regexp_extract("raw", r"^\[([^\]]*)\]$", 1)))), F.lit("")))
     entry = F.when(F.col("table") == "tools", F.col("raw")).otherwise(F.regexp_extract("raw", r"^tools\.(.*)$", 1))
-    key = r"""^["']?([\w:@/.-]+)["']?\s*=\s*(.+)$"""
-    value = F.regexp_extract(entry, key, 2)
-    forms = [r"""^\[?\s*["']([^"']*)["']""", r"""^\{.*\bversion\s*=\s*["']([^"']*)["']""", r"^(\d[\d.]*)\s*$"]
-    version = F.coalesce(*[F.when(value.rlike(p), F.regexp_extract(value, p, 1)) for p in forms])
-    return rows.select("repo_id", "path", "line", F.regexp_replace(F.regexp_extract(entry, key, 1), "^core:", "").alias("tool"), version.alias("version")).where("version <> '' AND tool <> ''")
+    name = _unquoted(_strip(F.substring_index(entry, "=", 1)))
+    value = _strip(F.substr(entry, F.length(F.substring_index(entry, "=", 1)) + 2))
+    inner = _strip(F.substr(value, F.lit(2), F.length(value) - 2))
+    fields = F.filter(F.split(inner, ","), lambda f: _strip(F.substring_index(f, "=", 1)) == "version")
+    of_table = _strip(F.substr(F.get(fields, F.lit(0)), F.length(F.substring_index(F.get(fields, F.lit(0)), "=", 1)) + 2))
+    version = F.when(value.startswith("["), _unquoted(_strip(F.substring_index(inner, ",", 1)))).when(value.startswith("{"), _unquoted(of_table)).otherwise(_unquoted(value))
+    fine = name.rlike(r"^[\w:@/.-]+$") & (value.rlike("^[\\[{\"']") | value.rlike(r"^\d[\d.]*$"))
+    return rows.select("repo_id", "path", "line", F.when(name.startswith("core:"), F.substr(name, F.lit(6))).otherwise(name).alias("tool"), F.when(fine, version).alias("version")).where("version <> '' AND tool <> ''")
+
+
+#: Signs that begin a bound of a requirement.
+BOUNDS = "=!<>~"
 
 
 def parse_requirements(files: DataFrame) -> DataFrame:
     """repo_id, path, line, name (normalised) and spec (null: any) of requirements files; options and comments go."""
     plain = _strip(F.regexp_replace("raw", r"(?:^|\s)#.*$", ""))
-    bound = r"(?:===|==|!=|<=|>=|~=|<|>)\s*[A-Za-z0-9.*+!_-]+"
-    pattern = rf"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*((?:{bound}\s*,?\s*)*)"
     rows = lines_of(files).withColumn("raw", plain).where(F.col("raw").rlike("^[A-Za-z0-9]"))
-    spec = F.regexp_replace(F.regexp_replace(F.regexp_extract("raw", pattern, 2), r"\s+", ""), ",$", "")
-    return rows.select("repo_id", "path", "line", F.lower(F.regexp_replace(F.regexp_extract("raw", pattern, 1), "[-_.]+", "-")).alias("name"), F.when(spec != "", spec).alias("spec"))
+    # a name ends where an extra, a bound, a marker, an address or a blank begins
+    name = F.regexp_extract("raw", r"^[A-Za-z0-9._-]+", 0)
+    name = F.rtrim(name, F.lit("._-"))
+    tail = F.regexp_replace(F.regexp_replace(F.substr("raw", F.length(name) + 1), r"^\s*\[[^\]]*\]", ""), r"\s+", "")
+    clauses = F.split(F.substring_index(F.substring_index(tail, ";", 1), "@", 1), ",")
+    is_bound = lambda c: F.translate(F.substring(c, 1, 1), BOUNDS, "") == ""
+    kept = F.array_join(F.filter(clauses, lambda c: (c != "") & is_bound(c)), ",")
+    return rows.select("repo_id", "path", "line", F.lower(F.regexp_replace(name, "[-_.]+", "-")).alias("name"), F.when(kept != "", kept).alias("spec"))
 
 
 def parse_go_work(files: DataFrame) -> DataFrame:
@@ -73,11 +90,16 @@ def parse_go_work(files: DataFrame) -> DataFrame:
 
 def parse_deno_imports(files: DataFrame) -> DataFrame:
     """repo_id, path, name, range (default any) and registry of a Deno config's imports; URLs, paths and prefixes go."""
-    pattern = r"(?i)^(jsr|npm):/?((?:@[a-z0-9][\w.-]{0,100}/)?[a-z0-9][\w.-]{0,100})(?:@([^/\s]{1,64}))?(?:/|$)"
     imports = F.map_values(F.from_json(strict_json(F.col("content")), "imports map<string,string>")["imports"])
-    rows = files.select("repo_id", "path", F.posexplode(imports).alias("line", "s")).withColumn("s", _strip(F.col("s"))).where(F.col("s").rlike(pattern))
-    part = lambda i: F.regexp_extract("s", pattern, i)
-    rows = rows.select("repo_id", "path", "line", part(2).alias("name"), F.when(part(3) != "", part(3)).otherwise("*").alias("range"), F.lower(part(1)).alias("registry"))
+    rows = files.select("repo_id", "path", F.posexplode(imports).alias("line", "s")).withColumn("s", _strip(F.col("s")))
+    rows = rows.withColumns({"registry": F.lower(F.substring_index("s", ":", 1)), "parts": F.split(F.regexp_replace(F.substr("s", F.length(F.substring_index("s", ":", 1)) + 2), "^/", ""), "/")})
+    scope = F.when(F.get("parts", F.lit(0)).startswith("@"), F.get("parts", F.lit(0)))
+    rows = rows.where(F.col("registry").isin("jsr", "npm")).withColumns({"scope": scope, "last": F.get("parts", F.when(scope.isNotNull(), 1).otherwise(0))})
+    own = F.substring_index("last", "@", 1)
+    span = F.when(F.col("last").contains("@"), F.substr("last", F.length(own) + 2))
+    word = lambda w: w.rlike(r"(?i)^[a-z0-9][\w.-]{0,100}$")
+    fine = word(own) & (F.col("scope").isNull() | word(F.substr("scope", F.lit(2)))) & (span.isNull() | (F.length(span).between(1, 64) & ~span.rlike(r"\s")))
+    rows = rows.where(fine).select("repo_id", "path", "line", F.concat_ws("/", "scope", own).alias("name"), F.coalesce(span, F.lit("*")).alias("range"), "registry")
     return _first(rows, "name").drop("line")
 
 
@@ -95,8 +117,11 @@ def parse_makefile(files: DataFrame) -> DataFrame:
 
     A target that comes again fills an empty command. Assignments, patterns, expansions, dot targets and define bodies go.
     """
-    defined = _carry(F.when(F.col("raw").rlike(r"^(?:(?:export|override)\s+)?define\b"), True).when(F.col("raw").rlike(r"^\s*endef\b"), False))
-    rows = lines_of(files).withColumn("in_define", F.coalesce(defined, F.lit(False))).where(~F.col("in_define") & ~F.col("raw").rlike(r"^(?:#|\s*endef\b)"))
+    words = F.split(_strip(F.col("raw")), r"\s+")
+    at = F.when(F.get(words, F.lit(0)).isin("export", "override"), 1).otherwise(0)
+    begins, ends = (F.get(words, at) == "define") & ~F.col("raw").rlike(r"^\s"), F.get(words, F.lit(0)) == "endef"
+    defined = _carry(F.when(begins, True).when(ends, False))
+    rows = lines_of(files).withColumn("ends", ends).withColumn("in_define", F.coalesce(defined, F.lit(False))).where(~F.col("in_define") & ~F.col("ends") & ~F.col("raw").startswith("#"))
     rows = _recipe(rows)
     command = F.regexp_replace(_strip(F.col("raw")), r"^[@+-]+\s*", "")
     body = rows.where(~F.col("top") & (command != "") & ~command.startswith("#")).groupBy("repo_id", "path", "block").agg(F.min(F.struct("line", command.alias("command")))["command"].alias("body"))
