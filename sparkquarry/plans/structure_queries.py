@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import commands
+from sparkquarry.operators import evidence, modules
 from sparkquarry.plans.queries import _query, _read
-from sparkquarry.sources import compose, files as sources
+from sparkquarry.sources import ci, compose, files as sources, git_config, page_routes
 
 def _iu() -> tuple[Column, Column]:
     """An event's number and its user."""
@@ -150,3 +152,112 @@ def manifest_fields(spark, sf_dir):
     m = _files(_events(spark, sf_dir), "content", ("package.json", text, F.lit(True))).select("repo_id", sources.parse_manifest(F.col("content")).alias("m"))
     pairs = lambda c: F.array_join(F.transform(F.map_entries(F.col(f"m.{c}")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias(c)
     return m.select("repo_id", "m.name", "m.private", F.array_join("m.workspaces", ",").alias("workspaces"), pairs("scripts"), pairs("dependencies"))
+
+
+@_query("""WITH e AS (SELECT event_id AS i FROM events), t AS (SELECT * FROM (VALUES ('./a', 2, 'src/a.ts'), ('./b.js', 1, 'src/b.ts'), ('./d', 3, 'src/d/index.ts'), ('../top', 1, 'top.mts'), ('../../out', 1, NULL), ('./none', 1, NULL)) v(specifier, m, target))
+    SELECT i AS repo_id, specifier, CASE WHEN specifier = './b.js' AND i % 5 = 0 THEN 'src/b.js' WHEN i % m = 0 THEN target END AS target FROM e, t""")
+def relative_imports(spark, sf_dir):
+    i, _ = _iu()
+    asked = F.explode(F.lit(["./a", "./b.js", "./d", "../top", "../../out", "./none"])).alias("specifier")
+    imports = _events(spark, sf_dir).select(i.alias("repo_id"), F.lit("src/main.ts").alias("path"), asked)
+    files = _files(_events(spark, sf_dir), "kind", *[(p, F.lit(""), t) for p, t in (("src/a.ts", i % 2 == 0), ("src/b.ts", F.lit(True)), ("src/b.js", i % 5 == 0), ("src/d/index.ts", i % 3 == 0), ("top.mts", F.lit(True)))])
+    return modules.resolve_imports(imports, files).select("repo_id", "specifier", "target")
+
+
+@_query("""WITH RECURSIVE n AS (SELECT event_id AS i, event_id // 16 AS repo, event_id % 16 AS k FROM events),
+    edge AS (SELECT a.repo, a.k, b.k AS t FROM n a JOIN n b ON a.repo = b.repo AND (b.k = (a.k * 3 + a.repo) % 16 OR b.k = (a.k + 5) % 16 AND a.k % 4 = 0)),
+    reach AS (SELECT repo, k, 0 AS level FROM n WHERE k = repo % 16 UNION SELECT e.repo, e.t, level + 1 FROM reach r JOIN edge e ON r.repo = e.repo AND r.k = e.k WHERE level < 16)
+    SELECT repo AS repo_id, 'm' || k || '.ts' AS path, CAST(min(level) AS INTEGER) AS level FROM reach GROUP BY ALL""")
+def mounted_modules(spark, sf_dir):
+    i, _ = _iu()
+    repo, k = F.floor(i / 16), i % 16
+    name = lambda n: F.concat(F.lit("m"), _n(n))
+    nodes = _events(spark, sf_dir).select(repo.alias("repo_id"), k.alias("k"))
+    files = nodes.select("repo_id", F.concat(name(F.col("k")), F.lit(".ts")).alias("path"))
+    targets = F.explode(F.array_compact(F.array((F.col("k") * 3 + F.col("repo_id")) % 16, F.when(F.col("k") % 4 == 0, (F.col("k") + 5) % 16)))).alias("t")
+    mounts = nodes.select("repo_id", "k", targets).select("repo_id", F.concat(name(F.col("k")), F.lit(".ts")).alias("path"), F.concat(F.lit("./"), name(F.col("t"))).alias("specifier"))
+    users = nodes.where("k = repo_id % 16").select("repo_id", F.concat(name(F.col("k")), F.lit(".ts")).alias("path"))
+    return modules.mounted_files(users, mounts, files)[0].select("repo_id", "path", "level")
+
+
+@_query("""SELECT event_id AS repo_id, name, CASE WHEN name = 'c' THEN '^' || (user_id % 9) WHEN name = 'a' AND event_id % 2 = 0 THEN '^2.' || (event_id % 7) WHEN name = 'b' AND event_id % 3 = 0 THEN '~3.' || (user_id % 5)
+    WHEN name = 'a' THEN 'catalog:' ELSE 'catalog: next' END AS range FROM events, (VALUES ('a'), ('b'), ('c')) n(name)""")
+def catalog_ranges(spark, sf_dir):
+    i, u = _iu()
+    entry = lambda *v: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(k) for k, x in zip(("catalog", "name", "range"), v, strict=True)])
+    rows = F.array(entry("", "a", "catalog:"), entry("", "b", "catalog: next"), entry("", "c", _text("^", _n(u % 9))))
+    refs = _events(spark, sf_dir).select(i.alias("repo_id"), F.explode(rows).alias("r")).select("repo_id", "r.name", "r.range")
+    have = F.array_compact(F.array(F.when(i % 2 == 0, entry("default", "a", _text("^2.", _n(i % 7)))), F.when(i % 3 == 0, entry("next", "b", _text("~3.", _n(u % 5)))), entry("next", "a", "no")))
+    catalogs = _events(spark, sf_dir).select(i.alias("repo_id"), F.explode(have).alias("c")).select("repo_id", "c.*")
+    return modules.resolve_catalogs(refs, catalogs)
+
+
+MATCHERS = [
+    ("typescript", "tsc", "tsc", [], ["--noEmit"], None), ("types", "tsc --noEmit", "tsc", ["--noEmit"], [], None), ("vite", "vite build", "vite", ["build"], [], None), ("node-test", "node --test", "node", ["--test"], [], "test"),
+    ("jest", "jest", "jest", [], [], None),
+]
+
+
+@_query("""WITH e AS (SELECT event_id AS i, event_id % 6 AS k FROM events)
+    SELECT i AS repo_id, 'test' AS script, id FROM e, (VALUES (0, 'typescript'), (0, 'vite'), (1, 'types'), (2, 'jest'), (3, 'node-test'), (4, 'jest'), (4, 'vite')) v(n, id) WHERE k = n""")
+def script_tools(spark, sf_dir):
+    i, _ = _iu()
+    lines = ["tsc -b && vite build", "npx -y tsc --noEmit --config t.json", "NODE_ENV=test cross-env A='x && tsc' jest", "node --test 'tsc;jest'", "dotenv -e .env -- jest | pnpm exec vite build", 'echo "vite build"']
+    scripts = _events(spark, sf_dir).select(i.alias("repo_id"), F.lit(".").alias("package"), F.lit("test").alias("name"), F.get(F.lit(lines), (i % 6).cast("int")).alias("command"))
+    matchers = spark.createDataFrame(MATCHERS, "id string, label string, bin string, needs array<string>, without array<string>, script string")
+    return commands.script_signals(scripts, matchers).select("repo_id", "script", "id")
+
+
+@_query("""SELECT event_id AS repo_id, CASE event_id % 4 WHEN 0 THEN (18 + user_id % 3) || ',' || (22 + user_id % 3) WHEN 1 THEN 'v' || (18 + user_id % 3) || '-linux,v' || (22 + user_id % 3) || '-linux' WHEN 2 THEN 'x' || (user_id % 7) END AS found FROM events""")
+def matrix_expressions(spark, sf_dir):
+    i, u = _iu()
+    values = F.array(F.lit("${{ matrix.node }}"), F.lit("v${{ matrix.node }}-${{ env.OS }}"), _text("x${{ '", _n(u % 7), "' }}"), F.lit("${{ secrets.T }}"))
+    matrix = _text('{"node":[', _n(18 + u % 3), '],"include":[{"node":"', _n(22 + u % 3), '"}]}')
+    rows = _events(spark, sf_dir).select(i.alias("repo_id"), F.get(values, (i % 4).cast("int")).alias("v"), matrix.alias("m"), F.array(F.lit("{}"), F.lit('{"OS":"linux"}')).alias("e"))
+    return rows.select("repo_id", F.array_join(ci.expand_expression(F.col("v"), F.col("m"), F.col("e")), ",").alias("found"))
+
+
+@_query("""SELECT event_id AS repo_id, CASE WHEN event_id % 3 = 0 THEN 'lint,' ELSE '' END || 'test' || CASE WHEN event_id % 2 = 0 THEN ',build' ELSE '' END AS tasks FROM events""")
+def ci_job_tasks(spark, sf_dir):
+    i, _ = _iu()
+    texts = F.array_compact(F.array(F.when(i % 2 == 0, F.lit("npm run build")), F.lit("npm ci && npx vitest"), F.when(i % 3 == 0, F.lit("eslint .")), F.lit("npm test")))
+    steps = _events(spark, sf_dir).select(i.alias("repo_id"), F.lit("ci.yml").alias("path"), F.lit("j").alias("job"), F.explode(texts).alias("text"))
+    return ci.job_tasks(steps).select("repo_id", F.array_join("tasks", ",").alias("tasks"))
+
+
+@_query("""WITH e AS (SELECT event_id AS i, user_id AS u FROM events) SELECT i AS repo_id, 'origin' AS name, 'https://h/u' || (u % 11) || '/r.git' AS url, CASE WHEN i % 2 = 0 THEN 'git@h:p' || (i % 5) END AS push_url FROM e
+    UNION ALL SELECT i, 'Fork "x"', 'b', NULL FROM e WHERE i % 3 = 0""")
+def git_remotes(spark, sf_dir):
+    i, u = _iu()
+    text = _text(
+        '[core]\n\tbare = false\n[remote "origin"]\n\turl = "https://h/u', _n(u % 11), '/r.git" # main\n\turl = second\n', F.when(i % 2 == 0, _text("\tpushurl = git@h:\\\np", _n(i % 5), "\n")).otherwise(""),
+        F.when(i % 3 == 0, F.lit('[remote "Fork \\"x\\""]\n url = b ; c\n')).otherwise(F.lit('[remote "x\n url = b\n')),
+    )
+    return git_config.remotes(git_config.parse_git_config(_files(_events(spark, sf_dir), "content", (".git/config", text, F.lit(True)))))
+
+
+_PAGES_OF = "WITH e AS (SELECT event_id AS i FROM events), "
+
+
+@_query(_PAGES_OF + """r AS (SELECT i, t.* FROM e, (VALUES ('page', 'GET', '/', 'app/pages/index.vue', NULL, 1, 0), ('page', 'GET', '/p/[id]', 'app/pages/(g)/p/[id].vue', NULL, 1, 0), ('page', 'GET', '/set', 'app/pages/set.vue', 'nested route parent', 2, 0),
+        ('page', 'GET', '/set', 'app/pages/set/index.vue', NULL, 2, 1), ('page', 'GET', '/set/x', 'app/pages/set/x.vue', NULL, 1, 0), ('api', 'GET', '/api/u/[id]', 'server/api/u/[id].get.ts', NULL, 1, 0), ('api', 'POST', '/h', 'server/routes/h.post.dev.ts', 'development only', 3, 0))
+        t(kind, method, path, file, note, m, k) WHERE CASE m WHEN 2 THEN i % 2 = k WHEN 3 THEN i % 3 = 0 ELSE true END)
+    SELECT i AS repo_id, kind, method, path, file, note FROM r""")
+def nuxt_file_routes(spark, sf_dir):
+    i, _ = _iu()
+    names = [("app/pages/index.vue", F.lit(True)), ("app/pages/(g)/p/[id].vue", F.lit(True)), ("app/pages/set.vue", F.lit(True)), ("app/pages/set/index.vue", i % 2 == 1), ("app/pages/set/x.vue", F.lit(True)), ("app/pages/-no.vue", F.lit(True)), ("pages/old.vue", F.lit(True)), ("server/api/u/[id].get.ts", F.lit(True)), ("server/routes/h.post.dev.ts", i % 3 == 0), ("server/api/a.test.ts", F.lit(True))]
+    files = _files(_events(spark, sf_dir), "package", *[(p, F.lit("."), t) for p, t in names])
+    packages = _events(spark, sf_dir).select(i.alias("repo_id"), F.lit(".").alias("package"), F.lit(None).cast("string").alias("src_dir"))
+    return evidence.finalise_routes(page_routes.nuxt_routes(files, packages)).select("repo_id", "kind", "method", "path", "file", "note")
+
+
+@_query(_PAGES_OF + """r AS (SELECT i, t.* FROM e, (VALUES ('page', 'GET', '/', 'app/page.tsx', 1), ('page', 'GET', '/shop', 'app/(a)/shop/page.tsx', 2), ('page', 'GET', '/shop', 'app/@s/shop/page.tsx', 3), ('api', 'GET', '/api/r', 'app/api/r/route.ts', 1), ('api', 'POST', '/api/r', 'app/api/r/route.ts', 4),
+        ('page', 'GET', '/b', 'pages/b/index.tsx', 1), ('api', 'ANY', '/api/u', 'pages/api/u.ts', 1)) t(kind, method, path, file, m) WHERE CASE m WHEN 2 THEN i % 2 = 0 WHEN 3 THEN i % 2 = 1 WHEN 4 THEN i % 5 = 0 ELSE true END)
+    SELECT i AS repo_id, kind, method, CASE WHEN i % 3 > 0 THEN path WHEN path = '/' THEN '/base' ELSE '/base' || path END AS path, file FROM r""")
+def next_file_routes(spark, sf_dir):
+    i, _ = _iu()
+    body = _text("export async function GET() {}\n", F.when(i % 5 == 0, F.lit("const h = 1\nexport { h as POST }\n")).otherwise(F.lit("// export const POST = 1\n")))
+    names = [("app/page.tsx", F.lit(True)), ("app/(a)/shop/page.tsx", i % 2 == 0), ("app/@s/shop/page.tsx", F.lit(True)), ("app/_x/page.tsx", F.lit(True)), ("app/api/r/route.ts", F.lit(True)), ("pages/b/index.tsx", F.lit(True)), ("pages/api/u.ts", F.lit(True)), ("pages/_app.tsx", F.lit(True)), ("src/app/page.tsx", F.lit(True))]
+    files = _files(_events(spark, sf_dir), "content", *[(p, body if p.endswith("route.ts") else F.lit(""), t) for p, t in names]).withColumn("package", F.lit("."))
+    packages = _events(spark, sf_dir).select(i.alias("repo_id"), F.lit(".").alias("package"), F.when(i % 3 == 0, "/base").alias("base_path"))
+    return evidence.finalise_routes(page_routes.next_routes(files, packages)).select("repo_id", "kind", "method", "path", "file")
