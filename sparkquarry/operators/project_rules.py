@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import globs, paths, versions
+from sparkquarry.operators import rules
 from sparkquarry.operators.hierarchy import owner_join
 from sparkquarry.operators.rules import Rule, finding
+from sparkquarry.sources.compose import known_missing
 
+#: Directories above a file that a walk goes down, at most.
+MOST_WALKED = 20
+#: Files that are read as configuration: one that parses lets its rule pass.
+CONFIG_FILE = r"(?:\.(?:json|jsonc|ya?ml)|(?:^|/)go\.mod)$"
 #: Fixed value: the test script that npm writes into a new manifest.
 NPM_PLACEHOLDER = "no test specified"
 #: File names of the two conventions for code in front of Next.js routes.
@@ -122,8 +128,10 @@ def compose_version(s: dict[str, DataFrame]) -> DataFrame:
 
 
 def compose_env_file_missing(s: dict[str, DataFrame]) -> DataFrame:
-    """Required env files (path) of services that no file is: env_file_refs (compose_file, service, path, required)."""
-    r = s["env_file_refs"].where("NOT required <=> false").join(s["files"].select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    """Required env files (path) of services that are certainly missing: env_file_refs (compose_file, service, path, required). ``listing``, if given, has
+    ignored files and directories as well (path, ignored, directory); deeper paths than the walk's and those under hidden directories may be there."""
+    listing = s["listing"] if "listing" in s else s["files"].select("repo_id", "path", F.lit(False).alias("ignored"), F.lit(False).alias("directory"))
+    r = known_missing(s["env_file_refs"].where("NOT required <=> false"), listing, most_depth=MOST_WALKED)
     r = r.groupBy("repo_id", "path").agg(F.array_sort(F.collect_set("compose_file")).alias("files"))
     return finding(r, "COMPOSE_ENV_FILE_MISSING", "docker", "warning", F.col("path"), F.col("files"))
 
@@ -197,12 +205,17 @@ def _any(*names: str):
     return lambda s: s[names[0]].select("repo_id").unionByName(s[names[1]].select("repo_id")) if len(names) > 1 else s[names[0]].select("repo_id")
 
 
+def _parsed(s: dict[str, DataFrame]) -> DataFrame:
+    """Where something did not parse, or there is a file that did."""
+    return s["warnings"].where("kind = 'parse'").select("repo_id").unionByName(s["files"].where(F.col("path").rlike(CONFIG_FILE)).select("repo_id"))
+
+
 #: The rules, each with where it applies; parse errors come last, when all warnings are known.
 PROJECT_RULES = [
     Rule("PACKAGE_JSON_INVALID", "configuration", lambda s: _with_file(s, ROOT_MANIFEST), manifest_invalid),
     Rule("ENV_EXAMPLE_REAL_SECRET", "security", _any("example_values"), example_real_secret),
     Rule("ENV_EXAMPLE_MISSING", "environment", lambda s: s["env_files"].select("repo_id").unionByName(s["variables"].where("used AND NOT test_only").select("repo_id")), example_missing),
-    Rule("PACKAGE_MANAGER_UNDECLARED", "package-manager", lambda s: s["projects"].where("has_manifest").select("repo_id"), manager_undeclared),
+    Rule("PACKAGE_MANAGER_UNDECLARED", "package-manager", lambda s: s["projects"].where("has_manifest").join(s["locks"].where(_root(F.col("path"))), "repo_id", "left_semi").select("repo_id"), manager_undeclared),
     Rule("LOCKFILE_MISSING", "package-manager", lambda s: s["packages"].where("role = 'root'").select("repo_id"), lockfile_missing),
     Rule("NODE_VERSION_OUT_OF_RANGE", "runtime", lambda s: s["node_pins"].join(s["engines"], "repo_id", "left_semi").select("repo_id"), node_out_of_range),
     Rule("GO_VERSION_CONFLICT", "runtime", lambda s: s["go_tools"].join(s["go_modules"], "repo_id", "left_semi").select("repo_id"), go_version_conflict),
@@ -217,6 +230,47 @@ PROJECT_RULES = [
     Rule("SCRIPT_MISSING_TEST", "scripts", _test_setup, missing_test),
     Rule("SCRIPT_MISSING_LINT", "scripts", lambda s: s["tools"].where("category = 'lint'").select("repo_id").join(_with_file(s, ROOT_MANIFEST).unionByName(s["tasks"].select("repo_id")), "repo_id", "left_semi"), missing_lint),
     Rule("ESLINT_LEGACY_CONFIG", "tooling", _any("eslint_configs"), eslint_legacy),
-    Rule("NEXT_MIDDLEWARE_DEPRECATED", "tooling", _any("next_apps"), next_middleware),
-    Rule("CONFIG_PARSE_ERROR", "configuration", _any("warnings"), config_parse_error),
+    Rule("NEXT_MIDDLEWARE_DEPRECATED", "tooling", lambda s: s["next_apps"].join(s["files"].where(paths.base_name(F.col("path")).isin(MIDDLEWARE_FILES)), "repo_id", "left_semi").select("repo_id"), next_middleware),
+    Rule("CONFIG_PARSE_ERROR", "configuration", _parsed, config_parse_error),
+]
+
+
+def _node_conflicts(s: dict[str, DataFrame]) -> DataFrame:
+    return rules.version_conflicts(s["node_scopes"])
+
+
+def _vulnerable_runtimes(s: dict[str, DataFrame]) -> DataFrame:
+    """Pins (runtime, version, path) behind security releases of their line: security_fixes (runtime, fix, severity)."""
+    late = rules.missed_fixes(s["runtime_pins"], s["security_fixes"])
+    rows = s["runtime_pins"].join(late, ["runtime", "version"]).groupBy("repo_id", "runtime", "version").agg(F.array_sort(F.collect_set("path")).alias("files"), F.max("worst").alias("worst"))
+    return finding(rows, "RUNTIME_VULNERABLE", "security", F.when(F.col("worst") >= 2, "error").otherwise("warning"), F.concat_ws("@", "runtime", "version"), F.col("files"))
+
+
+def _vulnerable_packages(s: dict[str, DataFrame]) -> DataFrame:
+    """Locked packages (ecosystem, name, version, lockfiles) with advisories (ecosystem, name, version, fixed)."""
+    keys = ["ecosystem", "name", "version"]
+    rows = s["locked"].join(rules.fix_all(s["locked"].select(*keys).distinct(), s["advisories"]), keys)
+    return finding(rows, "DEPENDENCY_VULNERABLE", "security", "warning", F.concat_ws("@", "name", "version"), F.col("lockfiles"))
+
+
+#: All rules: those above, and those over variables, env files, published ports, pins and locked packages; parse errors stay last.
+ALL_RULES = [
+    *PROJECT_RULES[:-1],
+    Rule("ENV_UNDOCUMENTED", "environment", lambda s: s["env_files"].where("kind = 'example'").select("repo_id"), rules.env_undocumented),
+    Rule("ENV_LOCAL_ONLY", "environment", lambda s: s["env_files"].where("kind = 'local'").select("repo_id"), rules.env_local_only),
+    Rule("ENV_UNUSED", "environment", lambda s: s["env_files"].where("kind = 'example'").select("repo_id"), rules.env_unused),
+    Rule("ENV_MISSING_LOCAL", "environment", lambda s: s["env_files"].where("kind = 'local'").select("repo_id"), rules.env_missing_local),
+    Rule("ENV_PUBLIC_SECRET", "security", _any("variables"), rules.env_public_secret),
+    Rule("ENV_FILE_NOT_IGNORED", "security", _any("env_files"), rules.env_not_ignored),
+    Rule("TRACKED_ENV_FILE", "security", _any("env_files"), rules.env_tracked),
+    Rule("DOCKER_PORT_CONFLICT", "docker", _any("bindings"), lambda s: rules.port_conflicts(s["bindings"])),
+    Rule("ENV_PORT_MISMATCH", "docker", lambda s: s["endpoints"].join(s["publishers"], "repo_id", "left_semi").select("repo_id"), lambda s: rules.endpoint_mismatch(s["endpoints"], s["publishers"])),
+    Rule("NODE_VERSION_CONFLICT", "runtime", _any("node_scopes"), _node_conflicts),
+    Rule("RUNTIME_EOL", "runtime", _any("node_scopes"), lambda s: rules.end_of_life(s["node_scopes"], s["node_eol"], s["today"].first()[0])),
+    Rule("RUNTIME_VULNERABLE", "security", _any("runtime_pins"), _vulnerable_runtimes),
+    Rule("DEPENDENCY_VULNERABLE", "security", _any("locked"), _vulnerable_packages),
+    Rule("MULTIPLE_LOCKFILES", "package-manager", _any("locks"), lambda s: rules.multiple_lockfiles(s["locks"])),
+    Rule("PACKAGE_MANAGER_MISMATCH", "package-manager", lambda s: s["projects"].where("has_manifest").join(s["locks"].where(_root(F.col("path"))), "repo_id", "left_semi").select("repo_id"), lambda s: rules.manager_mismatch(s["projects"].where("declared IS NOT NULL").select("repo_id", F.col("declared").alias("manager")), s["locks"])),
+    Rule("GO_SUM_MISSING", "tooling", _any("go_requires"), lambda s: rules.missing_sums(s["go_requires"], s["go_local"], s["go_sums"])),
+    PROJECT_RULES[-1],
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import paths, text, versions
 from sparkquarry.operators.evidence import SEVERITY, rank_of
+from sparkquarry.operators.fixpoint import settled
 
 FINDING = ["repo_id", "code", "severity", "category", "subject", "files"]
 
@@ -70,7 +71,20 @@ def env_local_only(s: dict[str, DataFrame]) -> DataFrame:
 
 
 def env_unused(s: dict[str, DataFrame]) -> DataFrame:
+    """Documented and read nowhere: not by code (complete scans only: ``scans`` with repo_id, if given), nor by name (``mentioned``), by Compose services
+    (``compose_names``), as build arguments (``build_args``), by tools (``tool_names``, of all repositories) or by a container that gets a whole
+    file of that directory (``env_file_dirs``: repo_id, dir). Sections that are not given hold nothing; all but tool_names have repo_id and name."""
     v = s["variables"].where("documented AND NOT used").join(s["platform"], "name", "left_anti")
+    if "scans" in s:
+        v = v.join(s["scans"], "repo_id", "left_semi")
+    for section in ("mentioned", "compose_names", "build_args"):
+        if section in s:
+            v = v.join(s[section].select("repo_id", "name"), ["repo_id", "name"], "left_anti")
+    if "tool_names" in s:
+        v = v.join(s["tool_names"].select("name"), "name", "left_anti")
+    if "env_file_dirs" in s:
+        given = v.select("repo_id", "name", F.explode("documented_in").alias("file")).select("repo_id", "name", paths.dir_of(F.col("file")).alias("dir"))
+        v = v.join(given.join(s["env_file_dirs"], ["repo_id", "dir"], "left_semi"), ["repo_id", "name"], "left_anti")
     return finding(v, "ENV_UNUSED", "environment", "info", F.col("name"), F.col("documented_in"))
 
 
@@ -132,11 +146,27 @@ def port_conflicts(bindings: DataFrame) -> DataFrame:
     return finding(found, "DOCKER_PORT_CONFLICT", "docker", F.when(F.col("profiled"), "warning").otherwise("error"), subject, F.col("files"))
 
 
-def endpoint_mismatch(endpoints: DataFrame, services: DataFrame) -> DataFrame:
-    """Local endpoints (repo_id, name, technology, port) whose technology is published, but not on that port."""
-    known = services.groupBy("repo_id", "technology").agg(F.bool_and(F.col("port").isNotNull()).alias("literal")).where("literal").drop("literal")
-    e = endpoints.join(known, ["repo_id", "technology"], "left_semi").join(services.select("repo_id", "technology", "port"), ["repo_id", "technology", "port"], "left_anti")
-    return finding(e, "ENV_PORT_MISMATCH", "docker", "warning", F.concat_ws(":", "name", F.col("port").cast("string")), F.array("file"))
+#: Technologies of services that serve a scheme.
+SCHEME_TECHNOLOGIES = [
+    ("postgres", "postgresql"), ("postgresql", "postgresql"), ("mysql", "mysql"), ("mysql", "mariadb"), ("mariadb", "mariadb"), ("mariadb", "mysql"), ("mongodb", "mongodb"),
+    *[(scheme, technology) for scheme in ("redis", "rediss") for technology in ("redis", "valkey", "keydb", "dragonfly", "dragonflydb")],
+]
+
+
+def endpoint_mismatch(endpoints: DataFrame, publishers: DataFrame) -> DataFrame:
+    """Local endpoints (repo_id, name, file, scheme, port, local) whose scheme some service serves, but none on that port.
+
+    ``publishers``: (repo_id, service, source, technology, host) of published ports, host as written and null where none is. A scheme is left alone where
+    a service of its technologies publishes a range or a variable, which could be any port. One finding a variable: its files and that of the first service.
+    """
+    served = endpoints.sparkSession.createDataFrame(SCHEME_TECHNOLOGIES, "scheme string, technology string")
+    port = F.when(F.col("host").rlike(r"^\d{1,5}$"), F.col("host").cast("int"))
+    p = publishers.where("host IS NOT NULL").withColumn("published", port).join(F.broadcast(served), "technology")
+    group = p.groupBy("repo_id", "scheme").agg(F.bool_or(F.col("published").isNull()).alias("open"), F.collect_set("published").alias("published"), F.min_by("source", "service").alias("source"))
+    e = endpoints.where("local AND port IS NOT NULL").withColumn("scheme", F.substring_index(F.lower("scheme"), "+", 1))
+    off = e.join(group.where("NOT open"), ["repo_id", "scheme"]).where(~F.array_contains("published", F.col("port")))
+    rows = off.groupBy("repo_id", "name").agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("file"), F.collect_set("source")))).alias("files"))
+    return finding(rows, "ENV_PORT_MISMATCH", "docker", "warning", F.col("name"), F.col("files"))
 
 
 # runtimes ----------------------------------------------------------------------------------------
@@ -212,25 +242,40 @@ def missing_sums(requires: DataFrame, local: DataFrame, sums: DataFrame) -> Data
 
 # the runner ----------------------------------------------------------------------------------------
 
+def _for_rules(rows: DataFrame, security: list[str], raised: Column) -> tuple[DataFrame, list[str]]:
+    """Settings or ignores with the columns to join by. Entries of one repository (repo_id) may not lower a security rule."""
+    if "repo_id" not in rows.columns:
+        return rows, ["code"]
+    return rows.where(~F.col("code").isin(security) | raised), ["repo_id", "code"]
+
+
 def run_rules(rules: list[Rule], sections: dict[str, DataFrame], repos: DataFrame, settings: DataFrame, ignores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings with ``ignored``, checks with status). settings: (code, setting); ignores: (code, pattern).
+    """(findings with ``ignored``, checks with status). settings: (code, setting), one a rule; ignores: (code, pattern); each with a repo_id where
+    they are a repository's own.
 
     A setting of off disables a rule, another one replaces its severities; an ignore entry hides findings
-    whose subject its wildcard matches. Statuses: disabled, skipped, failed, passed.
+    whose subject its wildcard matches. A repository's own entries can only raise a security rule to error. Statuses: disabled, skipped, failed, passed.
+    Findings are computed once and written; what follows reads them.
     """
     found = applied = None
     for r in rules:
         f, a = r.check(sections).select(*FINDING), r.applies(sections).select("repo_id", F.lit(r.code).alias("code")).distinct()
         found = f if found is None else found.unionByName(f)
         applied = a if applied is None else applied.unionByName(a)
-    set_ = F.broadcast(settings)  # one row a rule at most
-    found = found.join(applied, ["repo_id", "code"], "left_semi").join(set_, "code", "left").where("setting IS NULL OR setting <> 'off'")
+    security = [r.code for r in rules if r.category == "security"]
+    set_, by = _for_rules(settings, security, F.col("setting") == "error")
+    applied = settled(applied.withColumn("applies", F.lit(True)))
+    found = found.join(applied, ["repo_id", "code"], "left_semi").join(set_, by, "left").where("setting IS NULL OR setting <> 'off'")
     found = found.withColumn("severity", F.coalesce("setting", "severity")).drop("setting")
-    hidden = ignores.select("code", F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.\\+?^${}()|\[\]])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$")).alias("__re")).groupBy("code").agg(F.collect_set("__re").alias("__res"))
-    found = found.join(F.broadcast(hidden), "code", "left").withColumn("ignored", F.coalesce(F.exists("__res", lambda p: F.regexp_like(F.coalesce("subject", F.lit("")), p)), F.lit(False))).drop("__res")
-    every = repos.select("repo_id").crossJoin(F.broadcast(repos.sparkSession.createDataFrame([(r.code, r.category) for r in rules], "code string, category string")))
+    own, by_ignore = _for_rules(ignores, security, F.lit(False))
+    regex = F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.\\+?^${}()|\[\]])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))
+    hidden = own.select(*by_ignore, regex.alias("__re")).groupBy(*by_ignore).agg(F.collect_set("__re").alias("__res"))
+    found = found.join(hidden, by_ignore, "left").withColumn("ignored", F.coalesce(F.exists("__res", lambda p: F.regexp_like(F.coalesce("subject", F.lit("")), p)), F.lit(False))).drop("__res")
+    found = settled(found)
+    every = repos.select("repo_id", F.explode(F.lit([r.code for r in rules])).alias("code"))
+    every = every.withColumn("category", F.try_element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.code, r.category)]), F.col("code")))
     failed = found.where("NOT ignored").groupBy("repo_id", "code").agg(F.count("*").alias("findings"))
-    checks = every.join(set_, "code", "left").join(applied.withColumn("applies", F.lit(True)), ["repo_id", "code"], "left").join(failed, ["repo_id", "code"], "left")
+    checks = every.join(set_, by, "left").join(applied, ["repo_id", "code"], "left").join(failed, ["repo_id", "code"], "left")
     status = F.when(F.col("setting").eqNullSafe("off"), "disabled").when(F.col("applies").isNull(), "skipped").when(F.col("findings") > 0, "failed").otherwise("passed")
     return found, checks.select("repo_id", "code", "category", status.alias("status"), F.coalesce("findings", F.lit(0)).alias("findings"))
 

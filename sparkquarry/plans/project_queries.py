@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.operators import project_rules as rules
-from sparkquarry.plans.queries import _ENV, _env, _query, _read
+from sparkquarry.operators.fixpoint import settled
+from sparkquarry.operators.rules import run_rules
+from sparkquarry.plans.queries import _ENV, _env, _query, _read, ORACLE_SQL
 
 FILES = [
     "package.json", ".gitignore", "apps/a/middleware.ts", "apps/a/src/proxy.ts", ".env.production", "config/app.env", ".pnp.cjs", "src/index.test.ts",
@@ -132,3 +134,41 @@ def rule_example_missing(spark, sf_dir):
     s = _env(spark, sf_dir) | {"projects": _sections(spark, sf_dir)["projects"]}
     s["env_files"] = s["env_files"].where("CASE kind WHEN 'example' THEN repo_id % 3 > 0 WHEN 'local' THEN repo_id % 2 = 1 ELSE true END")
     return rules.example_missing(s).select("repo_id", "subject", "severity")
+
+
+#: code, the query with its findings, and the SQL for where it applies
+_APPLIES = [
+    ("PACKAGE_JSON_INVALID", "manifest_invalid", "u IN (SELECT u FROM fl WHERE path = 'package.json')"),
+    ("ENV_EXAMPLE_REAL_SECRET", "example_real_secret", "u IN (SELECT u FROM e WHERE i % 31 = 0)"),
+    ("PACKAGE_MANAGER_UNDECLARED", "manager_undeclared", "u % 5 <> 0 AND u IN (SELECT u FROM e WHERE i % 41 < 2)"),
+    ("LOCKFILE_MISSING", "lockfile_missing", "u IN (SELECT u FROM e WHERE i % 37 = 0)"),
+    ("NODE_VERSION_OUT_OF_RANGE", "node_out_of_range", "(u % 2 = 0 OR u % 3 = 0) AND u IN (SELECT u FROM e WHERE i % 29 < 3)"),
+    ("GO_VERSION_CONFLICT", "go_version_conflict", "(u % 2 = 0 OR u % 3 = 0) AND u IN (SELECT u FROM e WHERE i % 43 < 3)"),
+    ("WORKSPACE_DUPLICATE_CONFIG", "workspace_duplicate", "u % 2 = 0 AND u % 3 <> 1"),
+    ("WORKSPACE_PATTERN_EMPTY", "workspace_pattern_empty", "u IN (SELECT u FROM e WHERE i % 47 < 5)"),
+    ("TURBO_PIPELINE_KEY", "turbo_pipeline", "u IN (SELECT u FROM e WHERE i % 59 < 2)"),
+    ("COMPOSE_VERSION_OBSOLETE", "compose_version", "u IN (SELECT u FROM e WHERE i % 61 < 2)"),
+    ("COMPOSE_ENV_FILE_MISSING", "compose_env_file_missing", "u IN (SELECT u FROM e WHERE i % 61 < 2 OR i % 23 < 4)"),
+    ("GITIGNORE_MISSING", "gitignore_missing", "u % 2 = 0"),
+    ("GITIGNORE_NODE_MODULES", "gitignore_node_modules", "u IN (SELECT u FROM fl WHERE path = 'package.json') AND u IN (SELECT u FROM fl WHERE path = '.gitignore') AND u NOT IN (SELECT u FROM fl WHERE path = '.pnp.cjs')"),
+    ("SCRIPT_TEST_PLACEHOLDER", "test_placeholder", "u IN (SELECT u FROM e WHERE i % 67 = 0)"),
+    ("SCRIPT_MISSING_TEST", "missing_test", "u IN (SELECT u FROM fl WHERE path = 'package.json') AND (u % 2 = 0 OR u IN (SELECT u FROM fl WHERE path = 'src/index.test.ts'))"),
+    ("SCRIPT_MISSING_LINT", "missing_lint", "u % 3 = 0 AND (u IN (SELECT u FROM fl WHERE path = 'package.json') OR u % 5 = 0 OR u % 7 = 0)"),
+    ("ESLINT_LEGACY_CONFIG", "eslint_legacy", "u IN (SELECT u FROM e WHERE i % 71 < 2)"),
+    ("NEXT_MIDDLEWARE_DEPRECATED", "next_middleware", "u IN (SELECT u FROM fl WHERE path LIKE '%middleware.%')"),
+    ("CONFIG_PARSE_ERROR", "config_parse_error", "u IN (SELECT u FROM e WHERE i % 53 < 4 AND i % 2 = 0) OR u IN (SELECT u FROM fl WHERE path = 'package.json')"),
+]
+_STATUS = f"""WITH {_E}, f AS ({" UNION ALL ".join(f"SELECT DISTINCT repo_id AS u, '{code}' AS code FROM ({ORACLE_SQL['rule_' + name]})" for code, name, _ in _APPLIES)}),
+    a AS ({" UNION ALL ".join(f"SELECT u, '{code}' AS code, {test} AS applies FROM r" for code, _, test in _APPLIES)})
+    SELECT u AS repo_id, code, CASE WHEN code = 'TURBO_PIPELINE_KEY' AND u % 2 = 1 THEN 'disabled' WHEN NOT applies THEN 'skipped' WHEN (u, code) IN (SELECT u, code FROM f) THEN 'failed' ELSE 'passed' END AS status FROM a"""
+
+
+@_query(_STATUS)
+def project_rule_statuses(spark, sf_dir):
+    """The rules that have their own query above, through the runner, with a setting of some repositories."""
+    sections = {k: settled(v) if k in ("files", "projects") else v for k, v in _sections(spark, sf_dir).items()}
+    ran = [r for r in rules.PROJECT_RULES if r.code in {code for code, *_ in _APPLIES}]
+    repos = _read(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id")).distinct()
+    settings = repos.where("repo_id % 2 = 1").select("repo_id", F.explode(F.array(F.struct(F.lit("TURBO_PIPELINE_KEY").alias("code"), F.lit("off").alias("setting")), F.struct(F.lit("ENV_EXAMPLE_REAL_SECRET").alias("code"), F.lit("off").alias("setting")))).alias("s")).select("repo_id", "s.*")
+    ignores = spark.createDataFrame([("GITIGNORE_MISSING", "no such*")], "code string, pattern string")
+    return run_rules(ran, sections, repos, settings, ignores)[1].select("repo_id", "code", "status")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import globs, paths, text, versions
 from sparkquarry.operators import evidence, hierarchy, rules
+from sparkquarry.operators.fixpoint import settled
 
 PAGE_PATH = r"^[a-z]+://[^/?#]+/([^?#]*)"
 NOW = "2026-09-01"
@@ -342,7 +343,7 @@ def _rules() -> list[rules.Rule]:
 
 
 def _ran(spark, sf_dir):
-    s = {name: df.persist() if name in ("definitions", "variables") else df for name, df in _env(spark, sf_dir).items()}  # each rule reads them
+    s = {name: settled(df) if name in ("definitions", "variables") else df for name, df in _env(spark, sf_dir).items()}  # each rule reads them
     settings = spark.createDataFrame([("ENV_UNUSED", "off"), ("ENV_LOCAL_ONLY", "error")], "code string, setting string")
     ignores = spark.createDataFrame([("ENV_UNDOCUMENTED", "*_URL")], "code string, pattern string")
     return rules.run_rules(_rules(), s, _read(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id")).distinct(), settings, ignores)
