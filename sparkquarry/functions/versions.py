@@ -35,11 +35,20 @@ EARLY = ["rc", "beta", "alpha", "pre", "canary"]
 RANGE_MARKS = ".*+~^<>=|-"
 
 
-def _cut(value: Column) -> tuple[Column, Column]:
-    """(release, what follows it) of a version with or without ``v``; the release is null unless it is one to three numbers."""
-    number = F.regexp_replace(value, "^[vV]", "")
-    release = F.regexp_extract(number, r"^\d+(?:\.\d+)*", 0)
-    return F.when((release != "") & (F.size(F.split(release, "[.]")) <= 3), release), F.substr(number, F.length(release) + 1)
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _cut(value: Column, then) -> Column:
+    """``then(release, what follows it)`` of a version with or without ``v``; the release is null unless it is one to three numbers."""
+
+    def parts(number: Column) -> Column:
+        release = F.regexp_extract(number, r"^\d+(?:\.\d+)*", 0)
+        fine = (release != "") & (F.size(F.split(release, "[.]")) <= 3)
+        return F.struct(F.when(fine, release).alias("release"), F.substr(number, F.length(release) + 1).alias("rest"))
+
+    return _with(_with(F.regexp_replace(value, "^[vV]", ""), parts), lambda x: then(x["release"], x["rest"]))
 
 
 def _is_tagged(rest: Column) -> Column:
@@ -53,41 +62,48 @@ def _reads_like_range(value: Column) -> Column:
 
 def clean_version(declared: Column) -> Column:
     """The one version that a declaration names, a range as it is written, or null for tags, protocols and wildcards."""
-    value = F.trim(declared)
-    alias = F.substr(value, F.lit(6))  # behind npm: stands another package, whose range counts
-    target = F.trim(F.substr(alias, F.length(F.concat(F.substring(alias, 1, 1), F.substring_index(F.substr(alias, F.lit(2)), "@", 1))) + 2))
-    value = F.when(value.startswith("npm:") & (target != ""), target).otherwise(value)
-    bare = F.regexp_replace(value, "^[~^=]", "")
-    release, rest = _cut(bare)
-    first = F.substring(value, 1, 1)
-    is_range = _reads_like_range(value) & ~value.contains("_") & (~first.rlike("[A-Za-z]") | value.rlike(r"^v\d"))
-    return F.when(release.isNotNull() & _is_tagged(rest), F.regexp_replace(bare, "^v", "")).when(is_range & (F.length(value) <= MAX_RANGE), value)
+
+    def aliased(value: Column) -> Column:
+        # behind npm: stands another package, whose range counts
+        package = F.substr(value, F.lit(6))
+        name = F.concat(F.substring(package, 1, 1), F.substring_index(F.substr(package, F.lit(2)), "@", 1))
+        target = F.trim(F.substr(package, F.length(name) + 2))
+        return F.when(value.startswith("npm:") & (target != ""), target).otherwise(value)
+
+    def cleaned(value: Column) -> Column:
+        first = F.substring(value, 1, 1)
+        is_range = _reads_like_range(value) & ~value.contains("_") & (~first.rlike("[A-Za-z]") | value.rlike(r"^v\d")) & (F.length(value) <= MAX_RANGE)
+        alone = lambda bare: _cut(bare, lambda release, rest: F.when(release.isNotNull() & _is_tagged(rest), F.regexp_replace(bare, "^v", "")))
+        return F.coalesce(_with(F.regexp_replace(value, "^[~^=]", ""), alone), F.when(is_range, value))
+
+    return _with(_with(F.trim(declared), aliased), cleaned)
 
 
 def exact_version(text: Column) -> Column:
-    release, rest = _cut(text)
-    full = (F.size(F.split(release, "[.]")) == 3) & _is_tagged(rest) & text.rlike(r"^\d")
-    return F.when(full, text)
+    return _with(text, lambda t: _cut(t, lambda release, rest: F.when((F.size(F.split(release, "[.]")) == 3) & _is_tagged(rest) & t.rlike(r"^\d"), t)))
 
 
 def normalized(raw: Column) -> Column:
     """Struct (version, kind): exact, range (kept as written) or alias (of no version, but for codenames)."""
-    value = F.trim(raw)
-    quoted = (F.length(value) > 1) & F.substring(value, 1, 1).isin("'", '"') & F.substring(value, -1, 1).isin("'", '"')
-    value = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    release, rest = _cut(value)
-    wild = F.regexp_replace(F.lower(rest), r"[.][x*]", "") == ""
-    tag = F.regexp_replace(F.lower(rest), "^-", "")
-    early = F.lit(False)
-    for word in EARLY:
-        early = early | tag.startswith(word)
-    early = early & ~tag.rlike("[^0-9a-z.]")
-    names = F.create_map(*[F.lit(x) for pair in NODE_CODENAMES.items() for x in pair])
-    code = F.try_element_at(names, F.regexp_replace(F.lower(value), "^lts/", ""))
-    is_range = (F.translate(F.substring(F.lower(value), 1, 1), "<>=^~v0123456789", "") == "") & _reads_like_range(value)
     out = lambda v, k: F.struct(v.cast("string").alias("version"), F.lit(k).alias("kind"))
-    exact = release.isNotNull() & (wild | early)
-    return F.when(exact, out(F.when(wild, release).otherwise(F.concat(release, rest)), "exact")).when(is_range, out(value, "range")).otherwise(out(code, "alias"))
+    names = F.create_map(*[F.lit(x) for pair in NODE_CODENAMES.items() for x in pair])
+
+    def bare(value: Column) -> Column:
+        quoted = (F.length(value) > 1) & F.substring(value, 1, 1).isin("'", '"') & F.substring(value, -1, 1).isin("'", '"')
+        return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+    def exact(release: Column, rest: Column) -> Column:
+        wild = F.regexp_replace(F.lower(rest), r"[.][x*]", "") == ""
+        early = lambda tag: F.exists(F.lit(EARLY), lambda word: tag.startswith(word)) & ~tag.rlike("[^0-9a-z.]")
+        is_early = _with(F.regexp_replace(F.lower(rest), "^-", ""), early)
+        return F.when(release.isNotNull() & wild, release).when(release.isNotNull() & is_early, F.concat(release, rest))
+
+    def judged(value: Column) -> Column:
+        code = F.try_element_at(names, F.regexp_replace(F.lower(value), "^lts/", ""))
+        is_range = (F.translate(F.substring(F.lower(value), 1, 1), "<>=^~v0123456789", "") == "") & _reads_like_range(value)
+        return _with(_cut(value, exact), lambda found: F.when(found.isNotNull(), out(found, "exact")).when(is_range, out(value, "range")).otherwise(out(code, "alias")))
+
+    return _with(_with(F.trim(raw), bare), judged)
 
 
 def release_line(runtime: Column, version: Column) -> Column:

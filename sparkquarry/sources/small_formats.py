@@ -185,6 +185,10 @@ def parse_ignore_rules(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", paths.dir_of(F.col("path")).alias("base"), F.col("line").alias("ord"), glob.alias("pattern"), keep.alias("keep"), plain.endswith("/").alias("dirs_only"))
 
 
+#: Parts into which the paths below an ignore file are dealt.
+IGNORE_SALTS = 16
+
+
 def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     """repo_id and path of the files that rules (repo_id, base, ord, pattern, keep, dirs_only) ignore.
 
@@ -195,8 +199,15 @@ def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     asked = dirs.withColumn("is_dir", F.lit(True)).unionByName(files.select("repo_id", "path").distinct().withColumn("is_dir", F.lit(False)))
     up = asked.select("repo_id", "path", "is_dir", F.explode(paths.ancestors(paths.dir_of(F.col("path")))).alias("a")).select("repo_id", "path", "is_dir", F.col("a.dir").alias("base"), F.col("a.depth").alias("depth"))
     local = F.when(F.col("base") == ".", F.col("path")).otherwise(F.expr("substring(path, length(base) + 2)"))
-    hit = up.join(rules.withColumn("regex", globs.glob_regex_of(F.col("pattern"))), ["repo_id", "base"]).where((F.col("is_dir") | ~F.col("dirs_only")) & F.rlike(local, F.col("regex")))
-    verdict = hit.groupBy("repo_id", "path", "is_dir").agg(F.max_by("keep", F.struct("depth", "ord")).alias("keep")).where("NOT keep")
+    # the rules of a file as one row, dealt to every salt, so that neither the files nor the rules of a large directory meet in one task
+    ruled = rules.withColumn("regex", globs.glob_regex_of(F.col("pattern"))).groupBy("repo_id", "base").agg(F.array_sort(F.collect_list(F.struct("ord", "keep", "dirs_only", "regex"))).alias("rules"))
+    ruled = ruled.withColumn("any", F.array_join(F.transform("rules", lambda r: F.concat(F.lit("(?:"), r["regex"], F.lit(")"))), "|")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(IGNORE_SALTS - 1))))
+    up = up.withColumn("local", local).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(IGNORE_SALTS)).cast("int"))
+    # one expression of all rules of a file sorts out most paths; it stays the same from row to row, so it is compiled once
+    met = up.join(ruled, ["repo_id", "base", "salt"]).where(F.rlike("local", "any"))
+    met = met.withColumn("hits", F.filter("rules", lambda r: (F.col("is_dir") | ~r["dirs_only"]) & F.regexp_like("local", r["regex"]))).where(F.size("hits") > 0)
+    hit = met.select("repo_id", "path", "is_dir", "depth", F.element_at("hits", -1)["keep"].alias("keep"))
+    verdict = hit.groupBy("repo_id", "path", "is_dir").agg(F.max_by("keep", "depth").alias("keep")).where("NOT keep")
     inside = files.select("repo_id", "path", F.explode(paths.ancestors(paths.dir_of(F.col("path")))).alias("a")).select("repo_id", "path", F.col("a.dir").alias("at"))
     by_dir = inside.join(verdict.where("is_dir").select("repo_id", F.col("path").alias("at")), ["repo_id", "at"], "left_semi").select("repo_id", "path")
     return by_dir.unionByName(verdict.where("NOT is_dir").select("repo_id", "path")).distinct()
