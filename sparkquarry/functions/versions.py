@@ -115,48 +115,55 @@ def release_line(runtime: Column, version: Column) -> Column:
 def fits_range(version: Column, declared: Column) -> Column:
     """Whether a version can satisfy an npm range; a partial version ("22", "22.1") fits if any of its
     releases does. Comparators, carets, tildes, wildcards, hyphen ranges and ``||`` are read as
-    intervals of version keys; null where either side cannot be read. Pre-release tags are ignored.
+    intervals of keys; null where either side cannot be read. An early release ("24.0.0-rc.1") lies before its release, and fits wherever the
+    interval holds it; early releases of one release are not told apart.
     """
-    top = F.array(F.lit(2**31 - 1), F.lit(0), F.lit(0))
-    whole = F.regexp_extract(F.trim(version), r"^v?(\d+(?:\.\d+){0,2})$", 1)
-    n = F.size(F.split(whole, r"\."))
-    low = version_key(whole)
-    high = F.when(n == 1, _bump(low, 0)).when(n == 2, _bump(low, 1)).otherwise(_bump(low, 2))
+    early, done = F.array(F.lit(0)), F.array(F.lit(1))  # the last part of a key
+    top = F.array(F.lit(2**31 - 1), F.lit(0), F.lit(0), F.lit(0))
+    after = lambda key, part: F.concat(_bump(key, part), early)
+
+    def judged(given: Column) -> Column:
+        whole, tag = F.regexp_extract(given, r"^v?(\d+(?:\.\d+){0,2})(?:-[0-9A-Za-z.-]+)?(?:\+.*)?$", 1), given.rlike(r"^[^+]*-")
+        n, key = F.size(F.split(whole, r"\.")), version_key(whole)
+        low = F.concat(key, F.when(tag & (n == 3), early).otherwise(done))
+        high = F.when(n == 1, after(key, 0)).when(n == 2, after(key, 1)).when(tag, F.concat(key, done)).otherwise(after(key, 2))
+        return F.when(whole != "", F.struct(low.alias("low"), high.alias("high")))
+
     spaced = F.regexp_replace(F.regexp_replace(F.trim(declared), r"(\S+)\s+-\s+(\S+)", ">=$1 <=$2"), r"([<>=^~])\s+", "$1")
     readable = r"^(?:(?:[\^~]|>=?|<=?|=)?v?(?:\d+|[xX*])(?:\.(?:\d+|[xX*])){0,2}(?:-[0-9A-Za-z.-]+)?(?:\s+|$))+$"
 
     def interval(term: Column) -> Column:
         op = F.regexp_extract(term, r"^([\^~]|>=?|<=?|=)?", 1)
-        number = F.regexp_replace(F.regexp_extract(term, r"(\d+(?:\.\d+){0,2})", 1), "^v", "")
+        number = F.regexp_extract(term, r"(\d+(?:\.\d+){0,2})", 1)
         given = F.when(term.rlike(r"^\D*[xX*]"), 0).otherwise(F.size(F.split(number, r"\.")))
         key = F.coalesce(version_key(number), F.array(F.lit(0), F.lit(0), F.lit(0)))
-        after = F.when(given == 0, top).when(given == 1, _bump(key, 0)).when(given == 2, _bump(key, 1)).otherwise(_bump(key, 2))
-        caret = (
-            F.when((F.get(key, F.lit(0)) > 0) | (given == 1), _bump(key, 0))
-            .when((F.get(key, F.lit(1)) > 0) | (given == 2), _bump(key, 1))
-            .otherwise(_bump(key, 2))
-        )
-        zero = F.array(F.lit(0), F.lit(0), F.lit(0))
-        lower = F.when(op.isin("<", "<="), zero).when(op == ">", after).otherwise(key)
+        return F.struct(op.alias("op"), given.alias("given"), key.alias("key"), (term.contains("-") & (given == 3)).alias("tag"))
+
+    def ends(t: Column) -> Column:
+        op, given, key, tag = t["op"], t["given"], t["key"], t["tag"]
+        own = F.concat(key, F.when((given == 3) & ~tag, done).otherwise(early))
+        beyond = F.when(given == 0, top).when(given == 1, after(key, 0)).when(given == 2, after(key, 1)).when(tag, F.concat(key, done)).otherwise(after(key, 2))
+        caret = F.when((F.get(key, F.lit(0)) > 0) | (given == 1), after(key, 0)).when((F.get(key, F.lit(1)) > 0) | (given == 2), after(key, 1)).otherwise(after(key, 2))
+        zero = F.array(F.lit(0), F.lit(0), F.lit(0), F.lit(0))
+        lower = F.when(op.isin("<", "<="), zero).when(op == ">", beyond).otherwise(own)
         upper = (
-            F.when((given == 0) & (op != "<"), top)
-            .when(op == "^", caret)
-            .when(op == "~", F.when(given == 1, _bump(key, 0)).otherwise(_bump(key, 1)))
-            .when(op.isin(">", ">="), top)
-            .when(op == "<", key)
-            .otherwise(after)
-        )
+            F.when((given == 0) & (op != "<"), top).when(op == "^", caret).when(op == "~", F.when(given == 1, after(key, 0)).otherwise(after(key, 1)))
+            .when(op.isin(">", ">="), top).when(op == "<", own).otherwise(beyond)
+        )
         return F.struct(lower.alias("lower"), upper.alias("upper"))
 
-    def clause_fits(clause: Column) -> Column:
-        terms = F.transform(F.filter(F.split(F.trim(clause), r"\s+"), lambda t: t != ""), interval)
-        lower = F.aggregate(terms, low, lambda a, t: F.when(t["lower"] > a, t["lower"]).otherwise(a))
-        upper = F.aggregate(terms, high, lambda a, t: F.when(t["upper"] < a, t["upper"]).otherwise(a))
-        return lower < upper
+    def fits(v: Column, clauses: Column) -> Column:
+        def clause_fits(clause: Column) -> Column:
+            terms = F.transform(F.transform(F.filter(F.split(F.trim(clause), r"\s+"), lambda t: t != ""), interval), ends)
+            lower = F.aggregate(terms, v["low"], lambda a, t: F.when(t["lower"] > a, t["lower"]).otherwise(a))
+            upper = F.aggregate(terms, v["high"], lambda a, t: F.when(t["upper"] < a, t["upper"]).otherwise(a))
+            return lower < upper
+
+        ok = F.forall(clauses, lambda c: (F.trim(c) == "") | F.trim(c).rlike(readable))
+        return F.when(v.isNotNull() & ok, F.exists(clauses, clause_fits))
 
-    clauses = F.split(spaced, r"\s*\|\|\s*")
-    ok = F.forall(clauses, lambda c: (F.trim(c) == "") | F.trim(c).rlike(readable))
-    return F.when((whole != "") & ok, F.exists(clauses, clause_fits))
+    both = F.struct(_with(F.trim(version), judged).alias("v"), F.split(spaced, r"\s*\|\|\s*").alias("clauses"))
+    return _with(both, lambda x: fits(x["v"], x["clauses"]))
 
 
 def _bump(key: Column, part: int) -> Column:
