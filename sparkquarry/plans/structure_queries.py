@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.functions import commands
-from sparkquarry.operators import evidence, modules
+from sparkquarry import sinks
+from sparkquarry.functions import addresses, commands
+from sparkquarry.operators import evidence, modules, selection
 from sparkquarry.plans.queries import _query, _read
 from sparkquarry.sources import ci, compose, files as sources, git_config, page_routes
 
@@ -261,3 +262,60 @@ def next_file_routes(spark, sf_dir):
     files = _files(_events(spark, sf_dir), "content", *[(p, body if p.endswith("route.ts") else F.lit(""), t) for p, t in names]).withColumn("package", F.lit("."))
     packages = _events(spark, sf_dir).select(i.alias("repo_id"), F.lit(".").alias("package"), F.when(i % 3 == 0, "/base").alias("base_path"))
     return evidence.finalise_routes(page_routes.next_routes(files, packages)).select("repo_id", "kind", "method", "path", "file")
+
+
+@_query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '/u' || (user_id % 9) || '/:id' WHEN 1 THEN '/*rest' || (user_id % 9) WHEN 2 THEN '/a/:p' || (user_id % 9) WHEN 3 THEN '/b' || (user_id % 9) || '/:x' WHEN 4 THEN '/:k/e' ELSE '/c/*f' END AS path,
+    CASE event_id % 6 WHEN 1 THEN 'optional catch-all' WHEN 3 THEN 'optional segment' WHEN 4 THEN 'optional parameter' ELSE '' END AS notes FROM events""")
+def route_paths(spark, sf_dir):
+    i, u = _iu()
+    n = _n(u % 9)
+    forms = F.array(_text("//u", n, "/[id]/"), _text("[[...rest", n, "]]"), _text("/a/{p", n, ":[a-z]{2}}"), _text("/b", n, "{/:x}"), F.lit("/:k(\\d+)?/e"), F.lit("/c/{f...}"))
+    rows = _events(spark, sf_dir).select(i.alias("id"), addresses.route_path(F.get(forms, (i % 6).cast("int"))).alias("r"))
+    return rows.select("id", "r.path", F.array_join("r.notes", ",").alias("notes"))
+
+
+@_query("""SELECT event_id AS id, CASE event_id % 6 WHEN 5 THEN NULL WHEN 0 THEN 'https://github.com/u' || (user_id % 9) || '/r' WHEN 1 THEN 'https://gitlab.com/u' || (user_id % 9) || '/r' ELSE 'https://h.org/u' || (user_id % 9) || '/r' END AS url,
+    CASE event_id % 6 WHEN 2 THEN 'h.org' WHEN 3 THEN 'h.org' WHEN 4 THEN 'h.org' WHEN 1 THEN NULL END AS host FROM events""")
+def repository_addresses(spark, sf_dir):
+    i, u = _iu()
+    own = _text("u", _n(u % 9), "/r")
+    forms = F.array(own, _text("gitlab.com/", own), _text("git@h.org:", own, ".git"), _text("ssh://me:pw@h.org/", own, ".git"), _text("git+https://h.org/", own, "/?q=1#x"), _text("/srv/", own))
+    rows = _events(spark, sf_dir).select(i.alias("id"), F.get(forms, (i % 6).cast("int")).alias("v"))
+    return rows.select("id", addresses.repository_url(F.col("v")).alias("url"), addresses.remote_host(F.regexp_replace("v", r"^git\+", "")).alias("host"))
+
+
+@_query("""WITH e AS (SELECT event_id AS i FROM events) SELECT i AS repo_id, path, package FROM e, (VALUES ('a.ts', '.', 1), ('web/b.vue', 'web', 2), ('web/c.go', '.', 3)) t(path, package, m)
+    WHERE CASE m WHEN 2 THEN i % 2 = 0 WHEN 3 THEN i % 2 = 1 ELSE true END""")
+def selected_sources(spark, sf_dir):
+    i, _ = _iu()
+    names = [("a.ts", F.lit(True)), ("web/b.vue", i % 2 == 0), ("web/c.go", i % 2 == 1), ("dist/d.js", F.lit(True)), ("e.d.ts", F.lit(True)), ("f.py", F.lit(True)), ("web/package.json", i % 2 == 0)]
+    files = _files(_events(spark, sf_dir), "kind", *[(p, F.lit(""), t) for p, t in names])
+    packages = files.where("path = 'web/package.json'").select("repo_id", F.lit("web").alias("dir"))
+    return selection.source_files(files, packages).select("repo_id", "path", "package")
+
+
+@_query("""SELECT event_id AS repo_id, path FROM events, (VALUES ('.env', 1), ('web/.env.local', 2), ('deploy/x.env', 3)) t(path, m) WHERE event_id % m = 0""")
+def selected_env_files(spark, sf_dir):
+    i, _ = _iu()
+    names = [".env", "web/.env.local", "deploy/x.env", "test/.env", "a/b/c/d/.env", "README.md"]
+    files = _files(_events(spark, sf_dir), "kind", *[(p, F.lit(""), i % m == 0) for p, m in zip(names, (1, 1, 1, 1, 1, 1), strict=True)])
+    dirs = _events(spark, sf_dir).where(i % 2 == 0).select(i.alias("repo_id"), F.lit("web").alias("dir"))
+    named = _events(spark, sf_dir).select(i.alias("repo_id"), F.explode(F.array_compact(F.array(F.when(i % 3 == 0, "deploy/compose.yml"), F.lit("test/compose.yml")))).alias("path"))
+    return selection.env_files(files, dirs, named)
+
+
+@_query("""WITH e AS (SELECT event_id AS i, user_id AS u FROM events) SELECT i AS repo_id, 'svc' AS package, 'high' AS confidence, (1 + CAST(i % 2 = 0 AS INTEGER)) || ' *_test.go file' || CASE WHEN i % 2 = 0 THEN 's' ELSE '' END || ' in svc' AS evidence FROM e WHERE i % 3 > 0
+    UNION ALL SELECT i, '.', 'low', (CASE WHEN i % 3 = 0 THEN 2 + CAST(i % 2 = 0 AS INTEGER) ELSE 1 END) || ' *_test.go file' || CASE WHEN i % 3 = 0 THEN 's' ELSE '' END FROM e""")
+def go_tests(spark, sf_dir):
+    i, _ = _iu()
+    files = _files(_events(spark, sf_dir), "kind", ("svc/a_test.go", F.lit(""), F.lit(True)), ("svc/b/c_test.go", F.lit(""), i % 2 == 0), ("top_test.go", F.lit(""), F.lit(True)), ("testdata/x_test.go", F.lit(""), F.lit(True)))
+    modules_ = _events(spark, sf_dir).where(i % 3 > 0).select(i.alias("repo_id"), F.lit("svc").alias("dir"))
+    return selection.go_test_signals(files, modules_, files.select("repo_id", F.lit(".").alias("dir")).distinct())
+
+
+@_query("""SELECT user_id AS repo_id, '{"schemaVersion":"1","project":{"events":' || count(*) || '},"diagnostics":[' ||
+    coalesce(string_agg('{"code":"E' || (event_id % 7) || '","subject":"s' || event_id || '"}', ',' ORDER BY 'E' || (event_id % 7), 's' || event_id) FILTER (event_id % 5 = 0), '') || ']}' AS document FROM events GROUP BY user_id""")
+def project_documents(spark, sf_dir):
+    events = _events(spark, sf_dir).select(F.col("u").alias("repo_id"), "i")
+    found = events.where("i % 5 = 0").select("repo_id", F.concat(F.lit("E"), _n(F.col("i") % 7)).alias("code"), F.concat(F.lit("s"), _n(F.col("i"))).alias("subject"))
+    return sinks.findings_documents({"project": events.groupBy("repo_id").agg(F.count("*").alias("events"))}, {"diagnostics": (found, ["code", "subject"]), "routes": (found, ["code"])}, {"schemaVersion": "1", "note": "left out"})
