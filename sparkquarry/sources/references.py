@@ -89,8 +89,10 @@ def _rows(each: DataFrame) -> DataFrame:
 
 def _anchored(files: DataFrame, words: Column) -> DataFrame:
     """A row for each token among ``words``: the token, those before it (backwards) and those behind it."""
-    at = files.select("*", F.explode(ct.places(F.col("tokens"), words)).alias("at"))
-    return at.select("*", F.get("tokens", F.col("at")).alias("token"), ct.before(F.col("tokens"), F.col("at")).alias("front"), ct.behind(F.col("tokens"), F.col("at")).alias("after"))
+    tokens = F.col("tokens")
+    # exploded whole, so that what follows reads columns and repeats no slices
+    each = F.transform(ct.places(tokens, words), lambda at: F.struct(F.get(tokens, at).alias("token"), ct.before(tokens, at).alias("front"), ct.behind(tokens, at).alias("after")))
+    return files.select("*", F.explode(each).alias("a")).select(*files.columns, "a.token", "a.front", "a.after")
 
 
 def _js(files: DataFrame) -> DataFrame:
