@@ -28,6 +28,8 @@ SYMBOLS, END, ORDER, BITS = 256, 255, 3, 8
 BLOCK = 1 << 20
 #: Positions whose code lengths are held at a time.
 STEP = 1 << 18
+#: Nodes of a trie whose codes are computed at a time.
+NODES_AT_ONCE = 2048
 #: Keys whose counts a worker holds before they go to Spark.
 MOST_KEYS = 1_000_000
 
@@ -89,18 +91,23 @@ class Trie:
         """Code lengths of each byte in each node, and in each node what a byte unseen there takes beyond its code in the parent."""
         p, escape = np.empty_like(counts), np.zeros(self.size)
         for k in range(ORDER + 1):
-            c = counts[self.nodes(k)]
-            shorter = p[self.parents(k)] if k else np.full((1, SYMBOLS), 1 / SYMBOLS)
-            n, seen = c.sum(1, keepdims=True), c > 0
-            d = seen.sum(1, keepdims=True)
-            unseen = np.where(seen, 0, shorter).sum(1, keepdims=True)
-            open_ = unseen > 0
-            total = np.where(open_, n + d, n)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                part = np.where(open_, d / total / unseen, 0)
-                p[self.nodes(k)] = np.where(n > 0, np.where(seen, c / total, part * shorter), shorter)
-                escape[self.nodes(k)] = np.where((n > 0) & open_, -np.log2(part), 0)[:, 0]
-        return -np.log2(np.maximum(p, 1e-300)), escape
+            nodes, parents = self.nodes(k), self.parents(k) if k else None
+            # some nodes at a time: what is held beside the counts and the codes does not grow with them
+            for at in range(nodes.start, nodes.stop, NODES_AT_ONCE):
+                own = slice(at, min(at + NODES_AT_ONCE, nodes.stop))
+                c = counts[own]
+                shorter = p[parents[own.start - nodes.start : own.stop - nodes.start]] if k else np.full((1, SYMBOLS), 1 / SYMBOLS)
+                n, seen = c.sum(1, keepdims=True), c > 0
+                d = seen.sum(1, keepdims=True)
+                unseen = np.where(seen, 0, shorter).sum(1, keepdims=True)
+                open_ = unseen > 0
+                total = np.where(open_, n + d, n)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    part = np.where(open_, d / total / unseen, 0)
+                    p[own] = np.where(n > 0, np.where(seen, c / total, part * shorter), shorter)
+                    escape[own] = np.where((n > 0) & open_, -np.log2(part), 0)[:, 0]
+        np.maximum(p, 1e-300, out=p)
+        return np.negative(np.log2(p, out=p), out=p), escape
 
 
 _tables: dict[str, np.ndarray] = {}
