@@ -80,6 +80,7 @@ def predict(model: LanguageModel, docs: DataFrame, *, text_col: str = "text") ->
                 pred = pa.array([model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)])
                 per_byte = pa.array(least / np.maximum(1, np.diff(offsets)), mask=~lettered)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pred, pa.array(score), per_byte], names=[*names, *RESULT])
+        ppm.free_tables()
 
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(k, v) for k, v in RESULT.items()])
     return source.mapInArrow(run, schema)

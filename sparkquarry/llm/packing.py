@@ -33,7 +33,7 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "window int, step_group long"
 )
-#: Words whose ids a worker keeps, in each of two generations; this bounds its memory.
+#: Words whose ids a task keeps, in each of two generations; this bounds its memory.
 KEPT_WORDS = 300_000
 #: Byte-level vocabularies spell a byte that has no visible Latin-1 character as the next one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -46,7 +46,6 @@ _MARK[33:127] = True
 _MARK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _ODD[[0xC2, *range(0xCC, 256), *range(0x1C, 0x20), 0x7F]] = True
-_kept: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
@@ -71,12 +70,6 @@ class WordTokenizer:
         self.ids: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> "WordTokenizer":
-        if path not in _kept:
-            _kept[path] = cls(path)
-        return _kept[path]
-
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -219,7 +212,8 @@ def pack_documents(
     """One row per piece. ``tiers``: rising powers of two; the last is the sequence length."""
 
     def run(batches):
-        tokenizer, partition = WordTokenizer.of(tokenizer_path), TaskContext.get().partitionId()
+        # of this task only: a worker that lives on would hold all words it has met
+        tokenizer, partition = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
         ids, tokens, held, next_sequence, next_step = [], [], 0, partition << 32, partition << 32
 
         def flush():

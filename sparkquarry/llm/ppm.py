@@ -113,6 +113,11 @@ class Trie:
 _tables: dict[str, np.ndarray] = {}
 
 
+def free_tables() -> None:
+    """At the end of a task: a worker that lives on holds no table meanwhile."""
+    _tables.clear()
+
+
 @dataclass
 class Codes:
     """Code lengths of several models over one trie: a row of ``cells`` for each byte that some model saw in a node."""
@@ -201,6 +206,7 @@ def _counted(docs: DataFrame, text: str, key_of, schema: str = "key long, n long
                 held = [merged()]
                 if len(held[0][0]) > MOST_KEYS:
                     yield from sent(*held.pop())
+        free_tables()
         if held:
             yield from sent(*merged())
 
