@@ -3,9 +3,10 @@
 ``decode`` reads any still lossless stream: prefix codes (also several by meta image), back-references,
 the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. ``decode_many``
 reads many at once: streams that hold literals of one known set of prefix codes are decoded in step,
-a symbol of every stream at a time, all others one by one. ``encode_many`` writes literals under one
-fixed set of prefix codes, rows equal to the one above as back-references, and pictures of few
-colours with a palette.
+a symbol of every stream at a time, all others one by one. ``encode_many`` writes pictures of many equal
+rows with back-references and pictures of few colours with a palette. Where pixels repeat or are near
+those around them it tries transforms, copies, the colour cache and codes of the picture's own, and
+keeps them if the file shrinks; all else is literals under one fixed set of prefix codes.
 """
 
 from __future__ import annotations
@@ -481,6 +482,137 @@ def _few_colours(x: np.ndarray) -> bool:
     return len(np.unique(pixels[:64])) <= 16 and len(pixels) <= 1 << 13 and len(np.unique(pixels)) <= 16
 
 
+#: Of a picture's pixels, what is distinct at most, and of its bytes, what equals the byte above or before at least, for transforms to be tried.
+MOST_DISTINCT, LEAST_EQUAL = 0.2, 0.3
+CACHE_BITS, LEAST_COPY, MOST_COPY, MODES = 6, 3, 4096, (1, 2, 4, 7, 12)
+
+
+def _predict_all(c: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of each pixel of (4, height, width) under one predictor."""
+    left, top, corner = (np.zeros_like(c) for _ in range(3))
+    left[:, :, 1:], top[:, 1:], corner[:, 1:, 1:] = c[:, :, :-1], c[:, :-1], c[:, :-1, :-1]
+    guess = {1: left, 2: top, 4: corner, 7: left + top >> 1, 12: (left + top - corner).clip(0, 255)}[mode].copy()
+    guess[:, 0] = left[:, 0]
+    guess[:, 1:, 0] = top[:, 1:, 0]
+    guess[:, 0, 0] = (255, 0, 0, 0)
+    return (c - guess) & 255
+
+
+def _cross_factors(c: np.ndarray) -> tuple[int, int, int]:
+    """green to red, green to blue and red to blue in 32nds, by least squares."""
+    red, green, blue = (_signed(x) for x in c[1:])
+    fit = lambda x, y: int(np.clip(np.rint(32 * (x * y).sum() / max(1, (x * x).sum())), -128, 127))
+    green_to_blue = fit(green, blue)
+    return fit(green, red), green_to_blue, fit(red, blue - (green_to_blue * green >> 5))
+
+
+def _cross(c: np.ndarray, factors: tuple[int, int, int]) -> np.ndarray:
+    a, r, g, b = c
+    left_r = r - (factors[0] * _signed(g) >> 5)
+    left_b = b - (factors[1] * _signed(g) >> 5) - (factors[2] * _signed(r) >> 5)
+    return np.stack([a, left_r & 255, g, left_b & 255])
+
+
+def _entropy(c: np.ndarray) -> float:
+    """Bits that the channels take under codes of their own."""
+    counts = np.stack([np.bincount(x.ravel(), minlength=256) for x in c])
+    return float((counts * np.log2(np.maximum(1, counts.sum(1, keepdims=True)) / np.maximum(1, counts))).sum())
+
+
+def _steps(argb: np.ndarray, width: int, cache_bits: int) -> list[tuple]:
+    """The pixels as copies (length, distance), entries of the colour cache and literals."""
+    near = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(NEAR, 1)))}
+    flat = argb.ravel()
+    pixels, n = flat.tolist(), len(flat)
+    slots = ((CACHE_FACTOR * flat & 0xFFFFFFFF) >> (32 - cache_bits)).tolist()
+    keys = (flat[:-2] * 0x9E3779B1 ^ flat[1:-1] * 0x85EBCA6B ^ flat[2:] * 0xC2B2AE35).tolist() if n > 2 else []
+    keys += [None] * (n - len(keys))
+    held, last, out, at = [0] * (1 << cache_bits), {None: None}, [], 0
+    while at < n:
+        back, length = last.get(keys[at]), 1
+        if back is not None and pixels[back : back + LEAST_COPY] == pixels[at : at + LEAST_COPY]:
+            length = LEAST_COPY
+            while at + length < n and length < MOST_COPY and pixels[back + length] == pixels[at + length]:
+                length += 1
+            out.append((_value_code(length), _value_code(near.get(at - back, at - back + len(NEAR)))))
+            for k in range(at, at + length):
+                held[slots[k]] = pixels[k]
+        elif held[slots[at]] == pixels[at]:
+            out.append((slots[at],))
+        else:
+            out.append((pixels[at],) * 3)
+            held[slots[at]] = pixels[at]
+        last[keys[at]] = at  # a copy is found again by its first and last pixels
+        last[keys[at + length - 1]] = at + length - 1
+        last[None] = None
+        at += length
+    return out
+
+
+def encode_with_transforms(rgb: np.ndarray) -> bytes:
+    """A picture under those transforms that leave least, with copies, the colour cache and prefix codes of its own."""
+    height, width, _ = rgb.shape
+    whole = np.concatenate([np.full((1, height, width), 255, np.int64), rgb.transpose(2, 0, 1).astype(np.int64)])
+    mode, best = 0, None
+    if max((rgb[1:] == rgb[:-1]).mean(), (rgb[:, 1:] == rgb[:, :-1]).mean()) >= LEAST_EQUAL:
+        mode = min(MODES, key=lambda m: _entropy(_predict_all(whole, m)))
+    for predicted in (False, True)[: 1 + (mode > 0)]:
+        base = _predict_all(whole, mode) if predicted else whole
+        factors = _cross_factors(base)
+        green = np.stack([base[0], (base[1] - base[2]) & 255, base[2], (base[3] - base[2]) & 255])
+        for last, c in ((None, base), (SUBTRACT_GREEN, green), (CROSS_COLOUR, _cross(base, factors))):
+            bits = _entropy(c) + 60 * predicted + 60 * (last == CROSS_COLOUR)
+            if best is None or bits < best[0]:
+                best = bits, predicted, last, factors, c
+    _, predicted, last, factors, c = best
+    w = _head(width, height)
+    if predicted:
+        _put_block_image(w.put(1, 1).put(PREDICTOR, 2), (255, 0, mode, 0))
+    if last == SUBTRACT_GREEN:
+        w.put(1, 1).put(SUBTRACT_GREEN, 2)
+    elif last == CROSS_COLOUR:
+        green_to_red, green_to_blue, red_to_blue = (f & 255 for f in factors)
+        _put_block_image(w.put(1, 1).put(CROSS_COLOUR, 2), (255, red_to_blue, green_to_blue, green_to_red))
+    steps = _steps(_argb(c), width, CACHE_BITS)
+    w.put(0, 1).put(1, 1).put(CACHE_BITS, 4).put(0, 1)  # no more transforms, a cache, one set of codes
+    counts = [[0] * n for n in (LITERALS + LENGTH_CODES + (1 << CACHE_BITS), LITERALS, LITERALS, LITERALS, DISTANCE_CODES)]
+    for x in steps:
+        if len(x) == 3:
+            for k, s in enumerate((8, 16, 0, 24)):
+                counts[k][x[0] >> s & 255] += 1
+        elif len(x) == 2:
+            counts[0][LITERALS + x[0][0]] += 1
+            counts[4][x[1][0]] += 1
+        else:
+            counts[0][LITERALS + LENGTH_CODES + x[0]] += 1
+    green, red, blue, alpha, distance = (put_code(w, code_lengths(n)) for n in counts)
+    for x in steps:
+        if len(x) == 3:
+            w.code(green[x[0] >> 8 & 255]).code(red[x[0] >> 16 & 255]).code(blue[x[0] & 255]).code(alpha[x[0] >> 24])
+        elif len(x) == 2:
+            (s, extra, n), (d, more, m) = x
+            w.code(green[LITERALS + s]).put(extra, n).code(distance[d]).put(more, m)
+        else:
+            w.code(green[LITERALS + LENGTH_CODES + x[0]])
+    return _file(w.bytes())
+
+
+def _put_block_image(w: Writer, argb: tuple[int, int, int, int]) -> None:
+    """What a transform has for its only block: blocks of 512 pixels a side, more than a picture here has."""
+    w.put(7, 3).put(0, 1)
+    _put_literals(w, np.array(argb, np.int64).reshape(4, 1, 1))
+
+
+def _repeats(x: np.ndarray, row: int) -> bool:
+    """Whether transforms, copies and the cache may make a payload smaller."""
+    if len(x) <= row:
+        return False
+    if (x[row:] == x[:-row]).mean() >= LEAST_EQUAL or (x[3:] == x[:-3]).mean() >= LEAST_EQUAL:
+        return True
+    pixels = np.sort(x.reshape(-1, 3).astype(np.int32) @ np.array([65536, 256, 1], np.int32))
+    return 1 + int(np.count_nonzero(np.diff(pixels))) <= MOST_DISTINCT * len(pixels)
+
+
 def encode_many(payloads: list[np.ndarray], width: int) -> list[bytes]:
     """Each payload (bytes, a multiple of 3 * width) as a file of RGB rows."""
     out: list[bytes | None] = [None] * len(payloads)
@@ -492,6 +624,11 @@ def encode_many(payloads: list[np.ndarray], width: int) -> list[bytes]:
         elif _few_colours(x):
             out[i] = encode_with_palette(rows.reshape(len(rows), width, 3))
         else:
+            if max(width, len(rows)) <= 512 and _repeats(x, 3 * width):
+                tried = encode_with_transforms(rows.reshape(len(rows), width, 3))
+                if 8 * len(tried) < 8 * 25 + _literal_stream()[1] + int(_literal_stream()[3][x].sum()):
+                    out[i] = tried
+                    continue
             plain.append(i)
     if plain:
         value, head, code, size, _ = _literal_stream()

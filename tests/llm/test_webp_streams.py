@@ -203,3 +203,43 @@ def test_streams_that_are_cut_short():
         webp.decode(media)
     with pytest.raises(ValueError):
         webp.decode(media[:30])
+
+
+def _transforms_of(media: bytes) -> tuple[set, bool]:
+    """Kinds of transforms of a stream without a palette, each of one block, and whether it has a colour cache."""
+    bits, kinds = webp.Bits(webp._frame(media)), set()
+    bits.read(40)
+    while bits.read(1):
+        kinds.add(kind := bits.read(2))
+        if kind in (webp.PREDICTOR, webp.CROSS_COLOUR):
+            bits.read(3)
+            webp._pixels(bits, 1, 1, False)
+    return kinds, bool(bits.read(1))
+
+
+def test_writer_uses_transforms_cache_and_copies():
+    width, rows = 64, 40
+    ramp = ((np.arange(rows)[:, None] * 3 + np.arange(width) * 5) % 251)[:, :, None]
+    noise = RNG.integers(0, 2, (rows, width, 1))
+    phrase = np.frombuffer((b"a phrase of thirty-one letters. " * 300)[: rows * width * 3], np.uint8)
+    pictures = {
+        "green": np.repeat(RNG.integers(0, 256, (rows, width, 1)), 3, 2),
+        "cross": np.concatenate([(lambda g: [(g // 2) & 255, g, (g // 4) & 255])(RNG.integers(0, 128, (rows, width, 1)))], 0).transpose(1, 2, 0, 3)[..., 0],
+        "predictor": ramp + np.array([0, 9, 70]) + noise,
+        "copies": phrase.reshape(rows, width, 3),
+    }
+    for name, p in pictures.items():
+        p = (p.astype(np.int64) % 256).astype(np.uint8)
+        media = webp.encode_with_transforms(p)
+        assert (webp.decode_many([media])[0] == p.ravel()).all(), name
+    kinds = {name: _transforms_of(webp.encode_with_transforms((p.astype(np.int64) % 256).astype(np.uint8)))[0] for name, p in pictures.items()}
+    assert kinds["green"] & {webp.SUBTRACT_GREEN, webp.CROSS_COLOUR} and webp.CROSS_COLOUR in kinds["cross"]
+    flat = np.repeat(np.cumsum(RNG.random((rows, width, 1)) < 0.4, 1), 3, 2) * np.array([1, 2, 3])  # most pixels equal the one before
+    odd = np.frombuffer((b"a phrase of thirty-five letters, so " * 300)[1 : 1 + rows * width * 3], np.uint8).copy()
+    odd = np.resize(odd[:35], rows * width * 3)
+    table = np.array([[i, 255 - i, i * 7 % 256] for i in range(40)], np.uint8)
+    payloads = [(flat % 256).astype(np.uint8).ravel(), odd, table[RNG.integers(0, 40, (rows, width))].ravel()]
+    files = webp.encode_many(payloads, width)
+    assert all((a == b).all() for a, b in zip(webp.decode_many(files), payloads, strict=True))
+    assert webp.PREDICTOR in _transforms_of(files[0])[0] and all(_transforms_of(f)[1] for f in files)
+    assert len(files[1]) < 600
