@@ -32,3 +32,8 @@ def items(text: Column, path: str = "$") -> Column:
 def at(text: Column, path: str) -> Column:
     """The value at ``path``."""
     return F.to_json(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+
+
+def kind_of(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING or another kind of a variant."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)

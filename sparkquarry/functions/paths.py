@@ -5,6 +5,8 @@ Every function takes and returns columns, is null for a null path and runs insid
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,11 @@ def ancestors(directory: Column) -> Column:
     return F.when(F.size(parts) > 0, F.concat(top, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), at))).when(directory.isNotNull(), top)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(path: Column) -> Column:
     """Collapses ``.`` and ``..``; null for absolute paths and those that leave the top."""
 
@@ -76,12 +83,19 @@ def normalize(path: Column) -> Column:
             .otherwise(F.concat(done, F.array(part)))
         )
 
-    done = F.aggregate(segments(path), F.array().cast("array<string>"), step)
-    return F.when(path.startswith("/") | F.array_contains(done, ".."), None).when(F.size(done) == 0, F.lit(".")).otherwise(F.array_join(done, "/"))
+    def whole(done: Column) -> Column:
+        return F.when(~F.array_contains(done, ".."), F.when(F.size(done) == 0, F.lit(".")).otherwise(F.array_join(done, "/")))
+
+    def one(p: Column) -> Column:
+        walked = F.aggregate(segments(p), F.array().cast("array<string>"), step, whole)
+        return F.when(~p.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), p).when(~p.startswith("/"), walked)
+
+    return let(path, one)
 
 
 def join_path(directory: Column, path: Column) -> Column:
-    return normalize(F.concat_ws("/", directory, path))
+    joined = lambda d, p: F.when((d == ".") & p.isNotNull() & ~p.startswith("/"), p).otherwise(F.concat_ws("/", d, p))
+    return let(directory, lambda d: let(path, lambda p: normalize(joined(d, p))))
 
 
 def is_within(path: Column, directory: Column) -> Column:

@@ -27,14 +27,15 @@ def closure(start: DataFrame, edges: DataFrame, scope: list[str], *, most_rounds
     """All (scope, node) that ``start`` reaches along ``edges``, with the least number of steps as ``level``.
 
     ``start``: scope and node; ``edges``: source, target and those of the scope's columns that it has. A row is reached once, so cycles end, and a
-    round joins only what the round before added. Ends when nothing is new.
+    round joins only what the round before added. Ends when nothing is new. The tables' files are small for their rows, so no join goes by the size of a
+    file and broadcasts one.
     """
     by = [c for c in scope if c in edges.columns]
-    edges = edges.select(*by, F.col("source").alias("node"), "target").where("node <> target").distinct()
+    edges = settled(edges.select(*by, F.col("source").alias("node"), "target").where("node <> target").distinct())
     found = frontier = settled(start.select(*scope, "node").distinct().withColumn("level", F.lit(0)))
     for level in range(1, most_rounds + 1):
-        reached = frontier.join(edges, [*by, "node"]).select(*scope, F.col("target").alias("node")).distinct()
-        frontier = settled(reached.join(found, [*scope, "node"], "left_anti").withColumn("level", F.lit(level)))
+        reached = frontier.join(edges.hint("merge"), [*by, "node"]).select(*scope, F.col("target").alias("node")).distinct()
+        frontier = settled(reached.join(found.hint("merge"), [*scope, "node"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)

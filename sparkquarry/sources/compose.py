@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def _static(raw: Column) -> Column:
 def reference(path: Column, raw: Column) -> Column:
     """A path in a Compose file as seen from the root; null where it can't be known or leaves the project."""
     found = paths.join_path(paths.dir_of(path), F.translate(F.trim(raw), "\\", "/"))
-    return F.when(_static(raw) & (found != "."), found)
+    return F.when(_static(raw), paths.let(found, lambda f: F.when(f != ".", f)))
 
 
 # merging -------------------------------------------------------------------------------------------
@@ -121,43 +123,70 @@ def moved(definition: dict, from_file: str, to_file: str) -> dict:
     return out
 
 
-def _fold(file: pd.Series, definition: pd.Series, steps: pd.Series) -> pd.Series:
-    """A definition on top of those that it extends (the nearest first)."""
+def _once(values: pa.Array, one: Callable[[str], object], kind: pa.DataType) -> pa.Array:
+    """``one`` of every value; for values that are equal it is worked out once a batch."""
+    found = values.dictionary_encode()
+    return pa.array([one(v) for v in found.dictionary.to_pylist()], kind).take(found.indices)
 
-    def one(file, definition, steps):
-        out = {}
-        for s in reversed(steps if steps is not None else []):
-            out = merge_definitions(out, moved(json.loads(s["definition"]), s["base_file"], file))
-        return json.dumps(merge_definitions(out, json.loads(definition)), sort_keys=True)
 
-    return pd.Series([one(*x) for x in zip(file, definition, steps, strict=True)], dtype="object")
+def _fold(chains: pa.Array) -> pa.Array:
+    """Definitions on top of those that they extend; a chain is {file, definition, steps: [{base_file, definition}]} as JSON text, the nearest step first."""
+
+    def one(chain: str) -> str:
+        chain, out = json.loads(chain), {}
+        for s in reversed(chain.get("steps") or []):
+            out = merge_definitions(out, moved(json.loads(s["definition"]), s["base_file"], chain["file"]))
+        return json.dumps(merge_definitions(out, json.loads(chain["definition"])), sort_keys=True)
+
+    return _once(chains, one, pa.string())
 
 
 # resolution ----------------------------------------------------------------------------------------
 
+def _base(file: Column, how: Column) -> Column:
+    """(base_file, base_name) of the service that a value of ``extends`` names; null for none."""
+    none = F.lit(None).cast("struct<base_file: string, base_name: string>")
+    inner = jv.kind_of(how) == "OBJECT"
+    name = F.when(inner, F.try_variant_get(how, "$.service", "string")).when(jv.kind_of(how) == "STRING", F.try_variant_get(how, "$", "string"))
+    other = F.when(inner, F.try_variant_get(how, "$.file", "string"))
+    found = paths.let(other, lambda o: F.when(o.isNull(), file).otherwise(reference(file, o)))
+    return paths.let(F.struct(found.alias("base_file"), name.alias("base_name")), lambda b: F.when((b["base_name"] != "") & b["base_file"].isNotNull(), b).otherwise(none))
+
+
+def _services(file: Column, doc: Column) -> Column:
+    """Array of (name, definition, base) of every service that is an object; base as in ``_base``."""
+
+    def one(entry: Column) -> Column:
+        # a definition is text as JSON writes it, so the member has its name as it is
+        base = lambda d: F.when(d.contains('"extends"'), paths.let(F.try_variant_get(entry["value"], "$.extends", "variant"), lambda how: _base(file, how)))
+        return paths.let(F.to_json(entry["value"]), lambda d: F.struct(entry["key"].alias("name"), d.alias("definition"), base(d).alias("base")))
+
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(doc), "$.services", "map<string,variant>"))
+    return F.filter(F.transform(entries, one), lambda s: jv.is_object(s["definition"]))
+
+
+def _targets(file: Column, doc: Column) -> Column:
+    """Array of the files that ``include`` names, in one expression: a filter on the way would work the texts out again."""
+
+    def texts(entry: Column) -> Column:
+        own = F.when(jv.kind_of(entry) == "OBJECT", F.try_variant_get(entry, "$.path", "variant")).otherwise(entry)
+        inner = paths.let(own, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)))
+        return F.transform(inner, lambda v: F.when(jv.kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")))
+
+    entries = F.try_variant_get(F.try_parse_json(doc), "$.include", "array<variant>")
+    found = F.array_compact(F.transform(F.flatten(F.transform(entries, texts)), lambda raw: reference(file, raw)))
+    return F.when(doc.contains("include") | doc.contains("\\u"), found)  # the others need no parsing
+
+
 def services_of(documents: DataFrame) -> DataFrame:
     """(repo_id, file, name, definition) of every service that is an object, as it is written; a definition is JSON text."""
-    every = documents.select("repo_id", F.col("path").alias("file"), F.explode(jv.members(F.col("doc"), "$.services")).alias("name", "definition"))
-    return every.where(jv.is_object(F.col("definition")))
+    every = documents.select("repo_id", F.col("path").alias("file"), F.explode(_services(F.col("path"), F.col("doc"))).alias("s"))
+    return every.select("repo_id", "file", "s.name", "s.definition")
 
 
 def includes_of(documents: DataFrame) -> DataFrame:
     """(repo_id, source, target) of every file that ``include`` names, in short or long form."""
-    listed = documents.select("repo_id", F.col("path").alias("source"), F.explode(jv.items(F.col("doc"), "$.include")).alias("entry"))
-    listed = listed.select("repo_id", "source", F.when(jv.is_object(F.col("entry")), jv.at(F.col("entry"), "$.path")).otherwise(F.col("entry")).alias("entry"))
-    listed = listed.select("repo_id", "source", F.explode(F.coalesce(jv.items(F.col("entry")), F.array("entry"))).alias("entry"))
-    listed = listed.select("repo_id", "source", jv.string_of(F.col("entry")).alias("raw")).where("raw IS NOT NULL")
-    return listed.select("repo_id", "source", reference(F.col("source"), F.col("raw")).alias("target")).where("target IS NOT NULL").distinct()
-
-
-def _extended(services: DataFrame) -> DataFrame:
-    """Services with the file and the name of the one that they extend (null: none)."""
-    rows = services.withColumn("how", jv.at(F.col("definition"), "$.extends"))
-    rows = rows.withColumn("base_name", F.when(jv.is_object(F.col("how")), F.get_json_object("how", "$.service")).otherwise(jv.string_of(F.col("how"))))
-    rows = rows.withColumn("other", F.when(jv.is_object(F.col("how")), F.get_json_object("how", "$.file")))
-    rows = rows.withColumn("base_file", F.when(F.col("other").isNull(), F.col("file")).otherwise(reference(F.col("file"), F.col("other"))))
-    known = (F.col("base_name") != "") & F.col("base_file").isNotNull()
-    return rows.withColumns({"base_file": F.when(known, F.col("base_file")), "base_name": F.when(known, F.col("base_name"))}).drop("how", "other")
+    return documents.select("repo_id", F.col("path").alias("source"), F.explode(_targets(F.col("path"), F.col("doc"))).alias("target")).distinct()
 
 
 def resolve(documents: DataFrame, *, most_files: int = MOST_FILES, most_levels: int = MOST_LEVELS) -> tuple[DataFrame, DataFrame]:
@@ -168,53 +197,59 @@ def resolve(documents: DataFrame, *, most_files: int = MOST_FILES, most_levels:
     At most ``most_files`` files a repository are read by reference: those of includes by level and path, then those of extends. A chain of
     extends ends after ``most_levels`` steps, at a service that it has been at, and where file or service is missing.
     """
-    documents = documents.select("repo_id", "path", "doc")
+    # each document is read and parsed once, by as many tasks as there are and not as its table has files
+    documents = documents.select("repo_id", "path", "doc").repartition("repo_id", "path")
+    read = F.col("path"), F.col("doc")
+    documents = settled(documents.select("repo_id", "path", _targets(*read).alias("targets"), _services(*read).alias("services")))
     own = documents.where(is_project_file(F.col("path"))).select("repo_id", F.col("path").alias("top"), F.col("path").alias("node"))
     names = documents.select("repo_id", F.col("path").alias("target"))
-    reached = closure(own, includes_of(documents).join(names, ["repo_id", "target"], "left_semi"), ["repo_id", "top"]).withColumnRenamed("node", "file")
-    tops = own.select("repo_id", F.col("top").alias("file"))
-    read = reached.where("level > 0").groupBy("repo_id", "file").agg(F.min("level").alias("first")).join(tops, ["repo_id", "file"], "left_anti")
+    includes = documents.select("repo_id", F.col("path").alias("source"), F.explode("targets").alias("target"))
+    reached = closure(own, includes.join(names.hint("merge"), ["repo_id", "target"], "left_semi"), ["repo_id", "top"]).withColumnRenamed("node", "file")
+    tops = reached.where("level = 0").select("repo_id", "file")
+    read = reached.where("level > 0").groupBy("repo_id", "file").agg(F.min("level").alias("first")).join(tops.hint("merge"), ["repo_id", "file"], "left_anti")
     by = Window.partitionBy("repo_id").orderBy("first", "file")
     late = read.withColumn("nth", F.row_number().over(by)).where(F.col("nth") > most_files).select("repo_id", "file")
-    files = settled(reached.join(late, ["repo_id", "file"], "left_anti"))
+    files = settled(reached.join(late.hint("merge"), ["repo_id", "file"], "left_anti"))
 
-    every = settled(_extended(services_of(documents)))
+    every = documents.select("repo_id", F.col("path").alias("file"), F.explode("services").alias("s"))
+    every = every.select("repo_id", "file", "s.name", "s.definition", "s.base.base_file", "s.base.base_name")
     here = files.select("repo_id", "file").distinct()
-    steps = every.where("base_file IS NOT NULL")
-    base = steps.select("repo_id", F.col("file").alias("base_file"), F.col("name").alias("base_name"), F.struct("base_file", "base_name").alias("next"))
-    written = every.select("repo_id", F.col("file").alias("base_file"), F.col("name").alias("base_name"), "definition")
+    found = settled(every.join(here.hint("merge"), ["repo_id", "file"], "left_semi"))
     key = F.struct(F.col("base_file").alias("file"), F.col("base_name").alias("name"))
-    at = steps.join(here, ["repo_id", "file"], "left_semi").select("repo_id", "file", "name", "base_file", "base_name", F.array(F.struct("file", "name")).alias("seen"))
+    written = every.select(
+        "repo_id", F.col("file").alias("base_file"), F.col("name").alias("base_name"), "definition", F.struct("base_file", "base_name").alias("next"),
+    )
+    at = found.where("base_file IS NOT NULL").select("repo_id", "file", "name", "base_file", "base_name", F.array(F.struct("file", "name")).alias("seen"))
     chain = None
     for level in range(1, most_levels + 1):
-        at = settled(at.where(~F.array_contains("seen", key)).join(written, ["repo_id", "base_file", "base_name"]))
+        at = at.where(~F.array_contains("seen", key))
         if at.isEmpty():
             break
+        at = settled(at.join(written.hint("merge"), ["repo_id", "base_file", "base_name"]))
         some = at.select("repo_id", "file", "name", F.lit(level).alias("level"), "base_file", "definition")
         chain = some if chain is None else chain.unionByName(some)
-        at = (
-            at.withColumn("seen", F.array_append("seen", key)).drop("definition").join(base, ["repo_id", "base_file", "base_name"])
-            .select("repo_id", "file", "name", F.col("next.base_file").alias("base_file"), F.col("next.base_name").alias("base_name"), "seen")
+        at = at.where("next.base_file IS NOT NULL").select(
+            "repo_id", "file", "name", F.col("next.base_file").alias("base_file"), F.col("next.base_name").alias("base_name"), F.array_append("seen", key).alias("seen"),
         )
-    found = every.join(here, ["repo_id", "file"], "left_semi").select("repo_id", "file", "name", "definition")
-    step = "struct<level: int, base_file: string, definition: string, late: boolean>"
+    found = found.select("repo_id", "file", "name", "definition")
     if chain is None:
-        found = found.withColumn("steps", F.array().cast(f"array<{step}>"))
+        found = found.withColumn("steps", F.array().cast("array<struct<base_file: string, definition: string>>"))
     else:
         # files that only extends names count against the budget behind those of includes
-        as_base = lambda t: t.select("repo_id", F.col("file").alias("base_file"))
-        more = chain.join(as_base(here), ["repo_id", "base_file"], "left_anti").join(as_base(tops), ["repo_id", "base_file"], "left_anti")
-        more = more.groupBy("repo_id", "base_file").agg(F.min("level").alias("first"))
-        spent = files.where("level > 0").join(tops, ["repo_id", "file"], "left_anti").groupBy("repo_id").agg(F.count_distinct("file").alias("spent"))
-        late = more.withColumn("nth", F.row_number().over(Window.partitionBy("repo_id").orderBy("first", "base_file"))).join(spent, "repo_id", "left")
+        as_base = lambda t: t.select("repo_id", F.col("file").alias("base_file")).hint("merge")
+        more = chain.groupBy("repo_id", "base_file").agg(F.min("level").alias("first"))
+        more = more.join(as_base(here), ["repo_id", "base_file"], "left_anti").join(as_base(tops), ["repo_id", "base_file"], "left_anti")
+        spent = files.where("level > 0").join(tops.hint("merge"), ["repo_id", "file"], "left_anti").groupBy("repo_id").agg(F.count_distinct("file").alias("spent"))
+        late = more.withColumn("nth", F.row_number().over(Window.partitionBy("repo_id").orderBy("first", "base_file"))).join(spent.hint("merge"), "repo_id", "left")
         late = late.where(F.col("nth") + F.coalesce("spent", F.lit(0)) > most_files).select("repo_id", "base_file", F.lit(True).alias("late"))
-        chain = settled(chain.join(late, ["repo_id", "base_file"], "left").withColumn("late", F.coalesce("late", F.lit(False))))
-        chain = chain.groupBy("repo_id", "file", "name").agg(F.array_sort(F.collect_list(F.struct("level", "base_file", "definition", "late"))).alias("all"))
+        chain = chain.join(late.hint("merge"), ["repo_id", "base_file"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        chain = chain.groupBy("repo_id", "file", "name").agg(F.sort_array(F.collect_list(F.struct("level", "base_file", "definition", "late"))).alias("all"))
         first = F.array_position(F.transform("all", lambda s: s["late"]), True).cast("int")
-        chain = chain.select("repo_id", "file", "name", F.when(first > 0, F.slice("all", 1, F.greatest(first - 1, F.lit(0)))).otherwise(F.col("all")).alias("steps"))
-        found = found.join(chain, ["repo_id", "file", "name"], "left")
-    found = found.select("repo_id", "file", "name", F.pandas_udf(_fold, "string")("file", "definition", "steps").alias("definition"))
-    services = settled(files.join(found, ["repo_id", "file"]))
+        kept = F.when(first > 0, F.slice("all", 1, F.greatest(first - 1, F.lit(0)))).otherwise(F.col("all"))
+        steps = F.transform(kept, lambda s: F.struct(s["base_file"].alias("base_file"), s["definition"].alias("definition")))
+        found = found.join(chain.select("repo_id", "file", "name", steps.alias("steps")).hint("merge"), ["repo_id", "file", "name"], "left")
+    found = found.select("repo_id", "file", "name", F.arrow_udf(_fold, "string")(F.to_json(F.struct("file", "definition", "steps"))).alias("definition"))
+    services = settled(files.join(found.hint("merge"), ["repo_id", "file"]))
     return files, services.select("repo_id", "file", F.when(F.col("level") > 0, F.col("top")).alias("included_from"), "level", "name", "definition")
 
 
@@ -234,7 +269,8 @@ def env_file_references(services: DataFrame) -> DataFrame:
 
 #: Longest entry that is read: no port is longer.
 MOST_PORT = 500
-_PORT = "struct<host: string, container: string, protocol: string, host_ip: string, raw: string>"
+_PORT_FIELDS = ["host", "container", "protocol", "host_ip", "raw"]
+_PORT = f"struct<{', '.join(f'{f}: string' for f in _PORT_FIELDS)}>"
 _SECRET_FALLBACK = re.compile(r"(\$\{[A-Za-z0-9_]*(?:secret|token|password|passwd|apikey|api_key|private_key|credential)[A-Za-z0-9_]*:?[-?+=])[^}]+(?=\})", re.I)
 
 
@@ -299,15 +335,13 @@ def parse_port(entry) -> dict | None:
 
 
 def _ports(entries: pd.Series) -> pd.DataFrame:
-    names = ["host", "container", "protocol", "host_ip", "raw"]
-
     def one(entry):
         try:
             return parse_port(json.loads(entry)) or {}
         except (TypeError, ValueError):
             return {}
 
-    return pd.DataFrame([one(e) for e in entries], columns=names, dtype="object").where(lambda x: x.notna(), None)
+    return pd.DataFrame([one(e) for e in entries], columns=_PORT_FIELDS, dtype="object").where(lambda x: x.notna(), None)
 
 
 def port_of(entry: Column) -> Column:
@@ -321,6 +355,7 @@ _SERVICE = [
     "image string", "build string", "dockerfile string", f"ports array<{_PORT}>", "expose array<string>", "depends_on array<string>", "volumes array<string>",
     "environment array<string>", "env_files array<string>", "profiles array<string>", "healthcheck boolean",
 ]
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), f"array<{_PORT}>": pa.list_(pa.struct([(f, pa.string()) for f in _PORT_FIELDS]))}
 
 
 def read_service(definition: dict) -> dict:
@@ -349,28 +384,30 @@ def read_service(definition: dict) -> dict:
     }
 
 
-def _read(definitions: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_service(json.loads(d)) for d in definitions], columns=[f.split(" ")[0] for f in _SERVICE])
+def _read(definitions: pa.Array) -> pa.Array:
+    fields = (f.split(" ", 1) for f in _SERVICE)
+    return _once(definitions, lambda d: read_service(json.loads(d)), pa.struct([(name, _ARROW[kind]) for name, kind in fields]))
 
 
 def parse_services(services: DataFrame) -> DataFrame:
     """Resolved services with their fields and project."""
-    rows = services.withColumns({"project": project_of(F.coalesce("included_from", "file")), "s": F.pandas_udf(_read, ", ".join(_SERVICE))("definition")})
+    rows = services.withColumns({"project": project_of(F.coalesce("included_from", "file")), "s": F.arrow_udf(_read, ", ".join(_SERVICE))("definition")})
     return rows.select("repo_id", "project", "name", "file", "included_from", "level", "s.*")
 
 
 def merge_services(services: DataFrame) -> DataFrame:
     """One row a service of a project, folded in file order: the first image, build and Dockerfile, all list entries once, a health check of any. A service
     that comes in through ``include`` under a name that the project has is left out, as Compose refuses it."""
-    order = F.struct(file_order(F.coalesce("included_from", "file")).alias("top"), F.col("level"), file_order(F.col("file")).alias("own"))
+    order = lambda x: F.struct(file_order(F.coalesce(x["included_from"], x["file"])).alias("top"), x["level"].alias("level"), file_order(x["file"]).alias("own"))
     lists = ["ports", "expose", "depends_on", "volumes", "environment", "env_files", "profiles"]
-    one = F.struct(order.alias("order"), "file", "included_from", "image", "build", "dockerfile", *lists, "healthcheck")
-    rows = services.groupBy("repo_id", "project", "name").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)).alias("all"))
+    one = F.struct("level", "file", "included_from", "image", "build", "dockerfile", *lists, "healthcheck")
+    rows = services.groupBy("repo_id", "project", "name").agg(F.collect_list(one).alias("all"))
+    in_order = lambda all: F.transform(F.sort_array(F.transform(all, lambda x: F.struct(order(x).alias("order"), x.alias("x")))), lambda s: s["x"])
+    rows = rows.withColumn("all", F.when(F.size("all") > 1, in_order(F.col("all"))).otherwise(F.col("all")))
     rows = rows.withColumn("all", F.filter("all", lambda x, i: (i == 0) | x["included_from"].isNull()))
     first = lambda name: F.get(F.array_compact(F.transform("all", lambda x: x[name])), F.lit(0)).alias(name)
     union = lambda name: F.array_distinct(F.flatten(F.transform("all", lambda x: x[name])))
-    ports = union("ports")
-    ports = F.filter(ports, lambda p, i: ~F.exists(F.slice(ports, 1, i), lambda x: x["raw"] == p["raw"]))
+    ports = paths.let(union("ports"), lambda all: F.filter(all, lambda p, i: ~F.exists(F.slice(all, 1, i), lambda x: x["raw"] == p["raw"])))
     return rows.select(
         "repo_id", "project", "name", F.get("all", F.lit(0))["file"].alias("source"), F.get("all", F.lit(0))["included_from"].alias("included_from"),
         first("image"), first("build"), first("dockerfile"), ports.alias("ports"),

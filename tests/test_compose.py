@@ -3,6 +3,7 @@
 import json
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,19 @@ def test_dockerfiles_of_services(spark):
     found, unused = compose.service_dockerfiles(services, files)
     assert {r.name: r.path for r in found.collect()} == {"a": "api/Dockerfile", "b": "x/dev.Dockerfile", "c": None, "d": None} and [r.path for r in unused.collect()] == ["Dockerfile"]
 
+
+def test_each_document_is_read_once_and_equal_definitions_too(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(doc):
+        reads.add(1)
+        return doc
+
+    docs = {"compose.yaml": {"include": ["a.yaml"], "services": {"x": {"extends": "y"}, "y": {"extends": {"service": "z", "file": "c.yaml"}}}}, "a.yaml": {"include": ["b.yaml"]}, "b.yaml": {"services": {"w": {"image": "i"}}}, "c.yaml": {"services": {"z": {"image": "z"}}}}
+    rows = spark.createDataFrame([(f"r{i}", p, json.dumps(d)) for i in range(25) for p, d in docs.items()], "repo_id string, path string, doc string")
+    files, services = compose.resolve(rows.withColumn("doc", F.udf(seen, "string")("doc")))
+    assert files.count() == 75 and services.count() == 75 and reads.value == 100
+    assert {json.loads(r.definition)["image"] for r in services.where("name <> 'w'").collect()} == {"z"}
+    calls = []
+    got = compose._once(pa.array(["a", "b", None, "a", "a"]), lambda v: calls.append(v) or {"n": [v]}, pa.struct([("n", pa.list_(pa.string()))]))
+    assert got.to_pylist() == [{"n": ["a"]}, {"n": ["b"]}, None, {"n": ["a"]}, {"n": ["a"]}] and calls == ["a", "b"]
