@@ -428,12 +428,13 @@ def service_dockerfiles(services: DataFrame, dockerfiles: DataFrame) -> tuple[Da
     The file lies in the build context, seen from the Compose file's directory, under ``dockerfile`` or the name Dockerfile.
     """
     context = F.when(F.col("build") == ".", paths.dir_of(F.col("source"))).otherwise(reference(F.col("source"), F.col("build")))
-    built = services.withColumn("context", context)
-    path = paths.join_path(F.col("context"), F.coalesce("dockerfile", F.lit("Dockerfile")))
-    built = built.withColumn("wanted", F.when(F.col("context").isNotNull(), path)).drop("context")
-    have = dockerfiles.select("repo_id", F.col("path").alias("wanted"), "path").distinct()
-    found = built.join(have, ["repo_id", "wanted"], "left").drop("wanted")
-    return found, dockerfiles.join(found.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    wanted = paths.let(context, lambda c: F.when(c.isNotNull(), paths.join_path(c, F.coalesce("dockerfile", F.lit("Dockerfile")))))
+    built = services.withColumn("wanted", wanted)
+    # hints: a side is often taken for far smaller than it is, and broadcast
+    have = dockerfiles.select("repo_id", F.col("path").alias("wanted")).distinct().withColumn("there", F.lit(True))
+    found = built.join(have.hint("merge"), ["repo_id", "wanted"], "left").withColumn("path", F.when(F.col("there"), F.col("wanted"))).drop("wanted", "there")
+    used = services.select("repo_id", F.explode(F.array_compact(F.array(wanted))).alias("path"))  # a filter would work the paths out again
+    return found, dockerfiles.join(used.hint("merge"), ["repo_id", "path"], "left_anti")
 
 
 def known_missing(references: DataFrame, files: DataFrame, *, most_depth: int) -> DataFrame:

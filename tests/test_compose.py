@@ -144,3 +144,13 @@ def test_each_document_is_read_once_and_equal_definitions_too(spark):
     calls = []
     got = compose._once(pa.array(["a", "b", None, "a", "a"]), lambda v: calls.append(v) or {"n": [v]}, pa.struct([("n", pa.list_(pa.string()))]))
     assert got.to_pylist() == [{"n": ["a"]}, {"n": ["b"]}, None, {"n": ["a"]}, {"n": ["a"]}] and calls == ["a", "b"]
+
+
+def test_dockerfiles_are_not_broadcast_by_estimates(spark):
+    # a generator's rows are not in the estimate of its size
+    services = spark.range(2).select(F.col("id").alias("repo_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"), F.lit("compose.yml").alias("source"), F.lit(".").alias("build"), F.lit(None).cast("string").alias("dockerfile"))
+    files = spark.range(2).select(F.col("id").alias("repo_id"), F.explode(F.array(F.lit("Dockerfile"), F.lit("x/Dockerfile"))).alias("path"))
+    found, unused = compose.service_dockerfiles(services, files)
+    for df in (found, unused):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.repo_id, r.name, r.path) for r in found.collect()} == {(i, n, "Dockerfile") for i in (0, 1) for n in "ab"} and [r.path for r in unused.collect()] == ["x/Dockerfile"] * 2
