@@ -13,27 +13,26 @@ STANDS_FOR = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs"
 ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
 
 
+#: What is tried for a specifier, in order: the ending that goes, and what comes in its place.
+TRIALS = [("", ""), *((e, t) for e, to in STANDS_FOR.items() for t in to), *(("", e) for e in ENDINGS), *(("", f"/index{e}") for e in ENDINGS)]
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``imports`` (repo_id, path, specifier) with the ``target`` among ``files`` (repo_id, path); null if none fits.
 
     Tried in this order: the file itself, its TypeScript source, an ending added, an index file of the directory. A specifier that leaves the root or
-    names it finds nothing. Each distinct specifier of a directory is tried once, so files that import alike cost no more.
+    names it finds nothing. Not the trials of an import are looked up, some twenty, but each file says under which few names it is found, and the first
+    trial of a name is all that joins.
     """
-    asked = imports.select("repo_id", paths.dir_of(F.col("path")).alias("dir"), "specifier").distinct()
-    base = paths.join_path(F.col("dir"), F.col("specifier"))
-    asked = asked.withColumn("base", base).where("base IS NOT NULL AND base <> '.'")
-    none = F.array().cast("array<string>")
-    ending = F.regexp_extract("base", r"\.[^./]+$", 0)
-    swapped = F.coalesce(F.try_element_at(F.create_map(*[x for e, to in STANDS_FOR.items() for x in (F.lit(e), F.lit(to))]), ending), none)
-    stem = F.substr("base", F.lit(1), F.length("base") - F.length(ending))
-    tried = F.concat(
-        F.array("base"), F.transform(swapped, lambda e: F.concat(stem, e)), F.transform(F.lit(ENDINGS), lambda e: F.concat("base", e)),
-        F.transform(F.lit(ENDINGS), lambda e: F.concat("base", F.lit("/index"), e)),
-    )
-    tried = asked.select("repo_id", "dir", "specifier", F.posexplode(tried).alias("turn", "target"))
-    hit = tried.join(files.select("repo_id", F.col("path").alias("target")).distinct(), ["repo_id", "target"])
-    best = hit.groupBy("repo_id", "dir", "specifier").agg(F.min_by("target", "turn").alias("target"))
-    return imports.withColumn("dir", paths.dir_of(F.col("path"))).join(best, ["repo_id", "dir", "specifier"], "left").select(*imports.columns, "target")
+    path = F.col("path")
+    cut = lambda c, n: F.substr(c, F.lit(1), F.length(c) - n)
+    names = [F.when(path.endswith(new), F.struct(F.concat(cut(path, F.lit(len(new))), F.lit(old)).alias("base"), F.lit(n).alias("turn"))) for n, (old, new) in enumerate(TRIALS)]
+    found = files.select("repo_id", F.explode(F.array_compact(F.array(*names))).alias("f")).groupBy("repo_id", "f.base").agg(F.min("f.turn").alias("turn"))
+    base = paths.let(paths.join_path(paths.dir_of(path), F.col("specifier")), lambda b: F.when(b != ".", b))
+    joined = imports.withColumn("base", base).join(found.hint("merge"), ["repo_id", "base"], "left")
+    of = lambda values: F.get(F.lit(values), F.col("turn"))
+    target = F.concat(cut(F.col("base"), of([len(old) for old, _ in TRIALS])), of([new for _, new in TRIALS]))
+    return joined.select(*imports.columns, target.alias("target"))
 
 
 def mounted_files(users: DataFrame, mounts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

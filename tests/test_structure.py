@@ -1,6 +1,7 @@
 """Module graphs, catalogs, commands, Git config, CI values and page routes on literal rows."""
 
 import json
+import posixpath
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,28 @@ def test_relative_imports(spark):
     assert {r.specifier: r.target for r in rows if r.path == "src/main.ts"} == asked and len(rows) == len(asked) + 1
 
 
+def test_imports_are_shuffled_once_and_find_the_first_trial(spark):
+    ends = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json", "/index.ts", "/index.cjs", "/index", ".js.ts", "/.ts"]
+    names = [f"{d}{n}{e}" for d in ("", "src/") for n in ("a", "index", "b.c", "src") for e in ends]
+    have = set(names[::3] + names[::7])
+    files = _paths(spark, *sorted(have), *sorted(have)[:5])
+    asked = [("src/main.ts", f"{up}{n}") for up in ("./", "../") for n in [*names, "", ".", "../x"]]
+    got = modules.resolve_imports(_paths(spark, *asked, asked[0], columns="repo_id string, path string, specifier string"), files)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+    def want(up, name):
+        base = posixpath.normpath(posixpath.join("src", up, name))
+        swapped = [base[: -len(e)] + t for e, to in modules.STANDS_FOR.items() if base.endswith(e) for t in to]
+        tried = [base, *swapped, *(base + e for e in modules.ENDINGS), *(f"{base}/index{e}" for e in modules.ENDINGS)]
+        return None if base == "." or base.startswith("..") else next((t for t in tried if t in have), None)
+
+    rows = got.collect()
+    assert len(rows) == len(asked) + 1 and sum(r.target is not None for r in rows) > 60
+    for r in rows:
+        up = "../" if r.specifier.startswith("../") else "./"
+        assert r.target == want(up, r.specifier[len(up):]), r
+
+
 def test_mounts_over_files_and_cycles(spark):
     files = _paths(spark, *(f"{n}.ts" for n in ("app", "a", "b", "c", "lone", "far")))
     mounts = _paths(spark, ("app.ts", "./a"), ("app.ts", "./gone"), ("a.ts", "./b.js"), ("b.ts", "./a"), ("b.ts", "./c"), ("lone.ts", "./far"), columns="repo_id string, path string, specifier string")
